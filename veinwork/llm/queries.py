@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm import pii, secrets
+from veinwork.llm import packing, pii, secrets
 from veinwork.llm.common import table
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.spans import counted, listed
 
 
+def byte_bpe() -> str:
+    """The place of the public byte-level vocabulary; every operator takes such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 ids, each document followed by id 0."""
+    return packing.pack_pieces(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts unchanged; of equal texts the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
@@ -40,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_exact_dedup, op9_secrets, op10_pii)
+    for f in (op1_packing, op5_exact_dedup, op9_secrets, op10_pii)
 }
 
 ORACLE_SQL = {
