@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veinwork.llm import packing, pii, secrets
 from veinwork.llm.common import table
 from veinwork.llm.exact_dedup import exact_dedup
+from veinwork.llm.near_dedup import near_components
 from veinwork.llm.spans import counted, listed
 
 
@@ -23,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_components(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts unchanged; of equal texts the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
@@ -52,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op5_exact_dedup, op9_secrets, op10_pii)
+    for f in (op1_packing, op4_near_dedup, op5_exact_dedup, op9_secrets, op10_pii)
 }
 
 ORACLE_SQL = {
