@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm import html_text, packing, pii, secrets
+from veinwork.llm import html_text, packing, pii, secrets, toxicity
 from veinwork.llm.common import table
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.near_dedup import near_components
@@ -34,6 +34,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def crc32_of_id(column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels whose crc32(doc_id) mod 5 is not 0 and scores every document by its text."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc32_of_id() % 5 != 0))
+    return toxicity.score(docs, model).select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -62,7 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_near_dedup, op5_exact_dedup, op8_html_text, op9_secrets, op10_pii)
+    for f in (op1_packing, op4_near_dedup, op5_exact_dedup, op6_toxicity, op8_html_text, op9_secrets, op10_pii)
 }
 
 ORACLE_SQL = {
