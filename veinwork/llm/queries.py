@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm import html_text, packing, pii, secrets, toxicity
+from veinwork.llm import html_text, language_model, packing, pii, secrets, toxicity
 from veinwork.llm.common import table
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.near_dedup import near_components
@@ -24,6 +24,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32(doc_id) mod 7 is not 2 and scores them all."""
+    held_out = crc32_of_id() % 7 == 2
+    scored = language_model.score(table(spark, sf_dir, "documents"), train_on=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, Jaccard similarity of 0.8 or more."""
     return near_components(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
@@ -73,7 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_near_dedup, op5_exact_dedup, op6_toxicity, op8_html_text, op9_secrets, op10_pii)
+    for f in (op1_packing, op2_language_model, op4_near_dedup, op5_exact_dedup, op6_toxicity, op8_html_text, op9_secrets, op10_pii)
 }
 
 ORACLE_SQL = {
