@@ -16,22 +16,22 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     Loops and repeated edges do no harm; no edges, no rows.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), label)
-    before = None
-    while (state := _state(now)) != before:
-        before = state
+    while not _are_stars(now):
         now = materialise(_small_star(_large_star(now)), label)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one parent or is one, but not both."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("child")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("child")))
+    return ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("child").alias("child")).filter("parents > 1 OR parents = 1 AND child = 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ PERMUTATIONS, ROWS, BANDS = 80, 5, 32
 #: A pair goes on to its full sets if its signatures agree in at least threshold - SLACK: 5 standard errors.
 SLACK = 0.16
 #: Members of a bucket or cluster that one task holds at a time.
-BLOCK = 1024
+BLOCK = 4096
 _WORDS_REMEMBERED = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,6 +134,8 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class _Union:
+    """Components of a group's members."""
+
     def __init__(self, n: int):
         self.root = np.arange(n)
 
@@ -141,59 +143,65 @@ class _Union:
         a, b = self.root[i], self.root[j]
         self.root[self.root == max(a, b)] = min(a, b)
 
+    def stars(self, names: np.ndarray) -> list[tuple[int, int]]:
+        """Each member with the smallest name of its component."""
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.root, names)
+        return [(int(x), int(y)) for x, y in zip(names, least[self.root], strict=True) if x != y]
+
 
-def _alike(g: dict[str, list], threshold: float) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
-    """Order by set size, and for a place in it the later places that sizes and signatures leave possible."""
+def _by_size(g: dict[str, list], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by set size; for each place in it, where the sets begin that are too large for it; the blocks."""
     n = np.array(g["n"])
     order = np.argsort(n, kind="stable")
     n = n[order]
-    sig = np.frombuffer(b"".join(g["sig"]), dtype="<u2").reshape(len(n), -1)[order]
-    own = np.array(g["own"])[order]
-    ends = np.searchsorted(n, np.floor(n / threshold + 1e-9), side="right")
-    split = own.min() != own.max()
-
-    def later(i: int) -> np.ndarray:
-        c = np.arange(i + 1, ends[i])
-        if split:
-            c = c[own[c] != own[i]]
-        return c[(sig[c] == sig[i]).mean(axis=1) >= threshold - SLACK] if len(c) else c
-
-    return order, later
+    return order, np.searchsorted(n, np.floor(n / threshold + 1e-9), side="right"), np.array(g["own"])[order]
 
 
 def _likely(threshold: float) -> Callable[[dict[str, list]], list[tuple[int, int]]]:
-    """A spanning forest of the pairs whose signatures are alike enough."""
+    """Stars of the members whose signatures are alike enough."""
 
     def fn(g: dict[str, list]) -> list[tuple[int, int]]:
-        order, later = _alike(g, threshold)
-        union, out = _Union(len(order)), []
+        order, ends, own = _by_size(g, threshold)
+        sig = np.frombuffer(b"".join(g["sig"]), dtype="<u2").reshape(len(order), -1)[order]
+        union, split = _Union(len(order)), own.min() != own.max()
         for i in range(len(order)):
-            for j in later(i):
+            c = np.arange(i + 1, ends[i])
+            c = c[(union.root[c] != union.root[i]) & ((own[c] != own[i]) | (not split))]
+            for j in c[(sig[c] == sig[i]).mean(axis=1) >= threshold - SLACK] if len(c) else ():
                 if union.root[i] != union.root[j]:
                     union.join(i, j)
-                    out.append((g["rep"][order[i]], g["rep"][order[j]]))
-        return out
+        return union.stars(np.array(g["rep"])[order])
 
     return fn
 
 
 def _linked(threshold: float) -> Callable[[dict[str, list]], list[tuple[int, int]]]:
-    """A spanning forest of the pairs whose full sets are similar enough; same component: nothing to learn."""
+    """Stars of the members whose full sets are similar enough; what is one component already teaches nothing."""
 
     def fn(g: dict[str, list]) -> list[tuple[int, int]]:
-        order, later = _alike(g, threshold)
+        order, ends, own = _by_size(g, threshold)
+        names = np.array(g["rep"])[order]
         sets = [np.frombuffer(g["members"][o], dtype="<u8") for o in order]
-        _, known = np.unique(np.array(g["component"])[order], return_inverse=True)
-        union, out = _Union(len(order)), []
-        union.root = np.array([np.flatnonzero(known == k)[0] for k in known]) if len(set(known)) < len(known) else union.root
+        sizes = np.array([len(s) for s in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        _, first, known = np.unique(np.array(g["component"])[order], return_index=True, return_inverse=True)
+        union, split = _Union(len(order)), own.min() != own.max()
+        union.root = first[known]
+        mine = np.zeros(int(numbers.max()) + 1, dtype=np.int32)
         for i in range(len(order)):
-            for j in later(i):
+            c = slice(i + 1, ends[i])
+            open_ = (union.root[c] != union.root[i]) & ((own[c] != own[i]) | (not split))
+            if not open_.any():
+                continue
+            mine[numbers[starts[i] : starts[i + 1]]] = 1
+            both = np.add.reduceat(mine[numbers[starts[i + 1] : starts[ends[i]]]], starts[c] - starts[i + 1])
+            mine[numbers[starts[i] : starts[i + 1]]] = 0
+            for j in i + 1 + np.flatnonzero(open_ & (both + 1e-9 >= threshold * (sizes[i] + sizes[c] - both))):
                 if union.root[i] != union.root[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both + 1e-9 >= threshold * (len(sets[i]) + len(sets[j]) - both):
-                        union.join(i, j)
-                        out.append((g["rep"][order[i]], g["rep"][order[j]]))
-        return out
+                    union.join(i, j)
+        return union.stars(names)
 
     return fn
 
@@ -208,7 +216,7 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
 
     Documents with equal sets are one class, and only classes go on. A class's signature is cut into bands;
     classes that share a band are compared by set size and whole signature, never as a list of pairs: a task
-    gives back a spanning forest of what it finds alike. The clusters that these forests make are confirmed on
+    gives back stars of what it finds alike. The clusters that these stars make are confirmed on
     the full sets: first each block within itself and with its cluster's first block, then, where several
     components are left, every other pair of blocks. Within a component nothing is compared again, so a large
     group of copies costs its size times the number of blocks at most. No bucket, cluster or list is capped.
@@ -229,10 +237,10 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     likely = _pairs_of_blocks(in_blocks(in_bucket, "bucket", "members"), ["bucket", "lo", "hi"], ["rep", "n", "sig", "own"], _likely(threshold))
     clusters = components(likely, "near-likely").withColumnsRenamed({"node": "rep", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members_n"))
-    in_cluster = clusters.join(sizes, "cluster").join(classes.select("rep", "n", "sig"), "rep")
+    in_cluster = clusters.join(sizes, "cluster").join(classes.select("rep", "n"), "rep")
     full = materialise(_with_sets(in_cluster, rows, k), "near-sets")
 
-    columns, key = ["rep", "n", "sig", "own", "members", "component"], ["cluster", "lo", "hi"]
+    columns, key = ["rep", "n", "own", "members", "component"], ["cluster", "lo", "hi"]
     first = in_blocks(full.withColumn("component", F.col("rep")), "cluster", "members_n").filter("lo = 0 OR lo = hi")
     links = materialise(_pairs_of_blocks(first, key, columns, _linked(threshold)), "near-links")
     if not sizes.filter(F.col("members_n") > 2 * BLOCK).isEmpty():
@@ -251,8 +259,8 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
 
 def _with_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The members with the full set of their text; only their texts are read again."""
-    texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "n", "sig", "cluster", "members_n", "text")
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("cluster", pa.int64()), ("members_n", pa.int64()), ("members", pa.binary())])
+    texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "n", "cluster", "members_n", "text")
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("members_n", pa.int64()), ("members", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -260,4 +268,4 @@ def _with_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             made = [shingle_set(t, k, hashes).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(made, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(sets, "rep bigint, n bigint, sig binary, cluster bigint, members_n bigint, members binary")
+    return texts.mapInArrow(sets, "rep bigint, n bigint, cluster bigint, members_n bigint, members binary")
