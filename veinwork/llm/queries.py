@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm import html_text, language_model, packing, pii, secrets, toxicity
+from veinwork.llm import html_text, language_model, licenses, packing, pii, secrets, toxicity
 from veinwork.llm.common import table
+from veinwork.llm.decontaminate import find_contamination
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.near_dedup import near_components
 from veinwork.llm.spans import counted, listed
@@ -31,6 +32,11 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place that covers four fifths or more of a license template."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, Jaccard similarity of 0.8 or more."""
     return near_components(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
@@ -52,6 +58,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item of which tiles cover half or more."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -80,7 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_model, op4_near_dedup, op5_exact_dedup, op6_toxicity, op8_html_text, op9_secrets, op10_pii)
+    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii)
 }
 
 ORACLE_SQL = {

@@ -176,3 +176,14 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text scores below the threshold; nothing is shuffled. A null text counts as empty."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
