@@ -1,6 +1,8 @@
-"""The catalogue of registered queries and their SQL counterparts."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from veinwork.plans import auditing, logs, measuring, preparing, selecting  # noqa: F401  they register their queries
+from veinwork.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
