@@ -1,0 +1,380 @@
+"""The operators against independent, slower versions, on whole small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from html import unescape
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from veinwork.llm import decontaminate, html_text, language_model, licenses, near_dedup, packing, pii, queries, secrets, toxicity
+from veinwork.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(name):
+    return duckdb.sql(f"SELECT * FROM '{SF}/{name}.parquet'").fetchall()
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return {r[0]: r[1] or "" for r in table("documents")}
+
+
+def test_exact_dedup_matches_sql(spark):
+    got = queries.op5_exact_dedup(spark, SF).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op5_exact_dedup"]).df()
+    columns = sorted(got.columns)
+    a, b = (x[columns].sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    assert a.astype(str).equals(b.astype(str))
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    """Half of all rows share one text, over many partitions."""
+    rows = [(i, "hot" if i % 2 else f"t{i % 7}") for i in range(400)]
+    from veinwork.llm.exact_dedup import exact_dedup
+
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == {i: (min(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_packing_round_trip(spark, documents):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.byte_bpe())
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in documents.items()}
+    rows = queries.op1_packing(spark, SF).collect()
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own)
+        assert r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], dtype="<u4").tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+        places[r.sequence_id].append((r.offset, r.length))
+    for i, own in ids.items():
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at
+            at += length
+        assert at == len(own)
+    assert sorted(places) == list(range(len(places)))
+    for s, got in places.items():
+        at = 0
+        for offset, length in sorted(got):
+            assert offset == at
+            at += length
+        assert at == 1024 or s == len(places) - 1
+
+
+def test_sequences_hold_the_pieces(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 40)) for i in range(60)], "doc_id long, text string").repartition(5)
+    whole = packing.pack_sequences(docs, queries.byte_bpe(), width=32).orderBy("sequence_id").collect()
+    assert [r.sequence_id for r in whole] == list(range(len(whole))) and all(len(r.input_ids) == 32 for r in whole)
+    assert all(r.n_tokens == 32 for r in whole[:-1])
+    assert sum(i == 0 for r in whole for i in r.input_ids[: r.n_tokens]) == 60
+
+
+def test_encoder_equals_the_tokenizer(documents):
+    e = packing.Encoder(queries.byte_bpe())
+    odd = ["", " ", "a  b\n\n c\t", "it's we'll I'D<|endoftext|>", "日本語 \x1c\x85", "…—€½² \xa0x", "a　b", "x" * 3000, " " * 3000, "Привет 12٣"]
+    assert e.fast is not None
+    for text in odd + list(documents.values())[:60]:
+        assert list(e.batch([text])[0]) == e.plain(text)
+
+
+def test_language_model_counts_and_gain(spark, documents):
+    got = {r.doc_id: r for r in queries.op2_language_model(spark, SF).collect()}
+    words = {i: [*x.encode().lower().split(), b"\n"] for i, x in documents.items()}
+    counts = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    total, types = sum(counts.values()), len(counts)
+    for i, ws in words.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(counts[w] > 0 for w in ws), total, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (total + types + 1)) for w in ws), rel=1e-9)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_language_model_is_normalised():
+    r = np.random.default_rng(5)
+    k = language_model.OWN + language_model.TAILS
+    p = language_model.Parameters.start(np.full(k, 1 / k))
+    v = language_model.Vocabulary({}, 0, 0, np.zeros(k), np.zeros(k))
+    s = language_model.Scorer(v, p.filled(p.flat() + r.normal(0, 0.5, len(p.flat()))))
+    for a, b in ((0, 0), (3, 500), (639, 7)):
+        assert (10 ** s.classes(np.full(k, a), np.full(k, b), np.arange(k))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def jaccard_components(texts, k, threshold):
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(i for i in sets if sets[i])
+    for a, i in enumerate(order):
+        for j in order[:a]:
+            if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j])):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 100 * threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(n=260, seed=3):
+    """Families of copies that are edited again and again, some chains of links, some just too far apart."""
+    r = random.Random(seed)
+    out, word = {}, lambda: f"w{r.randint(0, 900)}"
+    for i in range(n):
+        if i % 13 == 0 or not out:
+            text = [word() for _ in range(r.randint(5, 120))]
+        else:
+            text = out[r.choice(list(out))].split()
+            for _ in range(r.randint(0, max(1, len(text) // 12))):
+                text[r.randrange(len(text))] = word()
+        out[i] = " ".join(text)
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 5])
+@pytest.mark.parametrize("block", [16, 4096])
+def test_near_dedup_matches_all_pairs(spark, k, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = near_copies()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, k=k).collect()}
+    assert got == jaccard_components(texts, k, 0.8)
+
+
+def test_near_dedup_on_the_table(spark, documents):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_near_dedup(spark, SF).collect()}
+    assert got == jaccard_components(documents, 2, 0.8)
+
+
+def test_components_of_paths_and_stars(spark):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 200), (300, 300)]
+    r.shuffle(edges)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Planted insults are caught, and neutral mentions of groups are left alone."""
+    r = random.Random(9)
+    plain = [f"plain{i}" for i in range(300)]
+    groups = ["women", "muslims", "gay", "black", "immigrants"]
+    rows = []
+    for i in range(900):
+        w = r.choices(plain, k=r.randint(10, 60))
+        toxic = i % 4 == 0
+        if toxic:
+            w += r.choices(["zorgface", "blatnik", "grunfang"], k=2)
+        if r.random() < (0.7 if toxic else 0.05):  # group terms lean towards toxic rows: the bias to be removed
+            w.append(r.choice(groups[:2]))
+        r.shuffle(w)
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    held = [(got[i], y) for i, _, y in rows if i % 5 == 0]
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in held]) > 0.97
+    gap = lambda m: max(m.score(f"plain1 plain2 {g}") for g in groups) - min(m.score(f"plain1 plain2 {g}") for g in groups)
+    assert all(model.score(f"plain1 plain2 {g}") < 0.5 for g in groups)
+    assert gap(model) < gap(toxicity.fit(docs, labels, counterfactual=0.0)) or gap(model) < 0.02
+
+
+def tiles(t, p, m):
+    ft, fp, out = [True] * len(t), [True] * len(p), []
+    while True:
+        best = None
+        for a in range(len(t)):
+            for b in range(len(p)):
+                n = 0
+                while a + n < len(t) and b + n < len(p) and ft[a + n] and fp[b + n] and t[a + n] == p[b + n]:
+                    n += 1
+                if n >= m and (best is None or (n, -a, -b) > (best[0], -best[1], -best[2])):
+                    best = (n, a, b)
+        if best is None:
+            return out
+        n, a, b = best
+        out.append((a, b, n))
+        ft[a : a + n] = [False] * n
+        fp[b : b + n] = [False] * n
+
+
+def test_greedy_tiles_match_brute_force():
+    r = random.Random(1)
+    for _ in range(120):
+        t, p = ([r.randint(0, 3) * 7 + 5 for _ in range(r.randint(0, n))] for n in (60, 30))
+        assert decontaminate.greedy_tiles(np.array(t, dtype=np.uint64), np.array(p, dtype=np.uint64), 4) == tiles(t, p, 4)
+
+
+def test_contamination_matches_all_pairs(spark, documents):
+    tokens = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    want = set()
+    items = {i: tokens(x) for i, x in table("benchmark")}
+    for d, text in documents.items():
+        t = tokens(text)
+        grams = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        for i, p in items.items():
+            if any(tuple(p[j : j + 5]) in grams for j in range(len(p) - 4)):
+                matched = sum(n for *_, n in tiles(t, p, 5))
+                if matched >= 0.5 * len(p):
+                    want.add((d, i, matched))
+    got = {(r.doc_id, r.item_id, r.matched_tokens) for r in queries.op7_decontaminate(spark, SF).collect()}
+    assert got == want
+
+
+def test_reordered_passages_are_caught_and_single_phrases_not(spark):
+    words = [f"q{i}" for i in range(40)]
+    item = " ".join(words)
+    docs = [(1, " ".join(["noise", *words[20:], "between", *words[:20]])), (2, " ".join([*words[:8], "and", "nothing", "more"])), (3, item.upper() + "!")]
+    got = {r.doc_id: r.n_tiles for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {1: 2, 3: 1}
+
+
+def test_main_text_matches_article_slices(spark):
+    want = {}
+    for i, _, h in table("pages"):
+        a, b = h.find("<article>"), h.find("</article>")
+        art = h[a + 9 : b if b >= 0 else len(h)]
+        art = re.sub(r"<[^>]*(>|$)", lambda m: "\n" if re.match(r"</?(p|h1)", m.group()) else " " if m.group() == "<br>" else "", art)
+        want[i] = "\n".join(y for y in (" ".join(unescape(x).split()) for x in art.split("\n")) if y)
+    assert {r.page_id: r.text for r in queries.op8_html_text(spark, SF).collect()} == want
+
+
+def test_furniture_is_left_out():
+    good = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
+    page = f"""<html><head><title>x</title><script>if (a<b) document.write("<p>{good}</p>")</script></head><body>
+    <header><p>{good}</p></header><nav><a href="/">{good}</a></nav><div class="cookie-notice"><div>{good}</div></div>
+    <main><h2>Short head</h2><p>{good} &lt;b&gt; &amp; &eacute;</p><p>Brief.</p><p>{good}</p><form>{good}</form>
+    <section id="comments"><p>{good}</p></section></main><aside>{good}</aside><footer>{good}</footer>"""
+    assert html_text.main_text(page) == f"Short head\n{good} <b> & é\nBrief.\n{good}"
+
+
+def naive_spans(text, patterns, keep):
+    out = []
+    for order, (kind, pattern) in enumerate(patterns):
+        out += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if keep[kind](m)]
+    return ",".join(s for *_, s in sorted(out))
+
+
+SECRETS = (("assign", r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"))
+KEEP_SECRETS = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+PRIVATE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return 12 <= len(d) <= 19 and sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
+
+
+KEEP_PRIVATE = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda m: luhn(m[0]), "phone": lambda m: 9 <= sum(c.isdigit() for c in m[0]) <= 15}
+
+
+def noisy(alphabet, n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choices(alphabet, k=r.randint(0, 90))) for _ in range(n)]
+
+
+def test_base_spans_of_secrets(spark, documents):
+    finder = secrets.SecretFinder(*secrets.fit()[:2])
+    pieces = ["password", "TOKEN", "api_key", "apikey", "ſecret", "toKen", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOP1", "0123456789abcdef", "deadbeef", "x", "é"]
+    for text in noisy(pieces, 1500, 4):
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b, _ in finder(text) if k != "random") == naive_spans(text, SECRETS, KEEP_SECRETS)
+    got = {r.doc_id: r.base_sha256 for r in queries.op9_secrets(spark, SF).collect()}
+    assert got == {i: hashlib.sha256(naive_spans(t, SECRETS, KEEP_SECRETS).encode()).hexdigest() for i, t in documents.items()}
+
+
+def test_random_strings_are_told_from_identifiers():
+    model, threshold, accuracy = secrets.fit()
+    assert accuracy > 0.97
+    find = secrets.SecretFinder(model, threshold)
+    assert [s[0] for s in find("key Zx9Qm2Lr8Tk4Wp7Yb1Nc6Vd3 end")] == ["random"]
+    assert find("the get_default_user_name_list2 and thingresternedness and http://www.example.com/path/index2.html") == []
+
+
+def test_base_spans_of_personal_data(spark, documents):
+    pieces = ["1", "12", "255", "256", ".", " ", "-", "+", "(", ")", "@", "a", "b.c", "mail", "4111111111111111", "4111 1111 1111 1111", "é", "_", "%", "+1 (555) 123-4567"]
+    for text in noisy(pieces, 2500, 5):
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b, _ in pii.find_pii(text) if k in pii.BASE_KINDS) == naive_spans(text, PRIVATE, KEEP_PRIVATE), text
+    got = {r.doc_id: r.base_sha256 for r in queries.op10_pii(spark, SF).collect()}
+    assert got == {i: hashlib.sha256(naive_spans(t, PRIVATE, KEEP_PRIVATE).encode()).hexdigest() for i, t in documents.items()}
+
+
+def test_added_personal_data():
+    kinds = lambda t: [s[0] for s in pii.find_pii(t) if s[0] in pii.ADDED_KINDS]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 32 today") == ["iban"] and kinds("pay to GB82 WEST 1234 5698 7654 33 today") == []
+    assert kinds("social security 123-45-6789") == ["ssn"] and kinds("part number 123-45-6789") == []
+
+
+def test_license_places(spark, documents):
+    """Every place of a short notice, found by searching its words, is reported; texts without license words have none."""
+    got = defaultdict(list)
+    for r in queries.op3_licenses(spark, SF).collect():
+        got[r.doc_id].append((r.license_id, r.start, r.end))
+    known = dict(licenses.TEMPLATES)
+    for i, text in documents.items():
+        want = []
+        for name in ("All-rights-reserved", "MIT-notice", "Apache-2.0-notice", "GPL-3.0-notice", "CC-BY-NC-4.0-notice"):
+            words = re.findall(r"[^\W_]+", known[name])
+            want += [(name, m.start(), m.end()) for m in re.finditer(r"[\W_]+".join(words), text, re.IGNORECASE)]
+        assert sorted(want, key=lambda w: w[1:]) == got[i]
+
+
+def test_edited_license_is_aligned(spark):
+    name, text = next(t for t in licenses.TEMPLATES if t[0] == "MIT")
+    words = text.split()
+    edited = "Intro here. " + " ".join([*words[:20], "really", *words[21:50], *words[52:]]) + " The end."
+    got = licenses.scan_licenses(spark.createDataFrame([(1, edited), (2, " ".join(words[:20]))], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license_id) for r in got] == [(1, "MIT")]
+    assert got[0].start == 12 and edited[got[0].end - 8 : got[0].end] == "Software" and got[0].coverage > 0.9
+
+
+def test_pipeline_stages_against_brute_force(spark, documents, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text or "" for r in stage["toxicity"](spark, docs, SF).collect()}
+    assert texts == {i: t for i, t in documents.items() if model.score(t) < 0.5}
+    kept = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    exact = {r.doc_id for r in stage["exact dedup"](spark, kept, SF).collect()}
+    assert exact == set(first.values())
+    texts = {i: texts[i] for i in exact}
+    kept = kept.filter(F.col("doc_id").isin(*exact))
+    near = {r.doc_id for r in stage["near dedup"](spark, kept, SF).collect()}
+    assert near == {i for i, (_, c) in jaccard_components(texts, 5, 0.8).items() if c == i}
+    kept = kept.filter(F.col("doc_id").isin(*near))
+    held = {r.doc_id for r in decontaminate.find_contamination(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    clean = {r.doc_id for r in stage["decontamination"](spark, kept, SF).collect()}
+    assert clean == near - held
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
+    assert packed == clean
