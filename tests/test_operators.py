@@ -182,13 +182,17 @@ def test_chain_and_cycle(spark):
 
 
 def test_recovery_and_acceptance_tables(spark):
-    rows = [("fatal", True, 3, True, "abort"), ("minor", True, 0, True, "escalate"), ("minor", True, 2, True, "refine"), ("minor", True, 2, False, "retry"), ("minor", False, 2, False, "escalate")]
-    df = spark.createDataFrame(rows, "s string, r boolean, b int, h boolean, want string")
-    assert df.filter(policy.recovery(F.col("s"), F.col("r"), F.col("b"), F.col("h")) != F.col("want")).count() == 0
+    rows = [
+        ("critical", True, "x", "retry", 3, True, "abort"), ("minor", False, "x", "pivot", 3, False, "pivot"), ("minor", False, "validation_error", "pivot", 3, False, "escalate"),
+        ("minor", False, "x", "retry", 3, False, "escalate"), ("minor", True, "x", "retry", 0, True, "escalate"), ("minor", True, "x", "retry", 2, True, "refine"), ("minor", True, "x", "retry", 2, False, "retry"),
+    ]
+    df = spark.createDataFrame(rows, "s string, r boolean, c string, a string, b int, h boolean, want string")
+    assert df.filter(policy.recovery(*(F.col(c) for c in ("s", "r", "c", "a", "b", "h"))) != F.col("want")).count() == 0
     one = spark.createDataFrame([(0.4494, 0.0872)], "base double, cand double")
-    decide = lambda **k: policy.acceptance(F.lit(k.get("legal", True)), F.lit(k.get("failed", False)), F.lit(False), F.col("base"), F.col("cand"), 0.05, F.lit(k.get("ok", True)))
-    got = one.select(decide().alias("a"), decide(legal=False).alias("b"), decide(failed=True).alias("c"), decide(ok=None).alias("d")).first()
-    assert tuple(got) == ("accept", "reject", "escalate", "reject")
+    limit = lambda v: {"tail": (F.lit(v).cast("double"), F.lit(1.0))}
+    decide = lambda legal=True, failed=False, tail=0.5, **k: policy.acceptance(F.lit(legal), F.lit(failed), F.lit(False), F.col("base"), F.col("cand"), 0.05, limit(tail), **k)
+    got = one.select(decide().alias("a"), decide(legal=False).alias("b"), decide(failed=True).alias("c"), decide(tail=None).alias("d"), decide(optional=limit(None)).alias("e"), decide(tail=2.0).alias("f")).first()
+    assert tuple(got) == ("accept", "reject", "escalate", "reject", "accept", "reject")
 
 
 def test_mutations_fail_closed(spark):
@@ -246,3 +250,78 @@ def test_sources_and_exports(spark, tmp_path):
     assert misses.count() == 1
     deck = exports.pw_input(spark.createDataFrame([("k", 1, 1, 30.0, None)], "k string, nat int, ntyp int, ecutwfc double, ecutrho double"), "k").first().text
     assert "ecutrho = 120.0000" in deck and math.isclose(30.0 * 4, 120.0)
+
+
+def test_structures(spark):
+    from veinwork.operators import structures
+
+    cell = [[10.0, 0.0, 0.0], [0.0, 10.0, 0.0], [0.0, 0.0, 10.0]]
+    rows = [(1, ["Cu", "Al", "Cu"], [[0.0, 0.0, 0.0], [3.0, 4.0, 0.0], [9.8, 0.0, 0.0]], cell), (2, ["Cu"], [[1.0, 1.0, 1.0]], cell), (3, [], [[1.0]], None)]
+    df = spark.createDataFrame(rows, "k long, symbols array<string>, positions array<array<double>>, cell array<array<double>>")
+    assert {r.k: r.problems for r in structures.shape_problems(df, "k").collect()} == {3: ["no_atoms", "positions", "cell"]}
+    good = df.filter("k < 3")
+    got = {r.k: r.d for r in good.select("k", structures.nearest_distances(F.col("positions")).alias("d")).collect()}
+    assert np.allclose(got[1], [5.0, 5.0, math.hypot(6.8, 4.0)]) and got[2] == [0.0]
+    assert [(r.k, round(r.nearest, 9)) for r in structures.too_close(good, "k").collect()] == [(1, 0.2)]
+    assert [r.c for r in good.orderBy("k").select(structures.composition(F.col("symbols")).alias("c")).collect()] == ["Al=1,Cu=2", "Cu=1"]
+    moved = good.withColumn("positions", F.reverse(F.transform("positions", lambda p: F.transform(p, lambda x: x + 1)))).withColumn("symbols", F.reverse("symbols"))
+    keys = lambda d: [r.c for r in d.orderBy("k").select(structures.cluster_key().alias("c")).collect()]
+    assert keys(good) == keys(moved) and len(set(keys(good))) == 2
+    assert good.filter(structures.orthorhombic(F.col("cell"))).count() == 2
+    pair = spark.createDataFrame([([[0.0, 0.0, 0.0], [2 ** (1 / 6), 0.0, 0.0]],)], "p array<array<double>>")
+    assert pair.select(structures.pair_energy(F.col("p"), 1.0, 1.0)).first()[0] == pytest.approx(-1.0)
+    assert pair.select(structures.strict_zip(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2)), ("a", "b")).alias("z")).first().z is None
+
+
+def test_geometry_clusters_match_a_rederivation(spark):
+    import hashlib
+
+    from veinwork.plans import catalogue
+    from veinwork.plans.geometry import _structures
+
+    def half_up(x):
+        return f"{math.floor(abs(x) * 10 + 0.5) / 10:.1f}"
+
+    want = {}
+    for r in _structures(spark, "/root/testdata/sf0.001").collect():
+        near = [min((math.dist(p, q) for j, q in enumerate(r.positions) if j != i), default=0.0) for i, p in enumerate(r.positions)]
+        n, mean = len(near), sum(near) / len(near)
+        kinds = ",".join(f"{s}={r.symbols.count(s)}" for s in sorted(set(r.symbols)))
+        text = "|".join([kinds, str(n), half_up(60.0**3 / n), half_up(mean), half_up(math.sqrt(sum((x - mean) ** 2 for x in near) / n)), ",".join(["60.0"] * 3)])
+        k = "geometry-" + hashlib.sha256(text.encode()).hexdigest()[:20]
+        want[k] = want.get(k, 0) + 1
+    got = {r.cluster: r.n for r in catalogue.QUERIES["geometry_clusters"](spark, "/root/testdata/sf0.001").collect()}
+    assert sum(abs(got.get(k, 0) - want.get(k, 0)) for k in got | want) <= 0.02 * sum(want.values())  # sums in another order can tip a rounding
+
+
+def test_split_query_matches_a_rederivation(spark):
+    import duckdb
+
+    from veinwork.plans import catalogue, preparing
+
+    docs = duckdb.sql("SELECT doc_id, source || '/' || lang FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    left = {}
+    for _, g in docs:
+        left[g] = left.get(g, 0) + 1
+    place = {}
+    for name, target in (("initial", len(docs) // 10), ("test", len(docs) // 5), ("validation", len(docs) // 10)):
+        for g in split.choose_subset(left, target, preparing.SEED):
+            place[g] = name
+            left.pop(g)
+    got = {r.doc_id: r.partition for r in catalogue.QUERIES["split_assign"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: place.get(g, "pool") for d, g in docs}
+
+
+def test_governance_tampering(spark):
+    from veinwork.operators import governance
+
+    log = spark.createDataFrame([("r", 0, "commit", "a"), ("r", 1, "candidate", "b"), ("r", 2, "rollback", "b")], "run string, s long, action string, config string")
+    assert [(r.run, r.config) for r in governance.accepted_configs(log, "run", "s", "action", "config").collect()] == [("r", "a")]
+    layers = spark.createDataFrame([("block.0.w",), ("block.1.w",), ("block.1.b",), ("head.7",)], "n string")
+    assert {r.n for r in governance.trainable(layers, "n", ["block."]).collect()} == {"block.1.w", "block.1.b"}
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "n string, v double")
+    b = spark.createDataFrame([("x", 1.5), ("z", 2.0)], "n string, v double")
+    assert tuple(governance.parameter_changes(a, b, "n", "v").first()) == (1, 0.5, "x", 2)
+    claims = spark.createDataFrame([("a", "m", "mae", 1.0), ("b", "m", "mae", 2.0), ("c", "gone", "mae", 1.0), ("d", "m", "other", 1.0)], "claim_id string, artifact_id string, field string, value double")
+    metrics = spark.createDataFrame([("m", '{"aggregate": {"mae": 1.0}}')], "artifact_id string, payload string")
+    assert {r.claim_id for r in governance.bound_values(claims, metrics).collect()} == {"b", "c", "d"}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def claim_audit(claims: DataFrame, artifacts: DataFrame, forbidden_kinds: Sequence[str]) -> DataFrame:
     """claims: claim_id, refs (array). artifacts: artifact_id, kind, stored_sha, actual_sha.
 
-    Per claim: status, category (the first problem of unregistered, corrupted, forbidden_kind, no_evidence) and
+    Per claim: status, category (the first problem of no_evidence, unregistered, corrupted, forbidden_kind) and
     how many references have each. References are joined one by one, so a claim may have any number.
     """
     refs = claims.select("claim_id", F.explode_outer("refs").alias("artifact_id"))

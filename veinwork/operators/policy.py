@@ -15,24 +15,35 @@ def reasons(rules: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items())))
 
 
-def recovery(severity: Column, retryable: Column, budget_left: Column, has_repair: Column) -> Column:
-    """abort for fatal errors, then retry, refine with a repair, escalate when nothing is left."""
+def recovery(severity: Column, retryable: Column, failure_class: Column, recommended: Column, budget_left: Column, has_repair: Column) -> Column:
+    """abort what is critical; what can't be retried goes to a human, or to the recommended pivot unless it is a claim
+    or validation failure; without budget escalate; with repaired parameters refine; else retry."""
+    human = failure_class.isin("unsupported_claim", "validation_error")
     return (
-        F.when(severity == "fatal", "abort")
+        F.when(severity == "critical", "abort")
+        .when(~retryable & ~human & (recommended == "pivot"), "pivot")
+        .when(~retryable, "escalate")
         .when(budget_left <= 0, "escalate")
         .when(has_repair, "refine")
-        .when(retryable, "retry")
-        .otherwise("escalate")
+        .otherwise("retry")
     )
 
 
-def acceptance(legal: Column, failed: Column, has_repair: Column, baseline: Column, candidate: Column, least: float, constraints: Column) -> Column:
-    """illegal: reject; failed with a repair: refine, without: escalate; improved enough within constraints: accept; else reject."""
+def acceptance(legal: Column, failed: Column, has_repair: Column, baseline: Column, candidate: Column, least: float, constraints: Mapping[str, tuple[Column, Column]], optional: Mapping[str, tuple[Column, Column]] | None = None) -> Column:
+    """illegal: reject; failed with a repair: refine, without: escalate; improved enough within all limits: accept; else reject.
+
+    constraints: name to (observed, limit); a missing observation fails. In optional ones it counts as 0.
+    """
+    within = F.lit(True)
+    for observed, limit in constraints.values():
+        within = within & F.coalesce(observed <= limit, F.lit(False))
+    for observed, limit in (optional or {}).values():
+        within = within & (F.coalesce(observed, F.lit(0)) <= limit)
     return (
         F.when(~legal, "reject")
         .when(failed & has_repair, "refine")
         .when(failed, "escalate")
-        .when((relative_improvement(baseline, candidate) >= least) & F.coalesce(constraints, F.lit(False)), "accept")
+        .when((relative_improvement(baseline, candidate) >= least) & within, "accept")
         .otherwise("reject")
     )
 

@@ -14,12 +14,12 @@ from veinwork.sources.tables import table
 
 @query(
     """SELECT o_orderkey, CASE WHEN NOT o_custkey % 17 != 0 THEN 'reject' WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN 'refine' WHEN o_orderstatus = 'P' THEN 'escalate'
-    WHEN (CASE WHEN o_totalprice = 0 THEN 0 ELSE (o_totalprice - o_totalprice * (0.9e0 + (o_custkey % 10) / 1e2)) / abs(o_totalprice) END) >= 0.055e0 AND o_totalprice < 400000 THEN 'accept' ELSE 'reject' END AS decision FROM orders"""
+    WHEN (CASE WHEN o_totalprice = 0 THEN 0 ELSE (o_totalprice - o_totalprice * (0.9e0 + (o_custkey % 10) / 1e2)) / abs(o_totalprice) END) >= 0.055e0 AND o_totalprice <= 399999.995 THEN 'accept' ELSE 'reject' END AS decision FROM orders"""
 )
 def acceptance_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, cust = F.col("o_totalprice"), F.col("o_custkey")
     candidate = price * (0.9 + (cust % 10) / 100)
-    decided = policy.acceptance(cust % 17 != 0, F.col("o_orderstatus") == "P", cust % 2 == 0, price, candidate, 0.055, price < 400000)
+    decided = policy.acceptance(cust % 17 != 0, F.col("o_orderstatus") == "P", cust % 2 == 0, price, candidate, 0.055, {"price": (price, F.lit(399999.995))})
     return table(spark, sf_dir, "orders").select("o_orderkey", decided.alias("decision"))
 
 

@@ -73,12 +73,15 @@ def exactly_once_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN CASE WHEN value > 80 THEN 'fatal' ELSE 'minor' END = 'fatal' THEN 'abort' WHEN event_id % 3 <= 0 THEN 'escalate'
-    WHEN event_type = 'click' THEN 'refine' WHEN event_type IN ('view', 'error') THEN 'retry' ELSE 'escalate' END AS decision FROM events"""
+    """SELECT event_id, CASE WHEN value > 80 THEN 'abort' WHEN event_type NOT IN ('view', 'click') AND event_type != 'error' AND event_id % 2 = 0 THEN 'pivot'
+    WHEN event_type NOT IN ('view', 'click') THEN 'escalate' WHEN event_id % 3 <= 0 THEN 'escalate' WHEN event_type = 'click' THEN 'refine' ELSE 'retry' END AS decision FROM events"""
 )
 def recovery_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    severity = F.when(F.col("value") > 80, "fatal").otherwise("minor")
-    decided = policy.recovery(severity, F.col("event_type").isin("view", "error"), F.col("event_id") % 3, F.col("event_type") == "click")
+    kind = F.col("event_type")
+    severity = F.when(F.col("value") > 80, "critical").otherwise("minor")
+    failure = F.when(kind == "error", "validation_error").otherwise("tool_error")
+    recommended = F.when(F.col("event_id") % 2 == 0, "pivot").otherwise("escalate")
+    decided = policy.recovery(severity, kind.isin("view", "click"), failure, recommended, F.col("event_id") % 3, kind == "click")
     return _log(spark, sf_dir).select("event_id", decided.alias("decision"))
 
 
