@@ -72,8 +72,14 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
-        """Reads HELD rows and one row for each tail class, whatever the corpus's size."""
-        top = counts.orderBy(F.desc("count"), "hash").limit(HELD).collect()
+        """Reads HELD rows at most and one row for each tail class, whatever the corpus's size.
+
+        Which counts are frequent enough is read off a histogram of them, so no task sends more than is held.
+        """
+        step = (F.log2("count") * 16).cast("int")
+        sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        least = next((s + 1 for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total > HELD), 0)
+        top = sorted(counts.filter((step >= least) | (F.col("hash") == _hash(END))).collect(), key=lambda r: (-r["count"], r.hash))
         per_tail = {r.tail: (r.tokens, r.types) for r in counts.groupBy("tail").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
         tokens, types = (sum(x[i] for x in per_tail.values()) for i in (0, 1))
         classes, kinds = np.zeros(OWN + TAILS), np.zeros(OWN + TAILS)
@@ -160,17 +166,20 @@ class Trainer:
         self.p = {n: getattr(parameters, n).astype(np.float32) for n in Parameters.NAMES}
         self.g = {n: np.full_like(v, 1e-2) for n, v in self.p.items()}
         self.noise, self.log_noise = noise, np.log(noise * NOISE).astype(np.float32)
+        self.up_to = np.cumsum(noise)[:-1]
         self.random = np.random.default_rng(seed)
         self.tokens = 0
 
     def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, len(w)
-        false = self.random.choice(len(self.noise), NOISE, p=self.noise)
+        false = np.searchsorted(self.up_to, self.random.random(NOISE))
         ra, rb = p["R"][a], p["R"][b]
         q = ra * p["near"] + rb * p["far"]
         target, wrong = p["Q"][w], p["Q"][false]
         up = _sigmoid(self.log_noise[w] - (np.einsum("ij,ij->i", q, target) + p["bias"][w]))
-        down = -_sigmoid(q @ wrong.T + (p["bias"][false] - self.log_noise[false]))
+        down = q @ wrong.T
+        down += p["bias"][false] - self.log_noise[false]
+        np.negative(_sigmoid(down), out=down)
         pull = up[:, None] * target + down @ wrong
         self._step("near", (pull * ra).sum(0), n)
         self._step("far", (pull * rb).sum(0), n)
@@ -195,11 +204,16 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # so few classes are sorted by counting
     own, first = np.unique(at[order], return_index=True)
     to[own] += np.add.reduceat(rows[order], first)
 
