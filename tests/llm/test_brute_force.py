@@ -163,6 +163,7 @@ def near_copies(n=260, seed=3):
 @pytest.mark.parametrize("block", [16, 4096])
 def test_near_dedup_matches_all_pairs(spark, k, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block * 800)
     texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, k=k).collect()}

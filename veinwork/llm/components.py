@@ -17,7 +17,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), label)
     while not _are_stars(now):
-        now = materialise(_small_star(_large_star(now)), label)
+        now = materialise(_small_star(_large_star(now, label)), label)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -27,11 +27,15 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("child").alias("child")).filter("parents > 1 OR parents = 1 AND child = 1").isEmpty()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to its smallest neighbour (or itself)."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+def _large_star(edges: DataFrame, label: str) -> DataFrame:
+    """Each node's larger neighbours move to its smallest neighbour (or itself).
+
+    All neighbours of b that are smaller are its parents, so the smallest is the least of them. Their table is
+    written, so both sides of the join are plain shuffles and adaptive execution can split the edges of a node
+    that very many others hang on.
+    """
+    parents = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"), label)
+    return edges.join(parents, edges["b"] == parents["node"], "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from veinwork.llm.common import bounded_batches, keyed_text, materialise
 
 #: Frequent words that are classes of their own; classes of all other words, by their last two bytes; words whose
 #: counts the tasks hold (the counts of all others are joined); sizes of the vectors, batches and noise samples.
-OWN, TAILS, HELD, WIDTH, BATCH, NOISE = 384, 256, 50_000, 24, 8192, 96
+OWN, TAILS, HELD, WIDTH, BATCH, NOISE = 384, 256, 50_000, 24, 1024, 64
 RATE = 0.05
 _REMEMBERED = 300_000
 #: The end of a text, as a word that no text can hold.

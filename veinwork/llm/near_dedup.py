@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.llm.common import bounded_batches, keyed_text, materialise
@@ -18,8 +18,8 @@ from veinwork.llm.components import components
 PERMUTATIONS, ROWS, BANDS = 80, 5, 32
 #: A pair goes on to its full sets if its signatures agree in at least threshold - SLACK: 5 standard errors.
 SLACK = 0.16
-#: Members of a bucket or cluster that one task holds at a time.
-BLOCK = 4096
+#: Members of a bucket or cluster in a block, and the bytes of their sets; a task holds two blocks at a time.
+BLOCK, BLOCK_BYTES = 4096, 1 << 24
 _WORDS_REMEMBERED = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,15 +87,14 @@ def _sketches(rows: DataFrame, k: int) -> DataFrame:
     return materialise(rows.mapInArrow(sketch, "id bigint, n bigint, set_key binary, sig binary"), "near-sketches")
 
 
-def in_blocks(members: DataFrame, group: str, size: str) -> DataFrame:
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
     """Each member once for every pair of blocks (lo, hi) of its group that holds its own block.
 
-    A group of up to BLOCK members is one block; a larger one is dealt into blocks, and every pair of blocks
-    becomes a group of its own, so no task holds more than two blocks however large a group is.
+    A group of one block is one task's work; a larger one is dealt into blocks, and every pair of them becomes
+    a group of its own, so no task holds more than two blocks however large a group is.
     """
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("own", own)
+    spread = members.withColumn("blocks", blocks.cast("int"))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return spread.select("*", other).select(*members.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
@@ -234,20 +233,21 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     placed = classes.select("rep", band)
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     in_bucket = placed.join(shared, "bucket").join(classes.select("rep", "n", "sig"), "rep")
-    likely = _pairs_of_blocks(in_blocks(in_bucket, "bucket", "members"), ["bucket", "lo", "hi"], ["rep", "n", "sig", "own"], _likely(threshold))
-    clusters = components(likely, "near-likely").withColumnsRenamed({"node": "rep", "component": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members_n"))
-    in_cluster = clusters.join(sizes, "cluster").join(classes.select("rep", "n"), "rep")
+    likely = _pairs_of_blocks(in_blocks(in_bucket, F.ceil(F.col("members") / BLOCK)), ["bucket", "lo", "hi"], ["rep", "n", "sig", "own"], _likely(threshold))
+    clusters = components(likely, "near-likely").withColumnsRenamed({"node": "rep", "component": "cluster"}).join(classes.select("rep", "n"), "rep")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = clusters.groupBy("cluster").agg(count.alias("n_blocks"))
+    in_cluster = clusters.join(sizes, "cluster")
     full = materialise(_with_sets(in_cluster, rows, k), "near-sets")
 
     columns, key = ["rep", "n", "own", "members", "component"], ["cluster", "lo", "hi"]
-    first = in_blocks(full.withColumn("component", F.col("rep")), "cluster", "members_n").filter("lo = 0 OR lo = hi")
+    first = in_blocks(full.withColumn("component", F.col("rep")), F.col("n_blocks")).filter("lo = 0 OR lo = hi")
     links = materialise(_pairs_of_blocks(first, key, columns, _linked(threshold)), "near-links")
-    if not sizes.filter(F.col("members_n") > 2 * BLOCK).isEmpty():
+    if not full.filter("n_blocks > 2").isEmpty():
         part = components(links, "near-part").withColumnRenamed("node", "rep")
         known = full.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ = known.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("cluster")
-        rest = in_blocks(known.join(open_, "cluster"), "cluster", "members_n").filter("lo > 0 AND lo < hi")
+        rest = in_blocks(known.join(open_, "cluster"), F.col("n_blocks")).filter("lo > 0 AND lo < hi")
         links = materialise(links.unionByName(_pairs_of_blocks(rest, key, columns, _linked(threshold))), "near-links")
     found = components(links, "near-components").withColumnRenamed("node", "rep")
 
@@ -259,8 +259,8 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
 
 def _with_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The members with the full set of their text; only their texts are read again."""
-    texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "n", "cluster", "members_n", "text")
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("members_n", pa.int64()), ("members", pa.binary())])
+    texts = rows.join(members, rows["id"] == members["rep"]).select("rep", "n", "cluster", "n_blocks", "text")
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cluster", pa.int64()), ("n_blocks", pa.int32()), ("members", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -268,4 +268,4 @@ def _with_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             made = [shingle_set(t, k, hashes).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(made, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(sets, "rep bigint, n bigint, cluster bigint, members_n bigint, members binary")
+    return texts.mapInArrow(sets, "rep bigint, n bigint, cluster bigint, n_blocks int, members binary")
