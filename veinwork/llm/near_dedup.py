@@ -20,6 +20,8 @@ PERMUTATIONS, ROWS, BANDS = 80, 5, 32
 SLACK = 0.16
 #: Members of a bucket or cluster in a block, and the bytes of their sets; a task holds two blocks at a time.
 BLOCK, BLOCK_BYTES = 4096, 1 << 24
+#: Clusters of up to so many members are one block.
+SMALL = 128
 _WORDS_REMEMBERED = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,18 +89,31 @@ def _sketches(rows: DataFrame, k: int) -> DataFrame:
     return materialise(rows.mapInArrow(sketch, "id bigint, n bigint, set_key binary, sig binary"), "near-sketches")
 
 
-def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+def in_blocks(members: DataFrame, blocks: Column, part: str = "all") -> DataFrame:
     """Each member once for every pair of blocks (lo, hi) of its group that holds its own block.
 
     A group of one block is one task's work; a larger one is dealt into blocks, and every pair of them becomes
-    a group of its own, so no task holds more than two blocks however large a group is.
+    a group of its own, so no task holds more than two blocks however large a group is. part: "first" gives only
+    the pairs of a block with itself and with block 0, which is three rows for each member on average; "rest" gives the others.
     """
     spread = members.withColumn("blocks", blocks.cast("int"))
     spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    every, first = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own") == 0
+    if part == "first":
+        every = F.when(first, every).otherwise(F.array(F.lit(0), F.col("own")))
+    elif part == "rest":
+        every = F.when(~first, F.array_except(every, F.array(F.lit(0), F.col("own"))))
+    other = F.explode(every).alias("other")
     return spread.select("*", other).select(*members.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
+def _block_count(members: Column, shingles: Column) -> Column:
+    """Blocks of a cluster: of at most BLOCK members and, on average, BLOCK_BYTES, and about as many as the square
+    root of its members, so a large cluster spreads over many tasks and is copied no more often than that."""
+    spread = F.when(members > SMALL, F.ceil(F.sqrt(members))).otherwise(1)
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES), spread).cast("int")
+
+
 def _grouped(fn: Callable[[dict[str, list]], list[tuple[int, int]]], key: list[str], columns: list[str]) -> Callable:
     """A mapInArrow function over partitions sorted by key: gives fn one group's columns at a time."""
 
@@ -235,19 +250,18 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     in_bucket = placed.join(shared, "bucket").join(classes.select("rep", "n", "sig"), "rep")
     likely = _pairs_of_blocks(in_blocks(in_bucket, F.ceil(F.col("members") / BLOCK)), ["bucket", "lo", "hi"], ["rep", "n", "sig", "own"], _likely(threshold))
     clusters = components(likely, "near-likely").withColumnsRenamed({"node": "rep", "component": "cluster"}).join(classes.select("rep", "n"), "rep")
-    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = clusters.groupBy("cluster").agg(count.alias("n_blocks"))
+    sizes = clusters.groupBy("cluster").agg(_block_count(F.count("*"), F.sum("n")).alias("n_blocks"))
     in_cluster = clusters.join(sizes, "cluster")
     full = materialise(_with_sets(in_cluster, rows, k), "near-sets")
 
     columns, key = ["rep", "n", "own", "members", "component"], ["cluster", "lo", "hi"]
-    first = in_blocks(full.withColumn("component", F.col("rep")), F.col("n_blocks")).filter("lo = 0 OR lo = hi")
+    first = in_blocks(full.withColumn("component", F.col("rep")), F.col("n_blocks"), "first")
     links = materialise(_pairs_of_blocks(first, key, columns, _linked(threshold)), "near-links")
     if not full.filter("n_blocks > 2").isEmpty():
         part = components(links, "near-part").withColumnRenamed("node", "rep")
         known = full.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ = known.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("cluster")
-        rest = in_blocks(known.join(open_, "cluster"), F.col("n_blocks")).filter("lo > 0 AND lo < hi")
+        rest = in_blocks(known.join(open_, "cluster"), F.col("n_blocks"), "rest")
         links = materialise(links.unionByName(_pairs_of_blocks(rest, key, columns, _linked(threshold))), "near-links")
     found = components(links, "near-components").withColumnRenamed("node", "rep")
 
