@@ -164,6 +164,7 @@ def near_copies(n=260, seed=3):
 def test_near_dedup_matches_all_pairs(spark, k, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block * 800)
+    monkeypatch.setattr(near_dedup, "SMALL", block // 4)
     texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, k=k).collect()}
@@ -276,6 +277,7 @@ def test_furniture_is_left_out():
     <main><h2>Short head</h2><p>{good} &lt;b&gt; &amp; &eacute;</p><p>Brief.</p><p>{good}</p><form>{good}</form>
     <section id="comments"><p>{good}</p></section></main><aside>{good}</aside><footer>{good}</footer>"""
     assert html_text.main_text(page) == f"Short head\n{good} <b> & é\nBrief.\n{good}"
+    assert html_text.main_text(page.replace("<body>", '<body class="with-sidebar comments-open">')) == html_text.main_text(page)
 
 
 def naive_spans(text, patterns, keep):

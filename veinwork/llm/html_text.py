@@ -33,6 +33,8 @@ DROPPED_WORDS = frozenset(
     "related recommended widget pagination pager login signup".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+# Elements that hold the whole page or its main part; classes there speak of the page, not of furniture.
+WHOLE_TAGS = frozenset(("html", "body", "main"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.DOTALL)
@@ -117,7 +119,7 @@ def blocks_of(html: str) -> list[Block]:
                     stack[:] = [s for s in stack if s[0] != "head"]
                 dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 page_part = tag in DROPPED_TAGS and not (tag == "header" and main)
-                if page_part or _hinted(m[3]):
+                if page_part or (tag not in WHOLE_TAGS and _hinted(m[3])):
                     close()
                     dropped = True
                 elif tag in MAIN_TAGS and not main:
