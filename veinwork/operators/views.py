@@ -44,8 +44,9 @@ def json_key_scan(rows: DataFrame, json_column: str, key: str, hidden: Sequence[
     return rows.select(key, found.alias("found")).filter(F.size("found") > 0)
 
 
-def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int = 4) -> DataFrame:
-    """Every key down to a depth of a JSON text, with its path and the value there as text.
+def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int = 4, elements: bool = False) -> DataFrame:
+    """Every key down to a depth of a JSON text, with its path and the value there as text; with elements also
+    every place of a list, whose key is null.
 
     Each level is one variant_explode over the level above; levels without objects add nothing.
     """
@@ -58,7 +59,7 @@ def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int = 4) ->
             "SELECT id, e.value AS v, concat(path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, e.key AS key "
             "FROM _variant_level, LATERAL variant_explode(v) AS e"
         )
-        found = level.filter("key IS NOT NULL").select(F.col("id").alias(key), "key", "path", F.expr("try_variant_get(v, '$', 'string')").alias("value"))
+        found = (level if elements else level.filter("key IS NOT NULL")).select(F.col("id").alias(key), "key", "path", F.expr("try_variant_get(v, '$', 'string')").alias("value"))
         out = found if out is None else out.unionByName(found)
         level = level.select("id", "v", "path")
     return out
