@@ -44,29 +44,35 @@ SOURCES = """
         SELECT group_id, sqrt(dx * dx + dy * dy + dz * dz) AS norm FROM atoms JOIN structures USING (record_id))
 """
 AGGREGATES = f"""
-    count(*) AS n_structures, sum(n_atoms)::BIGINT AS n_atoms, round(avg(energy_error), 6) AS energy_mae,
-    round(sum(abs_sum) / (3 * sum(n_atoms)), 6) AS force_mae, round(sqrt(sum(sq_sum) / (3 * sum(n_atoms))), 6) AS force_rmse,
-    round(avg(CASE WHEN mean_norm > {THRESHOLD} THEN 1e0 ELSE 0e0 END), 6) AS high_error_fraction
+    count(*) AS n_structures, sum(n_atoms)::BIGINT AS n_atoms, round(avg(energy_error) + 1e-10, 6) AS energy_mae,
+    round(sum(abs_sum) / (3 * sum(n_atoms)) + 1e-10, 6) AS force_mae, round(sqrt(sum(sq_sum) / (3 * sum(n_atoms))) + 1e-10, 6) AS force_rmse,
+    round(avg(CASE WHEN mean_norm > {THRESHOLD} THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS high_error_fraction
 """
 MEASURES = ("energy_mae", "force_mae", "force_rmse", "high_error_fraction", "force_p95")
 
 
+def rounded_up(df: DataFrame) -> DataFrame:
+    """Measures at six digits. Errors are multiples of a hundredth, so means can lie on a tie, where the order of
+    summing would decide the last digit; the small term makes every tie go up, here and in the SQL."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in MEASURES})
+
+
 def rounded(df: DataFrame, columns: tuple[str, ...], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query(f"{SOURCES} SELECT {AGGREGATES}, (SELECT round(quantile_cont(norm, 0.95), 6) FROM norms) AS force_p95 FROM errors")
+@query(f"{SOURCES} SELECT {AGGREGATES}, (SELECT round(quantile_cont(norm, 0.95) + 1e-10, 6) FROM norms) AS force_p95 FROM errors")
 def metrics_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.overall_metrics(structures(spark, sf_dir), atoms(spark, sf_dir), THRESHOLD), MEASURES)
+    return rounded_up(metrics.overall_metrics(structures(spark, sf_dir), atoms(spark, sf_dir), THRESHOLD))
 
 
 @query(
-    f"""{SOURCES}, p AS (SELECT group_id, round(quantile_cont(norm, 0.95), 6) AS force_p95 FROM norms GROUP BY 1),
+    f"""{SOURCES}, p AS (SELECT group_id, round(quantile_cont(norm, 0.95) + 1e-10, 6) AS force_p95 FROM norms GROUP BY 1),
     g AS (SELECT group_id, {AGGREGATES} FROM errors GROUP BY 1 HAVING count(*) >= 3)
     SELECT g.*, force_p95 FROM g JOIN p USING (group_id)"""
 )
 def metrics_by_group_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.grouped_metrics(structures(spark, sf_dir), atoms(spark, sf_dir), THRESHOLD), MEASURES)
+    return rounded_up(metrics.grouped_metrics(structures(spark, sf_dir), atoms(spark, sf_dir), THRESHOLD))
 
 
 @query(
