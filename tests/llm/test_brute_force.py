@@ -381,3 +381,26 @@ def test_pipeline_stages_against_brute_force(spark, documents, tmp_path):
     assert clean == near - held
     packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     assert packed == clean
+
+
+def test_language_model_grows_and_is_normalised_with_members(spark, documents):
+    rows = spark.createDataFrame(list(documents.items()), "id long, text string")
+    v = language_model.Vocabulary.of(language_model.word_counts(rows))
+    small = language_model.Vocabulary.of(language_model.word_counts(rows.filter("id % 8 = 0")))
+    assert len(v.member_class) > len(small.member_class) > 0
+    k = language_model.OWN + language_model.TAILS + len(v.member_class)
+    r = np.random.default_rng(5)
+    p = language_model.Parameters.start(v.noise, inner=np.zeros(k))
+    s = language_model.Scorer(v, p.filled(p.flat() + r.normal(0, 0.5, len(p.flat()))))
+    s.spread = np.zeros(k)
+    for a, b in ((0, 0), (3, k - 1), (k - 2, 7)):
+        assert (10 ** s.classes(np.full(k, a), np.full(k, b), np.arange(k))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 1 << 15)
+    rows = spark.createDataFrame(list(documents.items()), "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 2
+    got = [language_model.score(rows.repartition(n), ~held).filter(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first() for n in (1, 12)]
+    assert got[0][0] / got[0][2] == pytest.approx(got[1][0] / got[1][2], abs=0.01)
+    assert got[0][0] / got[0][2] > got[0][1] / got[0][2] + 0.2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from veinwork.llm.common import bounded_batches, keyed_text, materialise
 
 #: Frequent words that are classes of their own; classes of all other words, by their last two bytes; words whose
-#: counts the tasks hold (the counts of all others are joined); sizes of the vectors, batches and noise samples.
+#: counts the tasks hold at least (the counts of all others are joined); sizes of the vectors, batches and noise samples.
 OWN, TAILS, HELD, WIDTH, BATCH, NOISE = 384, 256, 50_000, 24, 1024, 64
+#: Noise words of the same class for each word; tokens that a task learns between two averagings; one in so many
+#: documents tells when to stop; the least gain of a pass in log10 a token.
+INNER, SHARD, ASIDE, GAIN = 6, 1 << 20, 64, 0.005
 RATE = 0.05
 _REMEMBERED = 300_000
 #: The end of a text, as a word that no text can hold.
@@ -60,41 +63,69 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return materialise(rows.select("text").mapInArrow(count, "hash bigint, tail int, count bigint").groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("count").alias("count")), "lm-counts")
 
 
+def members_of(tokens: int) -> int:
+    """How many words of the tail classes have vectors of their own: grows with the corpus."""
+    return int(4 * np.sqrt(tokens))
+
+
 @dataclass
 class Vocabulary:
-    """What tasks know about words: the HELD most frequent ones, and sums for each class."""
+    """What tasks know about words: the most frequent ones, and sums for each class.
 
-    held: dict[int, tuple[int, int]]  # hash -> class, count
+    A word's place is its class, or OWN + TAILS + m if it is member m of a tail class. A tail class's own place
+    stands for those of its words that are no members.
+    """
+
+    held: dict[int, tuple[int, int]]  # hash -> place, count
     tokens: int
     types: int
     classes: np.ndarray  # tokens of each class
-    spread: np.ndarray  # log10 of a class's tokens + types + 1; 0 for a word of its own
+    spread: np.ndarray  # log10 of tokens + types + 1 of a class's words that are no members; 0 for a word of its own
+    member_class: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    member_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
-        """Reads HELD rows at most and one row for each tail class, whatever the corpus's size.
+        """Reads one row for each tail class and the most frequent words: HELD rows at most, or as many as have vectors.
 
         Which counts are frequent enough is read off a histogram of them, so no task sends more than is held.
         """
+        per_tail = {r.tail: (r.tokens, r.types) for r in counts.groupBy("tail").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
+        tokens, types = (sum(x[i] for x in per_tail.values()) for i in (0, 1))
+        most = max(HELD, 2 * (OWN + members_of(tokens)))
         step = (F.log2("count") * 16).cast("int")
         sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-        least = next((s + 1 for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total > HELD), 0)
+        least = next((s + 1 for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total > most), 0)
         top = sorted(counts.filter((step >= least) | (F.col("hash") == _hash(END))).collect(), key=lambda r: (-r["count"], r.hash))
-        per_tail = {r.tail: (r.tokens, r.types) for r in counts.groupBy("tail").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
-        tokens, types = (sum(x[i] for x in per_tail.values()) for i in (0, 1))
         classes, kinds = np.zeros(OWN + TAILS), np.zeros(OWN + TAILS)
         for t, (n, v) in per_tail.items():
             classes[OWN + t], kinds[OWN + t] = n, v
+        members = top[OWN : OWN + members_of(tokens)]
         held = {}
         for i, r in enumerate(top):
-            held[r.hash] = (i if i < OWN else OWN + r.tail, r["count"])
+            place = i if i < OWN else OWN + TAILS + i - OWN if i < OWN + len(members) else OWN + r.tail
+            held[r.hash] = (place, r["count"])
             if i < OWN:
                 classes[i] = r["count"]
                 classes[OWN + r.tail] -= r["count"]
                 kinds[OWN + r.tail] -= 1
-        spread = np.log10(classes + kinds + 1)
+        member_class = np.array([OWN + r.tail for r in members], dtype=np.int64)
+        member_count = np.array([r["count"] for r in members], dtype=float)
+        others = classes - np.bincount(member_class, member_count, OWN + TAILS)
+        spread = np.log10(others + kinds - np.bincount(member_class, minlength=OWN + TAILS) + 1)
         spread[:OWN] = 0
-        return cls(held, tokens, types, classes, spread)
+        return cls(held, tokens, types, classes, spread, member_class, member_count)
+
+    @property
+    def top(self) -> np.ndarray:
+        """The class of each place."""
+        return np.concatenate([np.arange(OWN + TAILS), self.member_class])
+
+    @property
+    def inner(self) -> np.ndarray:
+        """The tokens of each place, half a one more."""
+        others = self.classes - np.bincount(self.member_class, self.member_count, OWN + TAILS)
+        return np.concatenate([others, self.member_count]) + 0.5
 
     @property
     def noise(self) -> np.ndarray:
@@ -135,21 +166,26 @@ class Codes(dict):
 
 @dataclass
 class Parameters:
-    """score(w | a, b) = (near * R[a] + far * R[b]) . Q[w] + bias[w], for a the word before and b the one before that."""
+    """For q = near * R[a] + far * R[b], with a the place of the word before and b of the one before that: a class
+    scores q . Q[class] + bias[class], a place within its class q . S[place] + inner[place]."""
 
     R: np.ndarray
     Q: np.ndarray
     near: np.ndarray
     far: np.ndarray
     bias: np.ndarray
+    S: np.ndarray
+    inner: np.ndarray
 
-    NAMES = ("R", "Q", "near", "far", "bias")
+    NAMES = ("R", "Q", "near", "far", "bias", "S", "inner")
 
     @classmethod
-    def start(cls, noise: np.ndarray, seed: int = 3) -> Parameters:
+    def start(cls, noise: np.ndarray, seed: int = 3, inner: np.ndarray | None = None) -> Parameters:
+        """inner: log shares of the places in their classes; without them there are no members."""
         r = np.random.default_rng(seed)
-        size = (len(noise), WIDTH)
-        return cls(r.normal(0, 0.3, size), r.normal(0, 0.3, size), np.full(WIDTH, 0.5), np.full(WIDTH, 0.2), np.log(noise))
+        inner = np.zeros(len(noise)) if inner is None else inner
+        size, places = (len(noise), WIDTH), (len(inner), WIDTH)
+        return cls(r.normal(0, 0.3, places), r.normal(0, 0.3, size), np.full(WIDTH, 0.5), np.full(WIDTH, 0.2), np.log(noise), r.normal(0, 0.1, places), inner)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -159,19 +195,43 @@ class Parameters:
         return Parameters(*(p.reshape(getattr(self, n).shape) for n, p in zip(self.NAMES, parts, strict=True)))
 
 
+class Inner:
+    """The places of each tail class, and draws from them by their tokens."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.top = vocabulary.top
+        self.slots = np.argsort(self.top, kind="stable")
+        self.first = np.searchsorted(self.top[self.slots], np.arange(OWN + TAILS + 1))
+        self.at = np.empty(len(self.top), dtype=np.int64)  # of each place within its class
+        self.at[self.slots] = np.arange(len(self.top)) - self.first[self.top[self.slots]]
+        self.size = np.diff(self.first)
+        tokens = vocabulary.inner
+        self.share = tokens / np.bincount(self.top, tokens, OWN + TAILS)[self.top]
+        self.sums = np.cumsum(tokens[self.slots])
+        ends = np.concatenate([[0.0], self.sums])
+        self.low, self.high = ends[self.first[:-1]], ends[self.first[1:]]
+
+    def draw(self, random: np.random.Generator, classes: np.ndarray) -> np.ndarray:
+        u = self.low[classes, None] + random.random((len(classes), INNER)) * (self.high - self.low)[classes, None]
+        found = np.searchsorted(self.sums, u, side="right")
+        return self.slots[np.minimum(found, self.first[classes + 1][:, None] - 1)]
+
+
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad, BATCH tokens at a time against NOISE classes that they share."""
+    """Noise-contrastive estimation by AdaGrad, BATCH tokens at a time: classes against NOISE classes that they
+    share, places of a tail class against INNER places of it. squares: what AdaGrad has summed before."""
 
-    def __init__(self, parameters: Parameters, noise: np.ndarray, seed: int):
+    def __init__(self, parameters: Parameters, noise: np.ndarray, inner: Inner, seed: int, squares: Parameters | None = None):
         self.p = {n: getattr(parameters, n).astype(np.float32) for n in Parameters.NAMES}
-        self.g = {n: np.full_like(v, 1e-2) for n, v in self.p.items()}
+        self.g = {n: getattr(squares, n).astype(np.float32) if squares else np.full_like(v, 1e-2) for n, v in self.p.items()}
         self.noise, self.log_noise = noise, np.log(noise * NOISE).astype(np.float32)
+        self.inner, self.log_inner = inner, np.log(inner.share * INNER).astype(np.float32)
         self.up_to = np.cumsum(noise)[:-1]
         self.random = np.random.default_rng(seed)
         self.tokens = 0
 
-    def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        p, n = self.p, len(w)
+    def learn(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
+        p, n, w = self.p, len(place), self.inner.top[place]
         false = np.searchsorted(self.up_to, self.random.random(NOISE))
         ra, rb = p["R"][a], p["R"][b]
         q = ra * p["near"] + rb * p["far"]
@@ -181,26 +241,45 @@ class Trainer:
         down += p["bias"][false] - self.log_noise[false]
         np.negative(_sigmoid(down), out=down)
         pull = up[:, None] * target + down @ wrong
-        self._step("near", (pull * ra).sum(0), n)
-        self._step("far", (pull * rb).sum(0), n)
+        split = np.flatnonzero(self.inner.size[w] > 1)
+        if len(split):
+            pull[split] += self._learn_inner(q[split], place[split], w[split], n)
         gq, gb = np.zeros_like(p["Q"]), np.bincount(w, up, len(self.noise)).astype(np.float32)
-        _add_rows(gq, w, up[:, None] * q)
+        own, rows = _row_sums(w, up[:, None] * q)
+        gq[own] += rows
         np.add.at(gq, false, down.T @ q)
         np.add.at(gb, false, down.sum(0))
-        gr = np.zeros_like(p["R"])
-        _add_rows(gr, a, pull * p["near"])
-        _add_rows(gr, b, pull * p["far"])
-        for name, grad in (("Q", gq), ("R", gr), ("bias", gb)):
-            self._step(name, grad, n)
+        own, rows = _row_sums(np.concatenate([a, b]), np.concatenate([pull * p["near"], pull * p["far"]]))
+        self._step("near", (pull * ra).sum(0), n)
+        self._step("far", (pull * rb).sum(0), n)
+        self._step("Q", gq, n)
+        self._step("bias", gb, n)
+        self._step("R", rows, n, own)
         self.tokens += n
 
-    def _step(self, name: str, grad: np.ndarray, n: int) -> None:
+    def _learn_inner(self, q: np.ndarray, place: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """The pull on q."""
+        s, bias = self.p["S"], self.p["inner"]
+        false = self.inner.draw(self.random, w)
+        target, wrong = s[place], s[false]
+        up = _sigmoid(self.log_inner[place] - (np.einsum("ij,ij->i", q, target) + bias[place]))
+        down = np.matmul(wrong, q[:, :, None])[:, :, 0] + bias[false] - self.log_inner[false]
+        np.negative(_sigmoid(down), out=down)
+        pull = up[:, None] * target + np.matmul(down[:, None, :], wrong)[:, 0]
+        at, force = np.concatenate([place, false.ravel()]), np.concatenate([up, down.ravel()])
+        which = np.concatenate([np.arange(len(q)), np.repeat(np.arange(len(q)), INNER)])
+        own, rows = _row_sums(at, np.column_stack([force[:, None] * q[which], force]))
+        self._step("S", rows[:, :-1], n, own)
+        self._step("inner", rows[:, -1], n, own)
+        return pull
+
+    def _step(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray | slice = slice(None)) -> None:
         grad = grad / np.float32(n) * 64
-        self.g[name] += grad * grad
-        self.p[name] += np.float32(RATE) * grad / np.sqrt(self.g[name])
+        self.g[name][rows] += grad * grad
+        self.p[name][rows] += np.float32(RATE) * grad / np.sqrt(self.g[name][rows])
 
-    def parameters(self) -> Parameters:
-        return Parameters(*(self.p[n].astype(float) for n in Parameters.NAMES))
+    def state(self) -> np.ndarray:
+        return np.concatenate([Parameters(**x).flat() for x in (self.p, self.g)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -212,10 +291,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at.astype(np.int16), kind="stable")  # so few classes are sorted by counting
+def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(at, kind="stable")
     own, first = np.unique(at[order], return_index=True)
-    to[own] += np.add.reduceat(rows[order], first)
+    return own, np.add.reduceat(rows[order], first)
 
 
 def contexts(codes: list[np.ndarray], classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,56 +308,168 @@ def contexts(codes: list[np.ndarray], classes: np.ndarray, end: int) -> tuple[np
     return whole[at - 1], whole[at - 2], whole[at]
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameters:
-    """Each task goes once through all of its texts from the same start; their parameters, weighted by tokens,
-    are averaged in Spark and start the next round. Every round reads every training text."""
-    noise = vocabulary.noise
-    now = Parameters.start(noise)
-    for r in range(rounds):
-        now = _round(rows, vocabulary, now, noise, r)
-    return now
+def _encoded(rows: DataFrame, vocabulary: Vocabulary, shards: int, wide: int) -> DataFrame:
+    """slice, shard and places of each text of rows(id, text); the slice after the last is set aside.
+
+    Texts are dealt by a hash of their row, so shards don't depend on how the table is partitioned.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(vocabulary)
+        for b in batches:
+            got = codes.numbers_of(b.column(1).to_pylist())
+            if got:
+                places = codes.classes()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([places[c].tobytes() for c in got], pa.binary())], names=["dealt", "places"])
+
+    hashed = rows.select(F.xxhash64("id", "text").alias("dealt"), "text")
+    codes = hashed.mapInArrow(encode, "dealt bigint, places binary")
+    last = -(-shards // wide)
+    aside = F.pmod("dealt", F.lit(ASIDE)) == 0
+    drawn = F.pmod(F.xxhash64("dealt"), F.lit(shards)).cast("int")
+    few = F.pmod(F.xxhash64("dealt"), F.lit(-(-shards // ASIDE))).cast("int")
+    dealt = codes.withColumn("shard", F.when(aside, shards + few).otherwise(drawn))
+    dealt = dealt.withColumn("slice", F.when(aside, last).otherwise((F.col("shard") / wide).cast("int")))
+    return materialise(dealt.repartition("shard").sortWithinPartitions("slice", "shard", "dealt"), "lm-places", "slice")
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """shard and places of texts that stand together."""
+    for b in batches:
+        shard = b.column(0).to_numpy(zero_copy_only=False)
+        places = [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j > i:
+                yield int(shard[i]), places[i:j]
 
 
-def _round(rows: DataFrame, vocabulary: Vocabulary, start: Parameters, noise: np.ndarray, r: int) -> Parameters:
+def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameters:
+    """Passes over all texts, rounds of them at least, until one gains less than GAIN on the texts set aside;
+    those are then learned too.
+
+    A pass goes through slices. The shards of a slice, SHARD tokens each, are learned side by side from the same
+    start, and their parameters, weighted by tokens, are averaged and start the next slice. As many slices as
+    shards in a slice: updates one after another grow with the corpus, whatever its partitions are.
+    """
+    noise, inner = vocabulary.noise, Inner(vocabulary)
+    now, squares = Parameters.start(noise, inner=np.log(inner.share)), None
+    if not vocabulary.tokens:
+        return now
+    shards = -(-vocabulary.tokens // SHARD)
+    wide = int(np.ceil(np.sqrt(shards)))
+    slices = -(-shards // wide)
+    texts = _encoded(rows, vocabulary, shards, wide)
+    aside = texts.filter(F.col("slice") == slices).select("shard", "places")
+    before, done = -np.inf, 0
+    while True:
+        for k in range(slices):
+            now, squares = _round(texts.filter(F.col("slice") == k).select("shard", "places"), vocabulary, now, squares, done * slices + k)
+        done += 1
+        gained = _mean_score(aside, vocabulary, now)
+        if done >= rounds and (gained is None or gained < before + GAIN):
+            break
+        before = -np.inf if gained is None else gained
+    return _round(aside, vocabulary, now, squares, done * slices)[0]
+
+
+def _mean_score(rows: DataFrame, vocabulary: Vocabulary, p: Parameters) -> float | None:
     end = vocabulary.held[_hash(END)][0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, places = Scorer(vocabulary, p), np.arange(len(p.R))
+        for _, got in _batches_of(batches):
+            scores = scorer.classes(*contexts(got, places, end))
+            yield pa.RecordBatch.from_arrays([pa.array([float(scores.sum())]), pa.array([len(scores)], pa.int64())], names=["total", "n"])
+
+    r = rows.mapInArrow(run, "total double, n bigint").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
+    return r.total / r.n if r.n else None
+
+
+def _round(rows: DataFrame, vocabulary: Vocabulary, start: Parameters, squares: Parameters | None, r: int) -> tuple[Parameters, Parameters | None]:
+    end, noise = vocabulary.held[_hash(END)][0], vocabulary.noise
+    block = 1 << 16
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, trainer = Codes(vocabulary), Trainer(start, noise, seed=r)
+        inner, places = Inner(vocabulary), np.arange(len(start.R))
+
+        def state_of(trainer: Trainer) -> pa.RecordBatch:
+            flat = trainer.state().astype(np.float32)
+            parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
+            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * len(parts), pa.int64())], names=["at", "part", "tokens"])
+
+        trainer, last = None, None
+        for shard, got in _batches_of(batches):
+            if shard != last:
+                if trainer:
+                    yield state_of(trainer)
+                trainer, last = Trainer(start, noise, inner, r * 1_000_003 + shard, squares), shard
+            before, earlier, words = contexts(got, places, end)
+            for i in range(0, len(words), BATCH):
+                trainer.learn(before[i : i + BATCH], earlier[i : i + BATCH], words[i : i + BATCH])
+        if trainer:
+            yield state_of(trainer)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        weights: Counter = Counter()
         for b in batches:
-            got = codes.numbers_of(b.column(0).to_pylist())
-            if got:
-                before, earlier, words = contexts(got, codes.classes(), end)
-                for i in range(0, len(words), BATCH):
-                    trainer.learn(before[i : i + BATCH], earlier[i : i + BATCH], words[i : i + BATCH])
-        if trainer.tokens:
-            flat = trainer.parameters().flat() * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int64()), pa.array(np.append(flat, trainer.tokens))], names=["at", "value"])
-
-    sums = rows.select("text").mapInArrow(learn, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    if not sums:
-        return start
-    flat = np.zeros(len(sums))
-    for row in sums:
-        flat[row.at] = row.value
-    return start.filled(flat[:-1] / flat[-1])
+            for at, part, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(part, dtype=np.float32) * np.float64(tokens)
+                weights[at] += tokens
+        means = [(x / weights[at]).astype(np.float32).tobytes() for at, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(means, pa.binary())], names=["at", "part"])
+
+    parts = rows.mapInArrow(learn, "at bigint, part binary, tokens bigint").repartition("at").mapInArrow(add, "at bigint, part binary").collect()
+    if not parts:
+        return start, squares
+    rows.sparkSession._jvm.System.gc()  # lets Spark delete the shuffles of earlier rounds
+    flat = np.concatenate([np.frombuffer(x.part, dtype=np.float32) for x in sorted(parts, key=lambda x: x.at)])
+    half = len(flat) // 2
+    return start.filled(flat[:half]), start.filled(flat[half:])
 
 
 class Scorer:
-    """log10 probabilities of words, normalised over all classes: the products of all contexts are made once."""
+    """log10 probabilities of places, normalised over all classes and over the places of a class."""
 
     def __init__(self, vocabulary: Vocabulary, p: Parameters):
-        near, far = (p.R * p.near) @ p.Q.T + p.bias, (p.R * p.far) @ p.Q.T
-        total = np.empty((len(near), len(near)), dtype=np.float32)
-        for a in range(len(near)):
-            logits = far + near[a]
-            top = logits.max(axis=1)
-            total[a] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        self.near, self.far, self.total = near.astype(np.float32), far.astype(np.float32), total
-        self.spread = vocabulary.spread
+        self.p = {n: getattr(p, n).astype(np.float32) for n in Parameters.NAMES}
+        self.inner = Inner(vocabulary)
+        self.spread = np.concatenate([vocabulary.spread, np.zeros(len(vocabulary.member_class))])
 
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(class) - log10 of the class's size; a word of a tail class still needs log10(count + 1)."""
-        return (self.near[a, w] + self.far[b, w] - self.total[a, b]) / np.log(10) - self.spread[w]
+        """log10 P(place) - log10 of the size of what shares it; a word that is no member still needs log10(count + 1)."""
+        pairs, which = np.unique(a.astype(np.int64) * len(self.p["R"]) + b, return_inverse=True)
+        q = self.p["R"][pairs // len(self.p["R"])] * self.p["near"] + self.p["R"][pairs % len(self.p["R"])] * self.p["far"]
+        total = np.empty(len(q), dtype=np.float32)
+        for i in range(0, len(q), _ROWS):
+            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ self.p["Q"].T + self.p["bias"])
+        top = self.inner.top[w]
+        out = (np.einsum("ij,ij->i", q[which], self.p["Q"][top]) + self.p["bias"][top] - total[which]).astype(float)
+        split = np.flatnonzero(self.inner.size[top] > 1)
+        split = split[np.argsort(top[split], kind="stable")]
+        cuts = np.flatnonzero(np.diff(top[split])) + 1
+        for sel in np.split(split, cuts) if len(split) else ():
+            c = top[sel[0]]
+            ids = self.inner.slots[self.inner.first[c] : self.inner.first[c + 1]]
+            s, bias = self.p["S"][ids].T, self.p["inner"][ids]
+            for i in range(0, len(sel), _ROWS):
+                part = sel[i : i + _ROWS]
+                logits = q[which[part]] @ s + bias
+                out[part] += logits[np.arange(len(part)), self.inner.at[w[part]]]
+                out[part] -= _log_sums(logits)
+        return out / np.log(10) - self.spread[w]
+
+
+_ROWS = 2048
+
+
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    """Changes logits."""
+    most = logits.max(axis=1)
+    logits -= most[:, None]
+    np.exp(logits, out=logits)
+    return most + np.log(logits.sum(axis=1))
 
 
 def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,8 +477,9 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
 
     train_on: which rows are learned from; a null there counts as false. base_score is the log10 probability
     by add-one counts. In the model a word's probability is that of its class, given the two words before, times
-    (count + 1) / (tokens + types + 1 of its class), so one unknown word of each class has a share too, and
-    all probabilities add up to 1. Counts cover all training texts: the most frequent words' are held by the
+    that of itself within the class, given them too. The words of a class without vectors share one place in it by
+    (count + 1) / (tokens + types + 1 of these words), so one unknown word of each class has a share too, and
+    all probabilities add up to 1. The number of words with vectors grows with the corpus (members_of). Counts cover all training texts: the most frequent words' are held by the
     tasks, all others' are joined by the word's 64-bit hash, after a task has summed its own.
 
     A null or empty text is its end alone. Without training texts every word is unknown and the classes are even.
@@ -322,7 +514,7 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
             model = np.add.reduceat(scorer.classes(before, earlier, words).astype(float), first)
             mine = all_codes < known
             log = np.where(mine, logs[np.where(mine, all_codes, 0)], 0.0)
-            model += np.add.reduceat(np.where(words >= OWN, log, 0.0), first)
+            model += np.add.reduceat(np.where((words >= OWN) & (words < OWN + TAILS), log, 0.0), first)
             seen = np.add.reduceat((mine & (held_counts[np.where(mine, all_codes, 0)] > 0)).astype(np.int64), first)
             doc = np.repeat(np.arange(len(n)), n)[~mine]
             pair, times = np.unique(doc * np.int64(1 << 32) + (all_codes[~mine] - known), return_counts=True)
