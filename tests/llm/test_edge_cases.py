@@ -137,3 +137,27 @@ def test_stages(spark, docs, nothing, sf_dir, name, stage):
         assert ids == sorted([1, 2, 3, 5, 6, 7, None, None], key=str)
     if name == "packing":
         assert set(ids) == {i for i, _ in ROWS}
+
+
+GOOD = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<div class="content with-sidebar">', "</div>"),
+        ('<article class="post comments-open">', "</article>"),
+        ('<div id="menu-page-wrapper"><main>', "</main></div>"),
+        ('<form action="/">', "</form>"),
+        ('<form><div class="ad-page"><article>', "</article></div></form>"),
+    ],
+)
+def test_marked_containers_keep_the_article(before, after):
+    article = f"<h1>Head</h1><p>{GOOD} 1</p><p>{GOOD} 2</p><div class='comments'><p>{GOOD} 3</p></div><p>{GOOD} 4</p>"
+    page = f'<html><body><nav>{GOOD}</nav>{before}{article}{after}<div class="related"><p>{GOOD} 5</p></div><footer>{GOOD}</footer></body></html>'
+    assert html_text.main_text(page) == f"Head\n{GOOD} 1\n{GOOD} 2\n{GOOD} 4"
+
+
+def test_comments_beside_an_article_stay_out():
+    page = f'<body><div class="content"><p>{GOOD}</p><p>{GOOD}</p></div><div id="comments"><p>{GOOD}</p></div><form><p>{GOOD}</p></form></body>'
+    assert html_text.main_text(page) == f"{GOOD}\n{GOOD}"

@@ -25,7 +25,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED_TAGS = frozenset("head nav footer aside form header menu dialog button select svg math iframe object template noscript canvas audio video".split())
+DROPPED_TAGS = frozenset("head nav footer aside header menu dialog button select svg math iframe object template noscript canvas audio video".split())
 RAW_TAGS = frozenset("script style title textarea xmp noframes".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice popup modal overlay newsletter subscribe "
@@ -34,7 +34,7 @@ DROPPED_WORDS = frozenset(
 )
 MAIN_TAGS = frozenset(("article", "main"))
 # Elements that hold the whole page or its main part; classes there speak of the page, not of furniture.
-WHOLE_TAGS = frozenset(("html", "body", "main"))
+WHOLE_TAGS = frozenset(("html", "body", "main", "article"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.DOTALL)
@@ -51,6 +51,8 @@ class Rules:
     stop_low: float = 0.12
     stop_high: float = 0.22
     links: float = 0.4
+    whole: float = 0.5
+    beside: float = 0.25
 
 
 @dataclass
@@ -60,6 +62,7 @@ class Block:
     dropped: bool
     main: int  # the main element it stands in, 0 if none
     heading: bool
+    marks: tuple[int, ...] = ()  # the elements around it that may be furniture
     label: str = field(default="")
 
 
@@ -67,15 +70,15 @@ def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order: text with references decoded and white space collapsed, and where it stands."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, dropped, main
-    heading, anchors, mains, at = False, 0, 0, 0
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, dropped, main, marks
+    heading, anchors, mains, marked, at = False, 0, 0, 0, 0
 
     def close() -> None:
         text = " ".join(unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = len(" ".join(unescape("".join(p for p, a in parts if a)).split()))
-            _, dropped, main = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, linked, dropped, main, heading))
+            _, dropped, main, marks = stack[-1] if stack else ("", False, 0, ())
+            out.append(Block(text, linked, dropped, main, heading, marks))
         parts.clear()
 
     while at < len(html):
@@ -117,15 +120,18 @@ def blocks_of(html: str) -> list[Block]:
             else:
                 if tag == "body":
                     stack[:] = [s for s in stack if s[0] != "head"]
-                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                page_part = tag in DROPPED_TAGS and not (tag == "header" and main)
-                if page_part or (tag not in WHOLE_TAGS and _hinted(m[3])):
+                dropped, main, marks = stack[-1][1:] if stack else (False, 0, ())
+                if tag in DROPPED_TAGS and not (tag == "header" and main):
                     close()
                     dropped = True
+                elif tag == "form" or (tag not in WHOLE_TAGS and _hinted(m[3])):
+                    close()
+                    marked += 1
+                    marks = (*marks, marked)
                 elif tag in MAIN_TAGS and not main:
                     mains += 1
                     main = mains
-                stack.append((tag, dropped, main))
+                stack.append((tag, dropped, main, marks))
     close()
     return out
 
@@ -137,19 +143,40 @@ def _hinted(attributes: str) -> bool:
     return any(w in DROPPED_WORDS for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
+def _first_label(b: Block, rules: Rules) -> str:
+    words = [w.lower() for w in _WORD.findall(b.text)]
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.dropped or b.linked > rules.links * len(b.text):
+        return "bad"
+    if len(b.text) < rules.short:
+        return "short"
+    if stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
+        return "good"
+    return "near" if stops >= rules.stop_low or b.main else "bad"
+
+
+def _containers(blocks: list[Block], rules: Rules) -> set[int]:
+    """Marked elements that hold the page's text in spite of a furniture word or of being a form: at least the share
+    whole of its good text, and next to them little stands outside of all marked elements. On a page with good text in
+    articles or a main element only that text counts."""
+    good = [b for b in blocks if b.label == "good"]
+    good = [b for b in good if b.main] or good
+    held: dict[int, int] = {}
+    for b in good:
+        for k in b.marks:
+            held[k] = held.get(k, 0) + len(b.text)
+    free, total = sum(len(b.text) for b in good if not b.marks), sum(len(b.text) for b in good)
+    return {k for k, n in held.items() if n >= rules.whole * total and free < rules.beside * n}
+
+
 def classify(blocks: list[Block], rules: Rules = Rules()) -> list[Block]:
     """Labels each block good or bad; changes the blocks in place and returns them."""
     for b in blocks:
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.dropped or b.linked > rules.links * len(b.text):
-            b.label = "bad"
-        elif len(b.text) < rules.short:
-            b.label = "short"
-        elif stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
-            b.label = "good"
-        else:
-            b.label = "near" if stops >= rules.stop_low or b.main else "bad"
+        b.label = _first_label(b, rules)
+    whole = _containers(blocks, rules)
+    for b in blocks:
+        if not b.dropped and not whole.issuperset(b.marks):
+            b.dropped, b.label = True, "bad"
     if any(b.main and b.label == "good" for b in blocks):
         for b in blocks:
             if not b.main:
@@ -185,6 +212,8 @@ def main_text(html: str, rules: Rules = Rules()) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), rules: Rules = Rules()) -> DataFrame:
     """One row per page: id, the kept columns, text, n_chars.
 
+    An element that a word of its class, id or role marks as furniture, and a form, is left out unless it holds most
+    of the page's good text (_containers).
     First pass: blocks in page furniture or made of links are bad, long ones with many function words good,
     the others short or near-good. Second pass: those take the label of the nearest decided block in the same
     main element (both neighbours alike, or the nearer one); with none decided, the text of a
