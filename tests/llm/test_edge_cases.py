@@ -161,3 +161,17 @@ def test_marked_containers_keep_the_article(before, after):
 def test_comments_beside_an_article_stay_out():
     page = f'<body><div class="content"><p>{GOOD}</p><p>{GOOD}</p></div><div id="comments"><p>{GOOD}</p></div><form><p>{GOOD}</p></form></body>'
     assert html_text.main_text(page) == f"{GOOD}\n{GOOD}"
+
+
+@pytest.mark.parametrize(
+    ("text", "iban"),
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+        ("DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013000 12.05.2024", "DE89370400440532013000"),
+        ("AB12 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013001 BIC COBADEFFXXX", None),
+    ],
+)
+def test_iban_followed_by_other_words(text, iban):
+    assert [text[a:b] for k, a, b, _ in pii.find_pii(text) if k == "iban"] == ([iban] if iban else [])
