@@ -325,3 +325,16 @@ def test_governance_tampering(spark):
     claims = spark.createDataFrame([("a", "m", "mae", 1.0), ("b", "m", "mae", 2.0), ("c", "gone", "mae", 1.0), ("d", "m", "other", 1.0)], "claim_id string, artifact_id string, field string, value double")
     metrics = spark.createDataFrame([("m", '{"aggregate": {"mae": 1.0}}')], "artifact_id string, payload string")
     assert {r.claim_id for r in governance.bound_values(claims, metrics).collect()} == {"b", "c", "d"}
+
+
+def test_subset_choice_of_large_groups(spark):
+    assert len(split.choose_subset({"a": 100, "b": 100, "c": 101}, 30, 7)) == 1
+    with pytest.raises(ValueError):
+        split.choose_subset({"a": 3}, 2, 7, minimum=4)
+    assert sum({"a": 1, "b": 1, "c": 9}[g] for g in split.choose_subset({"a": 1, "b": 1, "c": 9}, 2, 7, max_groups=1)) == 1
+    assert sum(split.choose_subset({i: i for i in range(10**6, 10**6 + 40)}, 5 * 10**6, 7)) == pytest.approx(5 * 10**6, abs=200)
+    rows = spark.createDataFrame([(i, f"g{i % 4}") for i in range(40)], "record_id long, group_id string")
+    got = split.assign(rows, "group_id", {"initial": 4, "test": 4, "validation": 4}, "pool", 7)
+    assert {r.partition: r.n_records for r in split.summary(got, "record_id", "group_id").collect()} == {"initial": 10, "test": 10, "validation": 10, "pool": 10}
+    with pytest.raises(ValueError):
+        split.assign(rows.filter("group_id < 'g3'"), "group_id", {"initial": 4, "test": 4, "validation": 4}, "pool", 7)

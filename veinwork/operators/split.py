@@ -16,21 +16,53 @@ def seeded_order(*columns: Column | str, seed: int) -> Column:
     return F.sha2(F.concat_ws("~", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c for c in columns)), 256)
 
 
-def choose_subset(sizes: Mapping[str, int], target: int, seed: int) -> list[str]:
-    """Whole groups whose sizes add up as near to target as they can; of equally near sums the smaller, of equal
-    sums the set that was reached first in the groups' seeded order.
+#: Sums that a subset search tells apart: exact for targets up to half as many rows, beyond that one set for each step.
+STEPS = 1 << 18
 
-    sizes are group counts, one number for each group: a table of sums up to twice the target.
+
+def choose_subset(sizes: Mapping[str, int], target: int, seed: int, minimum: int = 1, max_groups: int | None = None) -> list[str]:
+    """Whole groups, one at least and max_groups at most, whose sizes add up to minimum or more and as near to target
+    as they can; of equally near sums the smaller, of equal sums the set that was reached first in the groups' seeded
+    order. Nothing for a target of 0; an error where no set is allowed.
+
+    sizes are group counts, one number for each group. The table of sums has STEPS rows at most, whatever the target.
     """
+    if target <= 0:
+        return []
     order = sorted(sizes, key=lambda g: hashlib.sha256(f"{seed}~{g}".encode()).hexdigest())
-    reached: dict[int, tuple[str, ...]] = {0: ()}
+    chosen = _nearest_subset(sizes, order, target, minimum, None)
+    if chosen and max_groups is not None and len(chosen) > max_groups:
+        chosen = _nearest_subset(sizes, order, target, minimum, max_groups)
+    if not chosen:
+        raise ValueError(f"no set of whole groups has {minimum} rows or more")
+    return sorted(chosen)
+
+
+def _nearest_subset(sizes: Mapping[str, int], order: Sequence[str], target: int, minimum: int, most: int | None) -> list[str]:
+    """With most, sets of different numbers of groups are kept apart."""
+    top = 2 * max(target, minimum)
+    step = -(-top // STEPS)
+    reached: dict[tuple[int, int], tuple[int, str, tuple[int, int]]] = {(0, 0): (0, "", (0, 0))}  # sum, last group, what it was added to
+    over: tuple[int, str, tuple[int, int]] | None = None  # the smallest sum above top
     for g in order:
-        for total, chosen in sorted(reached.items(), reverse=True):
+        for key, (total, _, _) in sorted(reached.items(), key=lambda x: -x[1][0]):
             more = total + sizes[g]
-            if more <= 2 * target and more not in reached:
-                reached[more] = (*chosen, g)
-    best = min((t for t in reached if t or not target), key=lambda t: (abs(t - target), t), default=0)
-    return sorted(reached[best])
+            if most is not None and key[0] >= most:
+                continue
+            if more > top:
+                if over is None or more < over[0]:
+                    over = (more, g, key)
+            else:
+                reached.setdefault((key[0] + 1 if most is not None else 0, -(-more // step)), (more, g, key))
+        if most is None and minimum <= target and reached.get((0, -(-target // step)), (0,))[0] == target:
+            break
+    allowed = [x for x in reached.values() if x[0] and x[0] >= minimum]
+    best = min(allowed, key=lambda x: (abs(x[0] - target), x[0]), default=over)
+    chosen = []
+    while best and best[1]:
+        chosen.append(best[1])
+        best = reached[best[2]]
+    return chosen
 
 
 def pick_grouping(rows: DataFrame, fields: Sequence[str], least_groups: int) -> str:
@@ -45,15 +77,20 @@ def pick_grouping(rows: DataFrame, fields: Sequence[str], least_groups: int) ->
     raise ValueError("no field groups the rows")
 
 
-def assign(rows: DataFrame, group: str, targets: Mapping[str, int], rest: str, seed: int) -> DataFrame:
+def assign(rows: DataFrame, group: str, targets: Mapping[str, int], rest: str, seed: int, minima: Mapping[str, int] | None = None) -> DataFrame:
     """rows with a column partition: each target in turn takes whole groups, the rest keeps what is left.
+    A group stays for each later target and one for the rest; an error where a target's minimum, 1 by default, can't be met.
 
     Only group counts come to the driver; the assignment is joined back on the group.
     """
     left = {r[0]: r["count"] for r in rows.groupBy(group).count().collect()}
     placed = []
-    for name, target in targets.items():
-        for g in choose_subset({k: v for k, v in left.items() if k is not None}, target, seed):
+    for i, (name, target) in enumerate(targets.items()):
+        groups = {k: v for k, v in left.items() if k is not None}
+        later = sum(t > 0 for t in list(targets.values())[i + 1 :]) + (None not in left)
+        if target > 0 and len(groups) <= later:
+            raise ValueError(f"no group is left for {name}")
+        for g in choose_subset(groups, target, seed, (minima or {}).get(name, 1), len(groups) - later):
             placed.append((g, name))
             left.pop(g)
     table = rows.sparkSession.createDataFrame(placed, f"{group} {rows.schema[group].dataType.simpleString()}, partition string")
