@@ -338,3 +338,14 @@ def test_subset_choice_of_large_groups(spark):
     assert {r.partition: r.n_records for r in split.summary(got, "record_id", "group_id").collect()} == {"initial": 10, "test": 10, "validation": 10, "pool": 10}
     with pytest.raises(ValueError):
         split.assign(rows.filter("group_id < 'g3'"), "group_id", {"initial": 4, "test": 4, "validation": 4}, "pool", 7)
+
+
+def test_json_keys_at_any_depth(spark):
+    deep = '{"a": {"b": [{"c": {"d": {"e": {"Energy": "TBD"}}}}]}}'
+    texts = [deep, '[{"forces": []}]', '{"x": "energy\\": 1", "y": ["\\"", ":energy"]}', '{"\\u0065nergy": 1}', '{"energy": 1, "energy": 2}', "no energy: json", None, "3"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, j string")
+    assert {r.k: r.found for r in views.json_key_scan(rows, "j", "k", ["energy", "forces"]).collect()} == {0: ["energy"], 1: ["forces"], 3: ["energy"], 4: ["energy"]}
+    assert (0, "/a/b/0/c/d/e/Energy", "TBD") in {(r.k, r.path, r.value) for r in views.variant_keys(rows, "j", "k").collect()}
+    from veinwork.operators import clearance
+
+    assert [tuple(r) for r in clearance.pending_fields(rows, "j", "k").collect()] == [(0, "/a/b/0/c/d/e/Energy")]

@@ -38,8 +38,8 @@ def surviving_storage(records: DataFrame, key: str, active: str, names: Sequence
     return records.filter(F.coalesce(F.col(active), F.lit(False))).select(key, F.coalesce(*names, F.lit("unidentified-storage")).alias("storage"))
 
 
-def pending_fields(rows: DataFrame, json_column: str, key: str, sentinel: str = "TBD", depth: int = 4) -> DataFrame:
-    """Paths of a JSON text, down to a depth, at which the sentinel stands, in objects and lists."""
+def pending_fields(rows: DataFrame, json_column: str, key: str, sentinel: str = "TBD", depth: int | None = None) -> DataFrame:
+    """Paths of a JSON text, down to a depth if one is given, at which the sentinel stands, in objects and lists."""
     return variant_keys(rows, json_column, key, depth, elements=True).filter(F.col("value") == sentinel).select(key, "path")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,20 +37,40 @@ def hidden_fields(schema: T.DataType, hidden: Sequence[str] = HIDDEN_KEYS, path:
     return []
 
 
+_STRING = r'(?s)"(?:[^"\\]++|\\.)*+"'
+
+
+def json_depth(json_column: str) -> Column:
+    """How deep the objects and lists of a JSON text are nested; null if it can't be parsed."""
+    brackets = F.regexp_replace(F.regexp_replace(json_column, _STRING, ""), r"[^{}\[\]]", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, start, lambda a, x: F.struct((a.now + x).alias("now"), F.greatest(a.most, a.now + x).alias("most")), lambda a: a.most)
+    return F.when(F.try_parse_json(json_column).isNotNull(), deepest)
+
+
 def json_key_scan(rows: DataFrame, json_column: str, key: str, hidden: Sequence[str]) -> DataFrame:
-    """Rows whose JSON object has a hidden top-level key, whatever its case, with the keys found; text that is no object has none."""
-    keys = F.coalesce(F.json_object_keys(json_column), F.array().cast("array<string>"))
-    found = F.array_sort(F.filter(F.transform(keys, F.lower), lambda k: k.isin(*hidden)))
+    """Rows whose JSON object or list has a hidden key at any depth, whatever its case, with the keys found; other text has none."""
+    # Strings are read one after another, so a quote or colon within one is never taken for a key's.
+    strings = F.regexp_extract_all(json_column, F.lit(_STRING + r"(?:\s*:)?"), F.lit(0))
+    quoted = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.regexp_replace(s, r"\s*:$", ""))
+    is_json = F.json_object_keys(json_column).isNotNull() | F.json_array_length(json_column).isNotNull()
+    keys = F.when(is_json, F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>"))
+    keys = F.coalesce(keys, F.array().cast("array<string>"))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(keys, F.lower), lambda k: k.isin(*hidden))))
     return rows.select(key, found.alias("found")).filter(F.size("found") > 0)
 
 
-def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int = 4, elements: bool = False) -> DataFrame:
-    """Every key down to a depth of a JSON text, with its path and the value there as text; with elements also
+def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int | None = None, elements: bool = False) -> DataFrame:
+    """Every key of a JSON text, down to a depth if one is given, with its path and the value there as text; with elements also
     every place of a list, whose key is null.
 
     Each level is one variant_explode over the level above; levels without objects add nothing.
+    Without a depth a first pass finds that of the deepest text.
     """
     spark = rows.sparkSession
+    if depth is None:
+        depth = max(1, rows.agg(F.max(json_depth(json_column))).first()[0] or 0)
     level = rows.select(F.col(key).alias("id"), F.try_parse_json(json_column).alias("v"), F.lit("").alias("path"))
     out = None
     for _ in range(depth):

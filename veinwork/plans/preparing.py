@@ -147,7 +147,7 @@ def hidden_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'k' AS key, '/k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.variant_keys(table(spark, sf_dir, "events"), "props", "event_id", depth=2)
+    return views.variant_keys(table(spark, sf_dir, "events"), "props", "event_id")
 
 
 @query(
