@@ -90,12 +90,22 @@ def test_sequences_hold_the_pieces(spark):
     assert sum(i == 0 for r in whole for i in r.input_ids[: r.n_tokens]) == 60
 
 
+def fuzzed_texts(n, seed=8):
+    """Texts of usual and unusual pieces, some with the strings of added tokens, whole or cut."""
+    r = random.Random(seed)
+    pieces = ["<|endoftext|>", "<|endoftext|", "|endoftext|>", " ", "  ", "\n", "\t", "it's", "I'LL", "don't", "a", "Zz", "123", "12٣", "é", "ß", "日本", "—", "…", "\xa0", "\u3000", "\x85", "\x1c", ".", ",,,", "!?", "_", "x" * 600, " " * 600, "word", "Привет", "🙂", "e\u0301", "½", "ﬀ"]
+    return ["".join(r.choices(pieces[:3] * (i % 3) + pieces[3:], k=r.randint(0, 24))) for i in range(n)]
+
+
 def test_encoder_equals_the_tokenizer(documents):
-    e = packing.Encoder(queries.byte_bpe())
-    odd = ["", " ", "a  b\n\n c\t", "it's we'll I'D<|endoftext|>", "日本語 \x1c\x85", "…—€½² \xa0x", "a　b", "x" * 3000, " " * 3000, "Привет 12٣"]
-    assert e.fast is not None
-    for text in odd + list(documents.values())[:60]:
-        assert list(e.batch([text])[0]) == e.plain(text)
+    """Against the library's own call on a tokenizer of its own, with its defaults."""
+    from tokenizers import Tokenizer
+
+    own, e = Tokenizer.from_file(queries.byte_bpe()), packing.Encoder(queries.byte_bpe())
+    odd = ["", " ", "a  b\n\n c\t", "it's we'll I'D<|endoftext|>", "a<|endoftext|>b", "日本語 \x1c\x85", "…—€½² \xa0x", "a　b", "x" * 3000, " " * 3000, "Привет 12٣"]
+    assert e.fast is not None and e.added == ["<|endoftext|>"]
+    for text in odd + fuzzed_texts(10_000) + list(documents.values())[:60]:
+        assert list(e.batch([text])[0]) == own.encode(text, add_special_tokens=False).ids
 
 
 def test_language_model_counts_and_gain(spark, documents):
@@ -252,6 +262,32 @@ def test_contamination_matches_all_pairs(spark, documents):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [2, 8])
+def test_contamination_of_repetitive_and_short_items(spark, hot, monkeypatch):
+    """Few different words, so windows repeat within items and are shared by many of them; items of 1 to 4 tokens too."""
+    monkeypatch.setattr(decontaminate, "HOT", hot)
+    monkeypatch.setattr(decontaminate, "STEP", 7)
+    r = random.Random(hot)
+    words = ["ha", "ho", "a", "b", "c", "d"]
+    line = lambda n, k: [r.choice(words[:k]) for _ in range(n)]
+    items = [["ha"] * 20, ["answer", "is", "forty", "two"], ["a", "b", "c", "d", "e"] * 4, ["yes"]]
+    items += [line(r.randint(1, 30), r.randint(1, 6)) for _ in range(30)]
+    items += [["please", "answer", "the", "question", "below", *(f"i{i}w{j}" for j in range(12))] for i in range(6)]
+    docs = [["ha"] * 20, ["so", "answer", "is", "forty", "two"], "a b c d e X a b c d e Y".split(), ["yes"], [], ["please", "answer", "the", "question", "below"]]
+    docs += [line(r.randint(0, 60), r.randint(1, 6)) for _ in range(50)]
+    docs += [items[-k][5 * (k % 2) :] + line(9, 6) for k in range(1, 7)]
+    want = set()
+    for i, p in enumerate(items):
+        width = min(5, len(p))
+        for d, t in enumerate(docs):
+            matched = sum(n for *_, n in tiles([w.lower() for w in t], p, width))
+            if matched and 2 * matched >= len(p):
+                want.add((d, i, matched))
+    made = [spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{c} long, text string").repartition(3) for rows, c in ((docs, "doc_id"), (items, "item_id"))]
+    got = [(x.doc_id, x.item_id, x.matched_tokens) for x in decontaminate.find_contamination(*made).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_reordered_passages_are_caught_and_single_phrases_not(spark):
     words = [f"q{i}" for i in range(40)]
     item = " ".join(words)

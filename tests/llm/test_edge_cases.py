@@ -89,7 +89,7 @@ def test_toxicity(docs, nothing, spark):
 def test_decontamination(docs, nothing, spark):
     bench = spark.createDataFrame([(1, BODY), (2, None), (3, ""), (4, "too short"), (1, BODY)], "item_id long, text string").withColumns({c: F.lit("clash") for c in CLASHING})
     got = [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.find_contamination(docs, bench).collect()]
-    assert {g for g in got} == {(3, 1, 1.0), (4, 1, 1.0)}
+    assert sorted(got) == [(3, 1, 1.0)] * 2 + [(4, 1, 1.0)] * 4  # a repeated document or item gives its pairs each
     assert decontaminate.find_contamination(nothing, bench).count() == 0
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
 
