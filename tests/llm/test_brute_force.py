@@ -121,16 +121,6 @@ def test_language_model_counts_and_gain(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_is_normalised():
-    r = np.random.default_rng(5)
-    k = language_model.OWN + language_model.TAILS
-    p = language_model.Parameters.start(np.full(k, 1 / k))
-    v = language_model.Vocabulary({}, 0, 0, np.zeros(k), np.zeros(k))
-    s = language_model.Scorer(v, p.filled(p.flat() + r.normal(0, 0.5, len(p.flat()))))
-    for a, b in ((0, 0), (3, 500), (639, 7)):
-        assert (10 ** s.classes(np.full(k, a), np.full(k, b), np.arange(k))).sum() == pytest.approx(1, abs=1e-4)
-
-
 def jaccard_components(texts, k, threshold):
     sets = {}
     for i, t in texts.items():
@@ -419,18 +409,28 @@ def test_pipeline_stages_against_brute_force(spark, documents, tmp_path):
     assert packed == clean
 
 
-def test_language_model_grows_and_is_normalised_with_members(spark, documents):
+def test_language_model_grows_and_is_normalised(spark, documents):
+    """The probabilities of all places, each shared among its words, add up to 1 whatever stands before."""
     rows = spark.createDataFrame(list(documents.items()), "id long, text string")
     v = language_model.Vocabulary.of(language_model.word_counts(rows))
     small = language_model.Vocabulary.of(language_model.word_counts(rows.filter("id % 8 = 0")))
     assert len(v.member_class) > len(small.member_class) > 0
-    k = language_model.OWN + language_model.TAILS + len(v.member_class)
-    r = np.random.default_rng(5)
-    p = language_model.Parameters.start(v.noise, inner=np.zeros(k))
-    s = language_model.Scorer(v, p.filled(p.flat() + r.normal(0, 0.5, len(p.flat()))))
+    r, inner = np.random.default_rng(5), language_model.Inner(v)
+    p = language_model.Parameters.start(v.noise, inner.share).changed(lambda _, x: x + r.normal(0, 0.5, x.shape))
+    s, k = language_model.Scorer(v, p), len(inner.top)
     s.spread = np.zeros(k)
     for a, b in ((0, 0), (3, k - 1), (k - 2, 7)):
         assert (10 ** s.classes(np.full(k, a), np.full(k, b), np.arange(k))).sum() == pytest.approx(1, abs=1e-4)
+    counts, shares = Counter(), np.zeros(k)
+    for t in documents.values():
+        counts.update(language_model.words_of(t))
+    codes = language_model.Codes(v)
+    for w, n in counts.items():
+        place = codes.classes()[codes[w]]
+        inside = language_model.OWN <= place < len(v.classes)
+        shares[place] += (n + 1) / 10 ** v.spread[place] if inside else 1
+    assert shares[: language_model.OWN] == pytest.approx(1) and shares[len(v.classes) :] == pytest.approx(1)
+    assert all(0 <= x < 1 for x in shares[language_model.OWN : len(v.classes)])  # the rest is an unknown word's
 
 
 def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypatch):

@@ -67,10 +67,18 @@ def test_packing(docs, nothing):
 
 
 def test_language_model(docs, nothing, spark):
-    got = {r.doc_id: r for r in language_model.score(docs.filter("doc_id IS NOT NULL"), F.col("doc_id") != 6).collect()}
-    assert got[1].n_tokens == got[2].n_tokens == 1 and got[1].score == got[2].score
-    assert got[6].n_known == 1 and got[6].n_tokens == 2
-    assert got[4].n_tokens == 2 * got[3].n_tokens  # a repeated id is scored together
+    rows = language_model.score(docs, F.coalesce("doc_id", F.lit(0)) != 6).collect()
+    assert len(rows) == len(ROWS)  # repeated and missing ids keep their rows
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.n_tokens, r.n_known, r.score, r.base_score))
+    assert got[1] == got[2] and got[1][0][0] == 1
+    assert got[6][0][:2] == (2, 1)
+    assert sorted(n for n, *_ in got[None]) == [1, 6]
+    assert got[4][0] == pytest.approx(got[3][0]) and got[4][1] == pytest.approx(got[3][0])
+    two = spark.createDataFrame([(1, "a"), (1, "a b c"), (None, "a"), (None, "b b")], "doc_id long, text string")
+    parts = language_model.score(two, F.lit(True)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in parts) == [("1", 2), ("1", 4), ("None", 2), ("None", 3)]
     assert language_model.score(nothing, F.lit(True)).count() == 0
     unknown = language_model.score(docs, F.lit(None).cast("boolean")).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in unknown)

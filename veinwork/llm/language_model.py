@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.common import bounded_batches, keyed_text, materialise
 
-#: Frequent words that are classes of their own; classes of all other words, by their last two bytes; words whose
-#: counts the tasks hold at least (the counts of all others are joined); sizes of the vectors, batches and noise samples.
-OWN, TAILS, HELD, WIDTH, BATCH, NOISE = 384, 256, 50_000, 24, 1024, 64
-#: Noise words of the same class for each word; tokens that a task learns between two averagings; one in so many
-#: documents tells when to stop; the least gain of a pass in log10 a token.
-INNER, SHARD, ASIDE, GAIN = 6, 1 << 20, 64, 0.005
-RATE = 0.05
+#: Most frequent words, each a class of its own; the finest tail classes of all other words, by their last two bytes;
+#: words whose counts the tasks hold at least (the counts of all others are joined); sizes of the vectors and batches.
+OWN, TAIL_HASHES, HELD, WIDTH, BATCH = 64, 4096, 50_000, 24, 2048
+#: Noise classes that a batch shares; noise words of the same class for each word; tokens and tokens for each vector
+#: that a task learns between two averagings; one in so many documents tells when to stop.
+NOISE, INNER, SHARD, SHARD_X, ASIDE = 48, 3, 1 << 20, 128, 64
+#: Words with vectors for each cube root of tokens; tail classes for each square root of those words.
+MEMBERS, TAILS = 32, 3.0
+#: A corpus of fewer tokens is gone through again until so many have been learned, or a pass gains less than GAIN, in log10 a token.
+LEARN, GAIN = 1 << 24, 0.005
+RATE = 0.12
 _REMEMBERED = 300_000
 #: The end of a text, as a word that no text can hold.
 END = b"\n"
@@ -34,7 +38,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def tail_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % TAILS
+    return xxhash.xxh32_intdigest(word[-2:]) % TAIL_HASHES
 
 
 def _hash(word: bytes) -> int:
@@ -64,21 +68,27 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def members_of(tokens: int) -> int:
-    """How many words of the tail classes have vectors of their own: grows with the corpus."""
-    return int(4 * np.sqrt(tokens))
+    """How many words of the tail classes have vectors of their own: grows with the corpus, slowly enough that a task can hold them all."""
+    return int(MEMBERS * np.cbrt(tokens))
+
+
+def tails_of(tokens: int) -> int:
+    """Tail classes, a power of two that divides TAIL_HASHES: about as many as members in a class."""
+    return int(np.clip(2 ** np.ceil(np.log2(1 + TAILS * np.sqrt(members_of(tokens)))), 32, TAIL_HASHES))
 
 
 @dataclass
 class Vocabulary:
     """What tasks know about words: the most frequent ones, and sums for each class.
 
-    A word's place is its class, or OWN + TAILS + m if it is member m of a tail class. A tail class's own place
+    A word's place is its class, or that of the tail class after the last plus m if it is member m of a tail class. A tail class's own place
     stands for those of its words that are no members.
     """
 
     held: dict[int, tuple[int, int]]  # hash -> place, count
     tokens: int
     types: int
+    tails: int
     classes: np.ndarray  # tokens of each class
     spread: np.ndarray  # log10 of tokens + types + 1 of a class's words that are no members; 0 for a word of its own
     member_class: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
@@ -92,39 +102,40 @@ class Vocabulary:
         """
         per_tail = {r.tail: (r.tokens, r.types) for r in counts.groupBy("tail").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
         tokens, types = (sum(x[i] for x in per_tail.values()) for i in (0, 1))
-        most = max(HELD, 2 * (OWN + members_of(tokens)))
+        tails, most = tails_of(tokens), max(HELD, 2 * (OWN + members_of(tokens)))
         step = (F.log2("count") * 16).cast("int")
         sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
         least = next((s + 1 for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total > most), 0)
         top = sorted(counts.filter((step >= least) | (F.col("hash") == _hash(END))).collect(), key=lambda r: (-r["count"], r.hash))
-        classes, kinds = np.zeros(OWN + TAILS), np.zeros(OWN + TAILS)
+        classes, kinds = np.zeros(OWN + tails), np.zeros(OWN + tails)
         for t, (n, v) in per_tail.items():
-            classes[OWN + t], kinds[OWN + t] = n, v
+            classes[OWN + t % tails] += n
+            kinds[OWN + t % tails] += v
         members = top[OWN : OWN + members_of(tokens)]
         held = {}
         for i, r in enumerate(top):
-            place = i if i < OWN else OWN + TAILS + i - OWN if i < OWN + len(members) else OWN + r.tail
-            held[r.hash] = (place, r["count"])
+            tail = OWN + r.tail % tails
+            held[r.hash] = (i if i < OWN else tails + i if i < OWN + len(members) else tail, r["count"])
             if i < OWN:
                 classes[i] = r["count"]
-                classes[OWN + r.tail] -= r["count"]
-                kinds[OWN + r.tail] -= 1
-        member_class = np.array([OWN + r.tail for r in members], dtype=np.int64)
+                classes[tail] -= r["count"]
+                kinds[tail] -= 1
+        member_class = np.array([OWN + r.tail % tails for r in members], dtype=np.int64)
         member_count = np.array([r["count"] for r in members], dtype=float)
-        others = classes - np.bincount(member_class, member_count, OWN + TAILS)
-        spread = np.log10(others + kinds - np.bincount(member_class, minlength=OWN + TAILS) + 1)
+        others = classes - np.bincount(member_class, member_count, OWN + tails)
+        spread = np.log10(others + kinds - np.bincount(member_class, minlength=OWN + tails) + 1)
         spread[:OWN] = 0
-        return cls(held, tokens, types, classes, spread, member_class, member_count)
+        return cls(held, tokens, types, tails, classes, spread, member_class, member_count)
 
     @property
     def top(self) -> np.ndarray:
         """The class of each place."""
-        return np.concatenate([np.arange(OWN + TAILS), self.member_class])
+        return np.concatenate([np.arange(len(self.classes)), self.member_class])
 
     @property
     def inner(self) -> np.ndarray:
         """The tokens of each place, half a one more."""
-        others = self.classes - np.bincount(self.member_class, self.member_count, OWN + TAILS)
+        others = self.classes - np.bincount(self.member_class, self.member_count, len(self.classes))
         return np.concatenate([others, self.member_count]) + 0.5
 
     @property
@@ -132,12 +143,18 @@ class Vocabulary:
         p = self.classes + 0.5
         return p / p.sum()
 
+    @property
+    def narrow(self) -> str:
+        """The type that places are written in."""
+        return "<u2" if len(self.classes) + len(self.member_class) <= 1 << 16 else "<u4"
+
 
 class Codes(dict):
     """word -> number; numbers below len(vocabulary.held) are held words, the others were met by this task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.numbers = {h: i for i, h in enumerate(vocabulary.held)}
+        self.tails = vocabulary.tails
         self.base_classes = np.array([c for c, _ in vocabulary.held.values()], dtype=np.int32)
         self.new: list[tuple[int, int]] = []
 
@@ -146,7 +163,7 @@ class Codes(dict):
         n = self.numbers.get(h)
         if n is None:
             n = len(self.numbers) + len(self.new)
-            self.new.append((h, OWN + tail_of(word)))
+            self.new.append((h, OWN + tail_of(word) % self.tails))
         self[word] = n
         return n
 
@@ -167,119 +184,154 @@ class Codes(dict):
 @dataclass
 class Parameters:
     """For q = near * R[a] + far * R[b], with a the place of the word before and b of the one before that: a class
-    scores q . Q[class] + bias[class], a place within its class q . S[place] + inner[place]."""
+    scores (q, 1) . Q[class], a place within its class (q, 1) . S[place]. mix holds near and far."""
 
     R: np.ndarray
-    Q: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
     S: np.ndarray
-    inner: np.ndarray
+    Q: np.ndarray
+    mix: np.ndarray
 
-    NAMES = ("R", "Q", "near", "far", "bias", "S", "inner")
+    NAMES = ("R", "S", "Q", "mix")
 
     @classmethod
-    def start(cls, noise: np.ndarray, seed: int = 3, inner: np.ndarray | None = None) -> Parameters:
-        """inner: log shares of the places in their classes; without them there are no members."""
+    def start(cls, noise: np.ndarray, shares: np.ndarray, seed: int = 3) -> Parameters:
+        """shares: of the places in their classes."""
         r = np.random.default_rng(seed)
-        inner = np.zeros(len(noise)) if inner is None else inner
-        size, places = (len(noise), WIDTH), (len(inner), WIDTH)
-        return cls(r.normal(0, 0.3, places), r.normal(0, 0.3, size), np.full(WIDTH, 0.5), np.full(WIDTH, 0.2), np.log(noise), r.normal(0, 0.1, places), inner)
+        classes, places = r.normal(0, 0.3, (len(noise), WIDTH)), r.normal(0, 0.1, (len(shares), WIDTH))
+        return cls(r.normal(0, 0.3, (len(shares), WIDTH)), np.column_stack([places, np.log(shares)]), np.column_stack([classes, np.log(noise)]), np.vstack([np.full(WIDTH, 0.5), np.full(WIDTH, 0.2)]))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
-
-    def filled(self, flat: np.ndarray) -> Parameters:
-        parts = np.split(flat, np.cumsum([getattr(self, n).size for n in self.NAMES])[:-1])
-        return Parameters(*(p.reshape(getattr(self, n).shape) for n, p in zip(self.NAMES, parts, strict=True)))
+    def changed(self, change) -> Parameters:
+        """change(name, table) for each table."""
+        return Parameters(*(change(n, getattr(self, n)) for n in self.NAMES))
 
 
 class Inner:
-    """The places of each tail class, and draws from them by their tokens."""
+    """The places of each class, and the share that each has of its class's tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.top = vocabulary.top
+        n = len(vocabulary.classes)
         self.slots = np.argsort(self.top, kind="stable")
-        self.first = np.searchsorted(self.top[self.slots], np.arange(OWN + TAILS + 1))
+        self.first = np.searchsorted(self.top[self.slots], np.arange(n + 1))
         self.at = np.empty(len(self.top), dtype=np.int64)  # of each place within its class
         self.at[self.slots] = np.arange(len(self.top)) - self.first[self.top[self.slots]]
         self.size = np.diff(self.first)
         tokens = vocabulary.inner
-        self.share = tokens / np.bincount(self.top, tokens, OWN + TAILS)[self.top]
-        self.sums = np.cumsum(tokens[self.slots])
-        ends = np.concatenate([[0.0], self.sums])
-        self.low, self.high = ends[self.first[:-1]], ends[self.first[1:]]
+        self.share = tokens / np.bincount(self.top, tokens, n)[self.top]
+
+
+@dataclass
+class Learned:
+    """Parameters, and for each row of a table the sum of squares that AdaGrad divides by."""
+
+    now: Parameters
+    squares: Parameters
 
-    def draw(self, random: np.random.Generator, classes: np.ndarray) -> np.ndarray:
-        u = self.low[classes, None] + random.random((len(classes), INNER)) * (self.high - self.low)[classes, None]
-        found = np.searchsorted(self.sums, u, side="right")
-        return self.slots[np.minimum(found, self.first[classes + 1][:, None] - 1)]
+    @classmethod
+    def start(cls, parameters: Parameters) -> Learned:
+        return cls(parameters.changed(lambda _, x: x.astype(np.float32)), parameters.changed(lambda _, x: np.full(len(x), 1e-2, dtype=np.float32)))
+
+    def blocks(self, weights: Parameters) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number, rows (parameters and squares) and the rows' weights, BLOCK rows at a time."""
+        k = 0
+        for n in Parameters.NAMES:
+            rows, w = np.column_stack([getattr(self.now, n), getattr(self.squares, n)]).astype(np.float32), getattr(weights, n).astype(np.float32)
+            for i in range(0, len(rows), BLOCK):
+                yield k, rows[i : i + BLOCK].tobytes(), w[i : i + BLOCK].tobytes()
+                k += 1
+
+    def filled(self, blocks: list[bytes]) -> Learned:
+        """The same tables with the values of blocks in their order."""
+        now, squares, k = {}, {}, 0
+        for n in Parameters.NAMES:
+            size, width = getattr(self.now, n).shape
+            count = -(-size // BLOCK)
+            rows = np.frombuffer(b"".join(blocks[k : k + count]), dtype=np.float32).reshape(size, width + 1)
+            now[n], squares[n], k = rows[:, :-1].copy(), rows[:, -1].copy(), k + count
+        return Learned(Parameters(**now), Parameters(**squares))
+
+
+BLOCK = 1024
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad, BATCH tokens at a time: classes against NOISE classes that they
-    share, places of a tail class against INNER places of it. squares: what AdaGrad has summed before."""
-
-    def __init__(self, parameters: Parameters, noise: np.ndarray, inner: Inner, seed: int, squares: Parameters | None = None):
-        self.p = {n: getattr(parameters, n).astype(np.float32) for n in Parameters.NAMES}
-        self.g = {n: getattr(squares, n).astype(np.float32) if squares else np.full_like(v, 1e-2) for n, v in self.p.items()}
-        self.noise, self.log_noise = noise, np.log(noise * NOISE).astype(np.float32)
-        self.inner, self.log_inner = inner, np.log(inner.share * INNER).astype(np.float32)
+    """Noise-contrastive estimation by AdaGrad with a step size for each row, BATCH tokens at a time, drawn from
+    texts that stand together. Classes are told from NOISE classes that a batch shares, the words of a tail class from
+    INNER other words that the batch has of it, as its tokens are drawn from the corpus like the noise should be."""
+
+    def __init__(self, start: Learned, noise: np.ndarray, inner: Inner, seed: int):
+        self.p = {n: getattr(start.now, n).astype(np.float32) for n in Parameters.NAMES}
+        self.g = {n: getattr(start.squares, n).astype(np.float32) for n in Parameters.NAMES}
+        self.seen = {n: np.full(len(v), 1e-6) for n, v in self.p.items()}
+        self.log_noise = np.log(noise * NOISE).astype(np.float32)
+        self.top, self.log_inner = inner.top, np.log(inner.share * INNER).astype(np.float32)
         self.up_to = np.cumsum(noise)[:-1]
         self.random = np.random.default_rng(seed)
-        self.tokens = 0
+        self.key = np.uint16 if len(self.top) <= 1 << 16 else np.int64
+
+    def learn_texts(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
+        mixed = self.random.permutation(len(place))
+        a, b, place = a[mixed], b[mixed], place[mixed]
+        for i in range(0, len(place), BATCH):
+            self.learn(a[i : i + BATCH], b[i : i + BATCH], place[i : i + BATCH])
 
     def learn(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
-        p, n, w = self.p, len(place), self.inner.top[place]
+        p, n, w = self.p, len(place), self.top[place]
+        order = np.argsort(w.astype(self.key), kind="stable")
+        a, b, place, w = a[order], b[order], place[order], w[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
+        size = np.diff(np.concatenate([first, [n]]))
         false = np.searchsorted(self.up_to, self.random.random(NOISE))
         ra, rb = p["R"][a], p["R"][b]
-        q = ra * p["near"] + rb * p["far"]
-        target, wrong = p["Q"][w], p["Q"][false]
-        up = _sigmoid(self.log_noise[w] - (np.einsum("ij,ij->i", q, target) + p["bias"][w]))
+        q = np.ones((n, WIDTH + 1), dtype=np.float32)
+        q[:, :-1] = ra * p["mix"][0] + rb * p["mix"][1]
+        target, wrong = np.repeat(p["Q"][w[first]], size, axis=0), p["Q"][false]
+        up = _sigmoid(self.log_noise[w] - np.einsum("ij,ij->i", q, target))
         down = q @ wrong.T
-        down += p["bias"][false] - self.log_noise[false]
+        down -= self.log_noise[false]
         np.negative(_sigmoid(down), out=down)
-        pull = up[:, None] * target + down @ wrong
-        split = np.flatnonzero(self.inner.size[w] > 1)
-        if len(split):
-            pull[split] += self._learn_inner(q[split], place[split], w[split], n)
-        gq, gb = np.zeros_like(p["Q"]), np.bincount(w, up, len(self.noise)).astype(np.float32)
-        own, rows = _row_sums(w, up[:, None] * q)
-        gq[own] += rows
+        target *= up[:, None]
+        target += down @ wrong
+        pull = target[:, :-1]
+        tail = int(np.searchsorted(w, OWN))
+        if tail < n:
+            k = int(np.searchsorted(first, tail))
+            pull[tail:] += self._learn_inner(q[tail:], place[tail:], first[k:] - tail, size[k:], n)
+        gq = np.zeros_like(p["Q"])
+        gq[w[first]] = np.add.reduceat(up[:, None] * q, first)
         np.add.at(gq, false, down.T @ q)
-        np.add.at(gb, false, down.sum(0))
-        own, rows = _row_sums(np.concatenate([a, b]), np.concatenate([pull * p["near"], pull * p["far"]]))
-        self._step("near", (pull * ra).sum(0), n)
-        self._step("far", (pull * rb).sum(0), n)
-        self._step("Q", gq, n)
-        self._step("bias", gb, n)
-        self._step("R", rows, n, own)
-        self.tokens += n
-
-    def _learn_inner(self, q: np.ndarray, place: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        """The pull on q."""
-        s, bias = self.p["S"], self.p["inner"]
-        false = self.inner.draw(self.random, w)
-        target, wrong = s[place], s[false]
-        up = _sigmoid(self.log_inner[place] - (np.einsum("ij,ij->i", q, target) + bias[place]))
-        down = np.matmul(wrong, q[:, :, None])[:, :, 0] + bias[false] - self.log_inner[false]
-        np.negative(_sigmoid(down), out=down)
-        pull = up[:, None] * target + np.matmul(down[:, None, :], wrong)[:, 0]
-        at, force = np.concatenate([place, false.ravel()]), np.concatenate([up, down.ravel()])
-        which = np.concatenate([np.arange(len(q)), np.repeat(np.arange(len(q)), INNER)])
-        own, rows = _row_sums(at, np.column_stack([force[:, None] * q[which], force]))
-        self._step("S", rows[:, :-1], n, own)
-        self._step("inner", rows[:, -1], n, own)
-        return pull
-
-    def _step(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray | slice = slice(None)) -> None:
-        grad = grad / np.float32(n) * 64
-        self.g[name][rows] += grad * grad
-        self.p[name][rows] += np.float32(RATE) * grad / np.sqrt(self.g[name][rows])
-
-    def state(self) -> np.ndarray:
-        return np.concatenate([Parameters(**x).flat() for x in (self.p, self.g)])
+        self._step("mix", np.vstack([(pull * ra).sum(0), (pull * rb).sum(0)]), n, np.arange(2), n)
+        self._step("R", *_row_sums(np.concatenate([a, b]).astype(self.key), np.concatenate([pull * p["mix"][0], pull * p["mix"][1]]), n))
+        self._step("Q", gq, n, np.arange(len(gq)), n)
+
+    def _learn_inner(self, q: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+        """The pull on q. Tokens stand by class; first and size are those of the classes."""
+        start, many = np.repeat(first, size), np.repeat(size, size)
+        at, s = np.arange(len(place)) - start, self.p["S"][place]
+        several = (many > 1).astype(np.float32)  # a word alone in its class has no noise here
+        log_share = self.log_inner[place]
+        up = _sigmoid(log_share - np.einsum("ij,ij->i", q, s)) * several
+        pull, rows = up[:, None] * s, up[:, None] * q
+        for u in self.random.random((INNER, len(first))):
+            shift = np.repeat(1 + (u * np.maximum(size - 1, 1)).astype(np.int64), size)
+            other = start + (at + shift) % many
+            wrong = s[other]
+            down = -_sigmoid(np.einsum("ij,ij->i", q, wrong) - log_share[other]) * several
+            wrong *= down[:, None]
+            pull += wrong
+            back = start + (at - shift) % many
+            rows += (down[:, None] * q)[back]
+        self._step("S", *_row_sums(place.astype(self.key), rows, n))
+        return pull[:, :-1]
+
+    def _step(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray, times: np.ndarray | int) -> None:
+        grad = grad * np.float32(64 / n)
+        self.seen[name][rows] += times
+        self.g[name][rows] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.p[name][rows] += grad * (np.float32(RATE) / np.sqrt(self.g[name][rows]))[:, None]
+
+    def state(self) -> Iterator[tuple[int, bytes, bytes]]:
+        return Learned(Parameters(**self.p), Parameters(**self.g)).blocks(Parameters(**self.seen))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -291,10 +343,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Sums of rows that belong to the same place, n, the places, and how often each occurs."""
     order = np.argsort(at, kind="stable")
-    own, first = np.unique(at[order], return_index=True)
-    return own, np.add.reduceat(rows[order], first)
+    at = at[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    return np.add.reduceat(rows[order], first), n, at[first].astype(np.int64), np.diff(np.concatenate([first, [len(at)]]))
 
 
 def contexts(codes: list[np.ndarray], classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,7 +374,7 @@ def _encoded(rows: DataFrame, vocabulary: Vocabulary, shards: int, wide: int) ->
             got = codes.numbers_of(b.column(1).to_pylist())
             if got:
                 places = codes.classes()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([places[c].tobytes() for c in got], pa.binary())], names=["dealt", "places"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([places[c].astype(vocabulary.narrow).tobytes() for c in got], pa.binary())], names=["dealt", "places"])
 
     hashed = rows.select(F.xxhash64("id", "text").alias("dealt"), "text")
     codes = hashed.mapInArrow(encode, "dealt bigint, places binary")
@@ -333,11 +387,11 @@ def _encoded(rows: DataFrame, vocabulary: Vocabulary, shards: int, wide: int) ->
     return materialise(dealt.repartition("shard").sortWithinPartitions("slice", "shard", "dealt"), "lm-places", "slice")
 
 
-def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _batches_of(batches: Iterator[pa.RecordBatch], narrow: str) -> Iterator[tuple[int, list[np.ndarray]]]:
     """shard and places of texts that stand together."""
     for b in batches:
         shard = b.column(0).to_numpy(zero_copy_only=False)
-        places = [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
+        places = [np.frombuffer(x, dtype=narrow).astype(np.int32) for x in b.column(1).to_pylist()]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if j > i:
@@ -345,32 +399,36 @@ def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[n
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameters:
-    """Passes over all texts, rounds of them at least, until one gains less than GAIN on the texts set aside;
-    those are then learned too.
+    """Passes over all texts, rounds of them at least; a small corpus is gone through again until LEARN tokens are learned or
+    a pass gains less than GAIN on the texts set aside; those are then learned too.
 
-    A pass goes through slices. The shards of a slice, SHARD tokens each, are learned side by side from the same
-    start, and their parameters, weighted by tokens, are averaged and start the next slice. As many slices as
-    shards in a slice: updates one after another grow with the corpus, whatever its partitions are.
+    A pass goes through slices. The shards of a slice, SHARD tokens each or SHARD_X for each vector, are learned side by side from the same
+    start; their rows, weighted by how often each shard met them, are averaged and start the next slice. There are as many slices as
+    the cube root of the shards: updates one after another grow with the corpus, whatever its partitions are, and
+    what is averaged grows no faster than the corpus.
     """
     noise, inner = vocabulary.noise, Inner(vocabulary)
-    now, squares = Parameters.start(noise, inner=np.log(inner.share)), None
+    now = Learned.start(Parameters.start(noise, inner.share))
     if not vocabulary.tokens:
-        return now
-    shards = -(-vocabulary.tokens // SHARD)
-    wide = int(np.ceil(np.sqrt(shards)))
+        return now.now
+    shards = -(-vocabulary.tokens // max(SHARD, SHARD_X * len(inner.top)))
+    slices = int(np.ceil(np.cbrt(shards)))
+    wide = -(-shards // slices)
     slices = -(-shards // wide)
     texts = _encoded(rows, vocabulary, shards, wide)
     aside = texts.filter(F.col("slice") == slices).select("shard", "places")
     before, done = -np.inf, 0
     while True:
         for k in range(slices):
-            now, squares = _round(texts.filter(F.col("slice") == k).select("shard", "places"), vocabulary, now, squares, done * slices + k)
+            now = _round(texts.filter(F.col("slice") == k).select("shard", "places"), vocabulary, now, done * slices + k)
         done += 1
-        gained = _mean_score(aside, vocabulary, now)
+        if done >= rounds and done * vocabulary.tokens >= LEARN:
+            break
+        gained = _mean_score(aside, vocabulary, now.now)
         if done >= rounds and (gained is None or gained < before + GAIN):
             break
         before = -np.inf if gained is None else gained
-    return _round(aside, vocabulary, now, squares, done * slices)[0]
+    return _round(aside, vocabulary, now, done * slices).now
 
 
 def _mean_score(rows: DataFrame, vocabulary: Vocabulary, p: Parameters) -> float | None:
@@ -378,7 +436,7 @@ def _mean_score(rows: DataFrame, vocabulary: Vocabulary, p: Parameters) -> float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, places = Scorer(vocabulary, p), np.arange(len(p.R))
-        for _, got in _batches_of(batches):
+        for _, got in _batches_of(batches, vocabulary.narrow):
             scores = scorer.classes(*contexts(got, places, end))
             yield pa.RecordBatch.from_arrays([pa.array([float(scores.sum())]), pa.array([len(scores)], pa.int64())], names=["total", "n"])
 
@@ -386,47 +444,42 @@ def _mean_score(rows: DataFrame, vocabulary: Vocabulary, p: Parameters) -> float
     return r.total / r.n if r.n else None
 
 
-def _round(rows: DataFrame, vocabulary: Vocabulary, start: Parameters, squares: Parameters | None, r: int) -> tuple[Parameters, Parameters | None]:
+def _round(rows: DataFrame, vocabulary: Vocabulary, start: Learned, r: int) -> Learned:
     end, noise = vocabulary.held[_hash(END)][0], vocabulary.noise
-    block = 1 << 16
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner, places = Inner(vocabulary), np.arange(len(start.R))
+        inner, places = Inner(vocabulary), np.arange(len(start.now.R))
 
         def state_of(trainer: Trainer) -> pa.RecordBatch:
-            flat = trainer.state().astype(np.float32)
-            parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
-            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * len(parts), pa.int64())], names=["at", "part", "tokens"])
+            at, values, weights = zip(*trainer.state(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values, pa.binary()), pa.array(weights, pa.binary())], names=["at", "part", "weights"])
 
         trainer, last = None, None
-        for shard, got in _batches_of(batches):
+        for shard, got in _batches_of(batches, vocabulary.narrow):
             if shard != last:
                 if trainer:
                     yield state_of(trainer)
-                trainer, last = Trainer(start, noise, inner, r * 1_000_003 + shard, squares), shard
-            before, earlier, words = contexts(got, places, end)
-            for i in range(0, len(words), BATCH):
-                trainer.learn(before[i : i + BATCH], earlier[i : i + BATCH], words[i : i + BATCH])
+                trainer, last = Trainer(start, noise, inner, r * 1_000_003 + shard), shard
+            trainer.learn_texts(*contexts(got, places, end))
         if trainer:
             yield state_of(trainer)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        weights: Counter = Counter()
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for at, part, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(part, dtype=np.float32) * np.float64(tokens)
-                weights[at] += tokens
-        means = [(x / weights[at]).astype(np.float32).tobytes() for at, x in sums.items()]
+            for at, part, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = np.frombuffer(weights, dtype=np.float32).astype(np.float64)
+                sums[at] = sums.get(at, 0) + np.frombuffer(part, dtype=np.float32).reshape(len(w), -1) * w[:, None]
+                total[at] = total.get(at, 0) + w
+        means = [(x / total[at][:, None]).astype(np.float32).tobytes() for at, x in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(means, pa.binary())], names=["at", "part"])
 
-    parts = rows.mapInArrow(learn, "at bigint, part binary, tokens bigint").repartition("at").mapInArrow(add, "at bigint, part binary").collect()
+    parts = rows.mapInArrow(learn, "at bigint, part binary, weights binary").repartition("at").mapInArrow(add, "at bigint, part binary").collect()
     if not parts:
-        return start, squares
+        return start
     rows.sparkSession._jvm.System.gc()  # lets Spark delete the shuffles of earlier rounds
-    flat = np.concatenate([np.frombuffer(x.part, dtype=np.float32) for x in sorted(parts, key=lambda x: x.at)])
-    half = len(flat) // 2
-    return start.filled(flat[:half]), start.filled(flat[half:])
+    return start.filled([x.part for x in sorted(parts, key=lambda x: x.at)])
 
 
 class Scorer:
@@ -439,23 +492,24 @@ class Scorer:
 
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(place) - log10 of the size of what shares it; a word that is no member still needs log10(count + 1)."""
-        pairs, which = np.unique(a.astype(np.int64) * len(self.p["R"]) + b, return_inverse=True)
-        q = self.p["R"][pairs // len(self.p["R"])] * self.p["near"] + self.p["R"][pairs % len(self.p["R"])] * self.p["far"]
+        r, mix = self.p["R"], self.p["mix"]
+        pairs, which = np.unique(a.astype(np.int64) * len(r) + b, return_inverse=True)
+        q = np.ones((len(pairs), WIDTH + 1), dtype=np.float32)
+        q[:, :-1] = r[pairs // len(r)] * mix[0] + r[pairs % len(r)] * mix[1]
         total = np.empty(len(q), dtype=np.float32)
         for i in range(0, len(q), _ROWS):
-            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ self.p["Q"].T + self.p["bias"])
+            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ self.p["Q"].T)
         top = self.inner.top[w]
-        out = (np.einsum("ij,ij->i", q[which], self.p["Q"][top]) + self.p["bias"][top] - total[which]).astype(float)
+        out = (np.einsum("ij,ij->i", q[which], self.p["Q"][top]) - total[which]).astype(float)
         split = np.flatnonzero(self.inner.size[top] > 1)
         split = split[np.argsort(top[split], kind="stable")]
         cuts = np.flatnonzero(np.diff(top[split])) + 1
         for sel in np.split(split, cuts) if len(split) else ():
             c = top[sel[0]]
-            ids = self.inner.slots[self.inner.first[c] : self.inner.first[c + 1]]
-            s, bias = self.p["S"][ids].T, self.p["inner"][ids]
+            s = self.p["S"][self.inner.slots[self.inner.first[c] : self.inner.first[c + 1]]].T
             for i in range(0, len(sel), _ROWS):
                 part = sel[i : i + _ROWS]
-                logits = q[which[part]] @ s + bias
+                logits = q[which[part]] @ s
                 out[part] += logits[np.arange(len(part)), self.inner.at[w[part]]]
                 out[part] -= _log_sums(logits)
         return out / np.log(10) - self.spread[w]
@@ -483,7 +537,8 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
     tasks, all others' are joined by the word's 64-bit hash, after a task has summed its own.
 
     A null or empty text is its end alone. Without training texts every word is unknown and the classes are even.
-    Ids should be unique: rows that repeat one are scored together. An empty table gives no rows.
+    Every row is scored by itself, whatever its id is: rows with one id and different texts, or without an id, keep
+    their own scores, and equal rows come back as often as they are there. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     marked = docs.withColumn("_train", F.coalesce(train_on, F.lit(False)))
@@ -498,11 +553,12 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
     kind = rows.schema["id"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what this task knows, and one for each of its words whose count it must ask for."""
-        codes, known = Codes(vocabulary), len(held_counts)
+        """A row for each text with what this task knows, dealt at random, and one for each of its words whose count it must ask for."""
+        codes, known, spread = Codes(vocabulary), len(held_counts), np.random.default_rng(1)
         logs = np.log10(held_counts + 1)
         for b in batches:
-            ids, got = b.column(0).to_pylist(), codes.numbers_of(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            got = codes.numbers_of(texts)
             if not got:
                 continue
             classes = codes.classes()
@@ -514,34 +570,47 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
             model = np.add.reduceat(scorer.classes(before, earlier, words).astype(float), first)
             mine = all_codes < known
             log = np.where(mine, logs[np.where(mine, all_codes, 0)], 0.0)
-            model += np.add.reduceat(np.where((words >= OWN) & (words < OWN + TAILS), log, 0.0), first)
+            model += np.add.reduceat(np.where((words >= OWN) & (words < len(vocabulary.classes)), log, 0.0), first)
             seen = np.add.reduceat((mine & (held_counts[np.where(mine, all_codes, 0)] > 0)).astype(np.int64), first)
             doc = np.repeat(np.arange(len(n)), n)[~mine]
             pair, times = np.unique(doc * np.int64(1 << 32) + (all_codes[~mine] - known), return_counts=True)
             asks = len(pair)
             who = np.concatenate([np.arange(len(n)), pair >> 32])
+            key = np.array([_hash(t.encode()) for t in texts], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, b.column(0).type).take(pa.array(who)),
-                    pa.array(np.concatenate([np.array([_hash(str(i).encode()) for i in ids], dtype=np.int64), hashes[pair & 0xFFFFFFFF]])),
+                    b.column(0).take(pa.array(who)),
+                    pa.array(key[who]),
+                    pa.array(np.concatenate([spread.integers(-(1 << 63), 1 << 63, len(n)), hashes[pair & 0xFFFFFFFF]])),
                     pa.array(np.concatenate([np.zeros(len(n), dtype=np.int32), times.astype(np.int32)])),
                     pa.array(np.concatenate([n, np.zeros(asks, dtype=np.int64)])),
                     pa.array(np.concatenate([seen, np.zeros(asks, dtype=np.int64)])),
                     pa.array(np.concatenate([np.add.reduceat(log, first), np.zeros(asks)])),
                     pa.array(np.concatenate([model, np.zeros(asks)])),
                 ],
-                names=["id", "hash", "asked", "n_tokens", "n_known", "log", "score"],
+                names=["id", "key", "hash", "asked", "n_tokens", "n_known", "log", "score"],
             )
 
-    split = rows.mapInArrow(parts, f"id {kind}, hash bigint, asked int, n_tokens bigint, n_known bigint, log double, score double")
+    split = rows.mapInArrow(parts, f"id {kind}, key bigint, hash bigint, asked int, n_tokens bigint, n_known bigint, log double, score double")
     rare = counts.select("hash", "count")
     met = split.join(rare, "hash", "left").withColumn("found", F.when(F.col("asked") > 0, F.coalesce("count", F.lit(0))).otherwise(F.lit(0)))
     more = F.col("asked") * F.log10(F.col("found") + 1)
-    summed = met.groupBy("id").agg(
+    # Rows with the same id and text are one group here: its sums hold each of their parts so many times, and they part again after it.
+    times = F.sum(F.when(F.col("asked") == 0, 1).otherwise(0))
+    summed = met.groupBy("id", "key").agg(
+        times.alias("times"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("found") > 0, F.col("asked")).otherwise(0)).alias("n_known"),
         F.sum(F.col("log") + more).alias("log"),
         F.sum(F.col("score") + more).alias("score"),
     )
+    each = summed.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     per_token = float(np.log10(vocabulary.tokens + vocabulary.types + 1))
-    return summed.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("log") - F.col("n_tokens") * per_token).alias("base_score"), "score")
+    whole = {c: (F.col(c) / F.col("times")).cast("long") for c in ("n_tokens", "n_known")}
+    return each.select(
+        F.col("id").alias(id_col),
+        *(v.alias(c) for c, v in whole.items()),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
+        ((F.col("log") - F.col("n_tokens") * per_token) / F.col("times")).alias("base_score"),
+        (F.col("score") / F.col("times")).alias("score"),
+    )
