@@ -21,7 +21,7 @@ OWN, TAIL_HASHES, HELD, WIDTH, BATCH = 64, 4096, 50_000, 24, 2048
 #: that a task learns between two averagings; one in so many documents tells when to stop.
 NOISE, INNER, SHARD, SHARD_X, ASIDE = 48, 3, 1 << 20, 128, 64
 #: Words with vectors for each cube root of tokens; tail classes for each square root of those words.
-MEMBERS, TAILS = 32, 3.0
+MEMBERS, TAILS = 32, 2.0
 #: A corpus of fewer tokens is gone through again until so many have been learned, or a pass gains less than GAIN, in log10 a token.
 LEARN, GAIN = 1 << 24, 0.005
 RATE = 0.12
@@ -38,7 +38,14 @@ def words_of(text: str) -> list[bytes]:
 
 
 def tail_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % TAIL_HASHES
+    """By the last two bytes, and within those by the first."""
+    return xxhash.xxh32_intdigest(word[-2:]) % (TAIL_HASHES // 8) * 8 + xxhash.xxh32_intdigest(word[:1]) % 8
+
+
+def tail_classes(tokens: np.ndarray, tails: int) -> np.ndarray:
+    """The class of each tail hash: neighbours in order, so words that end alike, in classes of about as many tokens."""
+    weight = tokens + 1e-9
+    return OWN + np.minimum(((np.cumsum(weight) - weight / 2) / weight.sum() * tails).astype(np.int64), tails - 1)
 
 
 def _hash(word: bytes) -> int:
@@ -88,7 +95,7 @@ class Vocabulary:
     held: dict[int, tuple[int, int]]  # hash -> place, count
     tokens: int
     types: int
-    tails: int
+    tail_class: np.ndarray  # of each tail hash
     classes: np.ndarray  # tokens of each class
     spread: np.ndarray  # log10 of tokens + types + 1 of a class's words that are no members; 0 for a word of its own
     member_class: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
@@ -107,25 +114,24 @@ class Vocabulary:
         sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
         least = next((s + 1 for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total > most), 0)
         top = sorted(counts.filter((step >= least) | (F.col("hash") == _hash(END))).collect(), key=lambda r: (-r["count"], r.hash))
-        classes, kinds = np.zeros(OWN + tails), np.zeros(OWN + tails)
-        for t, (n, v) in per_tail.items():
-            classes[OWN + t % tails] += n
-            kinds[OWN + t % tails] += v
+        classes, kinds, own = np.zeros(OWN + tails), np.zeros(OWN + tails), top[:OWN]
+        left = np.zeros((2, TAIL_HASHES))
+        for t, found in per_tail.items():
+            left[:, t] = found
+        for i, r in enumerate(own):
+            classes[i] = r["count"]
+            left[:, r.tail] -= r["count"], 1
+        tail_class = tail_classes(left[0], tails)
+        classes += np.bincount(tail_class, left[0], OWN + tails)
+        kinds += np.bincount(tail_class, left[1], OWN + tails)
         members = top[OWN : OWN + members_of(tokens)]
-        held = {}
-        for i, r in enumerate(top):
-            tail = OWN + r.tail % tails
-            held[r.hash] = (i if i < OWN else tails + i if i < OWN + len(members) else tail, r["count"])
-            if i < OWN:
-                classes[i] = r["count"]
-                classes[tail] -= r["count"]
-                kinds[tail] -= 1
-        member_class = np.array([OWN + r.tail % tails for r in members], dtype=np.int64)
+        held = {r.hash: (i if i < OWN else tails + i if i < OWN + len(members) else int(tail_class[r.tail]), r["count"]) for i, r in enumerate(top)}
+        member_class = np.array([tail_class[r.tail] for r in members], dtype=np.int64)
         member_count = np.array([r["count"] for r in members], dtype=float)
         others = classes - np.bincount(member_class, member_count, OWN + tails)
         spread = np.log10(others + kinds - np.bincount(member_class, minlength=OWN + tails) + 1)
         spread[:OWN] = 0
-        return cls(held, tokens, types, tails, classes, spread, member_class, member_count)
+        return cls(held, tokens, types, tail_class, classes, spread, member_class, member_count)
 
     @property
     def top(self) -> np.ndarray:
@@ -154,7 +160,7 @@ class Codes(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self.numbers = {h: i for i, h in enumerate(vocabulary.held)}
-        self.tails = vocabulary.tails
+        self.tail_class = vocabulary.tail_class.tolist()
         self.base_classes = np.array([c for c, _ in vocabulary.held.values()], dtype=np.int32)
         self.new: list[tuple[int, int]] = []
 
@@ -163,7 +169,7 @@ class Codes(dict):
         n = self.numbers.get(h)
         if n is None:
             n = len(self.numbers) + len(self.new)
-            self.new.append((h, OWN + tail_of(word) % self.tails))
+            self.new.append((h, self.tail_class[tail_of(word)]))
         self[word] = n
         return n
 
@@ -494,36 +500,53 @@ class Scorer:
         """log10 P(place) - log10 of the size of what shares it; a word that is no member still needs log10(count + 1)."""
         r, mix = self.p["R"], self.p["mix"]
         pairs, which = np.unique(a.astype(np.int64) * len(r) + b, return_inverse=True)
+        order = np.argsort(self.inner.top[w].astype(np.uint16 if len(self.p["Q"]) <= 1 << 16 else np.int64), kind="stable")
+        w, which = w[order], which[order]
+        top = self.inner.top[w]
         q = np.ones((len(pairs), WIDTH + 1), dtype=np.float32)
-        q[:, :-1] = r[pairs // len(r)] * mix[0] + r[pairs % len(r)] * mix[1]
+        np.multiply(r[pairs // len(r)], mix[0], out=q[:, :-1])
+        q[:, :-1] += r[pairs % len(r)] * mix[1]
         total = np.empty(len(q), dtype=np.float32)
+        classes = np.ascontiguousarray(self.p["Q"].T)
+        small = _norm(q) * max(_norm(self.p["Q"]), _norm(self.p["S"])) < 80 if len(q) else True
         for i in range(0, len(q), _ROWS):
-            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ self.p["Q"].T)
-        top = self.inner.top[w]
-        out = (np.einsum("ij,ij->i", q[which], self.p["Q"][top]) - total[which]).astype(float)
-        split = np.flatnonzero(self.inner.size[top] > 1)
-        split = split[np.argsort(top[split], kind="stable")]
-        cuts = np.flatnonzero(np.diff(top[split])) + 1
-        for sel in np.split(split, cuts) if len(split) else ():
-            c = top[sel[0]]
-            s = self.p["S"][self.inner.slots[self.inner.first[c] : self.inner.first[c + 1]]].T
-            for i in range(0, len(sel), _ROWS):
-                part = sel[i : i + _ROWS]
-                logits = q[which[part]] @ s
-                out[part] += logits[np.arange(len(part)), self.inner.at[w[part]]]
-                out[part] -= _log_sums(logits)
-        return out / np.log(10) - self.spread[w]
-
-
-_ROWS = 2048
-
-
-def _log_sums(logits: np.ndarray) -> np.ndarray:
-    """Changes logits."""
-    most = logits.max(axis=1)
-    logits -= most[:, None]
+            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ classes, small)
+        found = np.empty(len(w), dtype=np.float32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(top)]])
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            c = top[first]
+            members = self.inner.slots[self.inner.first[c] : self.inner.first[c + 1]]
+            s = np.ascontiguousarray(self.p["S"][members].T)
+            step = max(_ROWS, _ROWS * _CLASSES // len(members))
+            for i in range(first, end, step):
+                j = min(i + step, end)
+                mine = q[which[i:j]]
+                found[i:j] = mine @ self.p["Q"][c]
+                if len(members) > 1:
+                    logits = mine @ s
+                    found[i:j] += logits[np.arange(j - i), self.inner.at[w[i:j]]]
+                    found[i:j] -= _log_sums(logits, small)
+        out = np.empty(len(w))
+        out[order] = (found - total[which]) / np.log(10) - self.spread[w]
+        return out
+
+
+def _norm(rows: np.ndarray) -> float:
+    """The largest length of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+
+
+#: Rows of a piece of work, so that its logits stay in the processor's cache.
+_ROWS, _CLASSES = 256, 256
+
+
+def _log_sums(logits: np.ndarray, small: bool) -> np.ndarray:
+    """Changes logits. Where their exponentials may leave the range, the largest is taken off first."""
+    most = 0 if small else logits.max(axis=1)
+    if not small:
+        logits -= most[:, None]
     np.exp(logits, out=logits)
-    return most + np.log(logits.sum(axis=1))
+    return most + np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
 
 
 def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
