@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -296,6 +297,43 @@ def test_main_text_matches_article_slices(spark):
     assert {r.page_id: r.text for r in queries.op8_html_text(spark, SF).collect()} == want
 
 
+def test_main_text_does_not_hang_on_article_tags():
+    """With the tags taken away, density, length, links and neighbours find the same text."""
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    scores = []
+    for (h,) in pages:
+        want, got = (Counter(html_text.main_text(x).split()) for x in (h, re.sub(r"</?(?:article|main)\b[^>]*>", "", h)))
+        scores.append(2 * sum((want & got).values()) / max(1, sum(want.values()) + sum(got.values())))
+    assert np.mean(scores) >= 0.98 and sum(x < 0.5 for x in scores) <= 1  # one page is a single word again and again
+
+
+def test_density_and_neighbours_decide():
+    good = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea. " * 2
+    list_of_words = "alpha beta gamma delta epsilon zeta " * 8
+    page = f"<body><p>Head words</p><p>{good}</p><p>Brief.</p><p>{good}</p><p>{list_of_words}</p><p>After list</p><p>{list_of_words}</p><p><a href=x>{good}</a></p></body>"
+    assert html_text.main_text(page).split("\n") == ["Head words", good.strip(), "Brief.", good.strip()]
+    assert html_text.main_text(f"<article><p>{good[:100]}</p></article><div><p>{good}</p><p>{good}</p></div>").count("\n") == 2  # a teaser in an article doesn't hide the rest
+    assert html_text.main_text(f"<p>{list_of_words}</p><p>x</p>") == f"{list_of_words.strip()}\nx"
+
+
+def test_marks_are_read_from_attributes_alone():
+    good = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
+    page = f"""<body><p class="advert">{good} 1</p><p data-grid="menu">{good} 2</p><div data-testid="comments"><p>{good} 3</p></div>
+    <section data-x='class="ad"'><p>{good} 4</p></section><div data-href="/x?id=ad"><p>{good} 5</p></div><p CLASS=sponsor>{good} 6<p>{good} 7</body>"""
+    assert html_text.main_text(page).split("\n") == [f"{good} {i}" for i in (2, 3, 4, 5, 7)]
+
+
+@pytest.mark.parametrize("piece", ["<div><b>", "<div class=ad>", "<p class=ad>", "<b><i>", "<form>", "</div>", "<", "<a '", "<script>", "<!--", "&amp"])
+def test_pages_take_linear_time(piece):
+    """Eight times the page takes far less than 64 times the time."""
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        html_text.main_text(piece * n + "text")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * max(took[0], 0.01)
+
+
 def test_furniture_is_left_out():
     good = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
     page = f"""<html><head><title>x</title><script>if (a<b) document.write("<p>{good}</p>")</script></head><body>

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -38,7 +39,7 @@ WHOLE_TAGS = frozenset(("html", "body", "main", "article"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.DOTALL)
-_MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]++)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,25 +63,36 @@ class Block:
     dropped: bool
     main: int  # the main element it stands in, 0 if none
     heading: bool
-    marks: tuple[int, ...] = ()  # the elements around it that may be furniture
+    mark: int = 0  # the innermost element around it that may be furniture, 0 if none
     label: str = field(default="")
+    sparse: bool = False  # bad by its words alone
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The page's blocks in order: text with references decoded and white space collapsed, and where it stands."""
+def blocks_of(html: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks in order: text with references decoded and white space collapsed, and where it stands;
+    and for each marked element the marked one around it. Linear in the page's length."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, dropped, main, marks
-    heading, anchors, mains, marked, at = False, 0, 0, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # element, dropped, main, mark
+    within, parents = Counter(), [0]
+    heading, anchors, mains, at = False, 0, 0, 0
 
     def close() -> None:
         text = " ".join(unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = len(" ".join(unescape("".join(p for p, a in parts if a)).split()))
-            _, dropped, main, marks = stack[-1] if stack else ("", False, 0, ())
-            out.append(Block(text, linked, dropped, main, heading, marks))
+            _, dropped, main, mark = stack[-1] if stack else ("", False, 0, 0)
+            out.append(Block(text, linked, dropped, main, heading, mark))
         parts.clear()
 
+    def leave(tag: str) -> None:
+        """Closes the innermost open element of this name, and those in it."""
+        while within[tag]:
+            name = stack.pop()[0]
+            within[name] -= 1
+            if name == tag:
+                break
+
     while at < len(html):
         start = html.find("<", at)
         if start < 0:
@@ -101,49 +113,56 @@ def blocks_of(html: str) -> list[Block]:
         if tag in RAW_TAGS and not closing:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
-        elif tag == "a":
+            continue
+        if tag == "a":
             anchors = max(0, anchors - 1) if closing else 1
-        elif tag == "br":
+            continue
+        if tag == "br":
             parts.append((" ", anchors > 0))
-        elif tag in BLOCK_TAGS or tag in DROPPED_TAGS or (not closing and _hinted(m[3])) or any(tag == s[0] for s in stack):
-            if tag in BLOCK_TAGS or tag in DROPPED_TAGS:
-                close()
-                anchors = 0
-                heading = not closing and tag[0] == "h" and tag[1:].isdigit()
-            if tag in VOID_TAGS or tag == "p":
-                continue
-            if closing:
-                depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-                if depth is not None:
-                    close()
-                    del stack[depth:]
-            else:
-                if tag == "body":
-                    stack[:] = [s for s in stack if s[0] != "head"]
-                dropped, main, marks = stack[-1][1:] if stack else (False, 0, ())
-                if tag in DROPPED_TAGS and not (tag == "header" and main):
-                    close()
-                    dropped = True
-                elif tag == "form" or (tag not in WHOLE_TAGS and _hinted(m[3])):
-                    close()
-                    marked += 1
-                    marks = (*marks, marked)
-                elif tag in MAIN_TAGS and not main:
-                    mains += 1
-                    main = mains
-                stack.append((tag, dropped, main, marks))
+            continue
+        block, hinted = tag in BLOCK_TAGS or tag in DROPPED_TAGS, not closing and tag not in WHOLE_TAGS and _hinted(m[3])
+        if not (block or hinted or within[tag]):
+            continue
+        if block:
+            close()
+            anchors = 0
+            heading = not closing and tag[0] == "h" and tag[1:].isdigit()
+            if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins or ends
+                leave("p")
+        if tag in VOID_TAGS or (tag == "p" and not hinted):
+            continue
+        if closing:
+            close()
+            leave(tag)
+            continue
+        if tag == "body":
+            leave("head")
+        dropped, main, mark = stack[-1][1:] if stack else (False, 0, 0)
+        if tag in DROPPED_TAGS and not (tag == "header" and main):
+            dropped = True
+        elif tag == "form" or hinted:
+            close()
+            parents.append(mark)
+            mark = len(parents) - 1
+        elif tag in MAIN_TAGS and not main:
+            mains += 1
+            main = mains
+        stack.append((tag, dropped, main, mark))
+        within[tag] += 1
     close()
-    return out
+    return out, parents
 
 
 def _hinted(attributes: str) -> bool:
     """Whether a class, id or role has one of the words that mark page furniture."""
     if not attributes:
         return False
-    return any(w in DROPPED_WORDS for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    marks = (m for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role"))
+    return any(w in DROPPED_WORDS for m in marks for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
 
 
 def _first_label(b: Block, rules: Rules) -> str:
+    """good, bad, or short and near for those that their neighbours decide."""
     words = [w.lower() for w in _WORD.findall(b.text)]
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if b.dropped or b.linked > rules.links * len(b.text):
@@ -152,35 +171,46 @@ def _first_label(b: Block, rules: Rules) -> str:
         return "short"
     if stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
         return "good"
-    return "near" if stops >= rules.stop_low or b.main else "bad"
+    b.sparse = stops < rules.stop_low / 2 and len(b.text) >= rules.long and not b.main
+    return "bad" if b.sparse else "near"
 
 
-def _containers(blocks: list[Block], rules: Rules) -> set[int]:
-    """Marked elements that hold the page's text in spite of a furniture word or of being a form: at least the share
-    whole of its good text, and next to them little stands outside of all marked elements. On a page with good text in
-    articles or a main element only that text counts."""
+def _containers(blocks: list[Block], parents: list[int], rules: Rules) -> list[bool]:
+    """For each marked element whether it and those around it hold the page's text in spite of a furniture word or of
+    being a form: at least the share whole of its good text, and next to them little stands outside of all marked
+    elements. On a page with good text in articles or a main element only that text counts."""
     good = [b for b in blocks if b.label == "good"]
     good = [b for b in good if b.main] or good
-    held: dict[int, int] = {}
+    held = [0] * len(parents)
     for b in good:
-        for k in b.marks:
-            held[k] = held.get(k, 0) + len(b.text)
-    free, total = sum(len(b.text) for b in good if not b.marks), sum(len(b.text) for b in good)
-    return {k for k, n in held.items() if n >= rules.whole * total and free < rules.beside * n}
-
-
-def classify(blocks: list[Block], rules: Rules = Rules()) -> list[Block]:
+        held[b.mark] += len(b.text)
+    free, total = held[0], sum(held)
+    for k in range(len(parents) - 1, 0, -1):
+        if parents[k]:
+            held[parents[k]] += held[k]
+    stays = [True] * len(parents)
+    for k in range(1, len(parents)):
+        stays[k] = stays[parents[k]] and held[k] > 0 and held[k] >= rules.whole * total and free < rules.beside * held[k]
+    return stays
+
+
+def classify(blocks: list[Block], parents: list[int], rules: Rules = Rules()) -> list[Block]:
     """Labels each block good or bad; changes the blocks in place and returns them."""
     for b in blocks:
         b.label = _first_label(b, rules)
-    whole = _containers(blocks, rules)
+    stays = _containers(blocks, parents, rules)
     for b in blocks:
-        if not b.dropped and not whole.issuperset(b.marks):
+        if not b.dropped and not stays[b.mark]:
             b.dropped, b.label = True, "bad"
-    if any(b.main and b.label == "good" for b in blocks):
+    if not any(b.label == "good" for b in blocks):  # a language or a table without the known function words: length and links decide
+        for b in blocks:
+            b.label = "good" if b.sparse and not b.dropped else b.label
+    good = [b for b in blocks if b.label == "good"]
+    inside = sum(len(b.text) for b in good if b.main)
+    if inside and inside >= rules.whole * sum(len(b.text) for b in good):
         for b in blocks:
             if not b.main:
-                b.label = "bad"
+                b.label, b.dropped = "bad", True
     undecided = not any(b.label in ("good", "bad") and not b.dropped for b in blocks)
     before = _nearest(blocks)
     after = _nearest(blocks[::-1])[::-1]
@@ -195,18 +225,19 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> list[Block]:
 
 
 def _nearest(blocks: list[Block]) -> list[tuple[int, str]]:
-    """For each block the distance and label of the last decided block before it in the same main element."""
+    """For each block the distance and label of the last block before it, in the same main element, that its own words and
+    links decided: furniture says nothing about what stands next to it."""
     out, last = [], {}
     for i, b in enumerate(blocks):
         k, label = last.get(b.main, (-len(blocks), ""))
         out.append((i - k, label))
-        if b.label in ("good", "bad") and not (b.main and b.dropped):
+        if b.label in ("good", "bad") and not b.dropped:
             last[b.main] = (i, b.label)
     return out
 
 
 def main_text(html: str, rules: Rules = Rules()) -> str:
-    return "\n".join(b.text for b in classify(blocks_of(html), rules) if b.label == "good")
+    return "\n".join(b.text for b in classify(*blocks_of(html), rules) if b.label == "good")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), rules: Rules = Rules()) -> DataFrame:
@@ -214,10 +245,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     An element that a word of its class, id or role marks as furniture, and a form, is left out unless it holds most
     of the page's good text (_containers).
-    First pass: blocks in page furniture or made of links are bad, long ones with many function words good,
-    the others short or near-good. Second pass: those take the label of the nearest decided block in the same
+    First pass: blocks in page furniture or made of links are bad, so are long ones almost without function words, long ones with many of them good,
+    the others short or near-good. An article or main element with the share whole of the good text or more leaves out what stands outside.
+    Second pass: those undecided take the label of the nearest block that was decided by its own words and links, in the same
     main element (both neighbours alike, or the nearer one); with none decided, the text of a
-    main element stands, and that of a page on which nothing but page furniture is decided.
+    main element stands, and that of a page on which nothing but page furniture is decided. A page without a good block keeps its long ones.
     A null or empty page gives an empty text; pages are read whole and each by itself, so repeated rows and
     empty tables need nothing special; kept columns pass unchanged, nulls too, and the others are ignored.
     """
