@@ -64,10 +64,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: the fixed kinds, and runs that look random to models trained on the words of the same table."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     s = F.col("spans")
     return found.select(
@@ -79,6 +81,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text, with the score that words nearby leave each span, and how many of them score a half or more."""
     found = pii.scan_pii(table(spark, sf_dir, "documents"))
     s = F.col("spans")
     return found.select(
@@ -86,6 +89,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(counted(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS),
         F.sha2(listed(s, pii.BASE_KINDS), 256).alias("base_sha256"),
         listed(s).alias("spans"),
+        F.array_join(F.transform(s, lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
+        F.size(F.filter(s, lambda x: x["score"] >= pii.LEAST)).cast("long").alias("n_likely"),
     )
 
 
