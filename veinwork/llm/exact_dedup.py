@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.common import bounded_batches, id_type, keyed_text, materialise
 
-#: Characters of the text that lead the sort key. The splitters that Spark samples hold these, a hash of
+#: Bytes of the text that lead the sort key. The splitters that Spark samples hold these, a hash of
 #: the whole text and the identifier, so what it gathers on the driver is bounded however long texts are.
-LEAD = 24
+LEAD = 128
 
 
 def exact_dedup(
@@ -26,11 +26,12 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
-    Rows are range-partitioned by sampled splitters over (start of the text, hash of the whole text,
-    identifier), so a text that a third of all rows share spreads over many partitions. Within a partition
-    an external sort puts equal texts side by side and each text is compared whole with its neighbour. Only
-    the groups at a partition's ends can go on in the next one; their few totals (at most two keys for each
-    partition) are added up and joined back by broadcast.
+    Rows are range-partitioned by sampled splitters over the first LEAD bytes of the normalised text; texts that begin
+    with the same LEAD bytes are ordered by a hash of the whole and then by the identifier, so that neither a common
+    beginning nor a text that a third of all rows share stays in one partition. Within a partition
+    an external sort by these keys and the whole text puts equal texts side by side, and each is compared whole with its
+    neighbour. Only the groups at a partition's ends can go on in the next one: each gives one record with its text (two for
+    a partition at most), which are compared whole with each other, and their totals are joined back by place.
 
     keep: "min" or "max", which identifier of a group stays. normalise: applied to the text before comparing.
     A null text counts as empty; an empty table gives no rows; a null identifier never stays while its group
@@ -43,15 +44,15 @@ def exact_dedup(
     rows = keyed_text(docs, id_col, text_col)
     if normalise is not None:
         rows = rows.withColumn("text", normalise(F.col("text")))
-    rows = rows.select(F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"), "id", "text")
+    rows = rows.select(F.substring(F.col("text").cast("binary"), 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"), "id", "text")
     placed = rows.repartitionByRange("lead", "hash", "id").sortWithinPartitions("lead", "hash", "text", "id")
-    kind = id_type(rows)
-    schema = pa.schema([("id", kind), ("sha", pa.string()), ("keep_here", kind), ("size_here", pa.int64()), ("edge", pa.bool_())])
-    names = [f"`id` {rows.schema['id'].dataType.simpleString()}", "sha string", f"keep_here {rows.schema['id'].dataType.simpleString()}", "size_here bigint", "edge boolean"]
-    compared = materialise(placed.mapInArrow(_neighbours(schema, keep), ", ".join(names)), "exact-dedup")
+    kind, ddl = id_type(rows), rows.schema["id"].dataType.simpleString()
+    schema = pa.schema([("id", kind), ("sha", pa.string()), ("keep_here", kind), ("size_here", pa.int64()), ("edge", pa.int64()), ("edge_text", pa.string())])
+    compared = materialise(placed.mapInArrow(_neighbours(schema, keep), f"`id` {ddl}, sha string, keep_here {ddl}, size_here bigint, edge bigint, edge_text string"), "exact-dedup")
     best = F.max if keep == "max" else F.min
-    edges = compared.filter("edge").groupBy("sha").agg(best("id").alias("keep_all"), F.count("*").alias("size_all"))
-    joined = compared.join(F.broadcast(edges), "sha", "left")
+    ends = compared.filter("edge_text IS NOT NULL").groupBy("edge_text").agg(best("keep_here").alias("keep_all"), F.sum("size_here").alias("size_all"), F.collect_list("edge").alias("edges"))
+    whole = ends.select(F.explode("edges").alias("edge"), "keep_all", "size_all")
+    joined = compared.filter("edge_text IS NULL").select("id", "sha", "keep_here", "size_here", "edge").join(F.broadcast(whole), "edge", "left")
     keep_id = F.when(F.col("size_all").isNotNull(), F.col("keep_all")).otherwise(F.col("keep_here"))
     return joined.select(
         F.col("id").alias(id_col),
@@ -63,23 +64,33 @@ def exact_dedup(
 
 
 def _neighbours(schema: pa.Schema, keep: str) -> Callable:
-    """Compares each text of a sorted partition with the one before it; a group's identifiers wait for its end."""
+    """Compares each text of a sorted partition with the one before it; a group's identifiers wait for its end.
+
+    Groups at the partition's ends have a number of their own (edge), and one more row that holds their text.
+    """
     choose = max if keep == "max" else min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        TaskContext.get()
         out: dict[str, list] = {f.name: [] for f in schema}
         waiting: list[tuple[str, list]] = []  # the groups of the current key: more than one only if hashes collide
+        edges = TaskContext.get().partitionId() << 32
         key = text = first = None
 
         def close(edge: bool) -> None:
-            for sha, ids in waiting:
+            nonlocal edges
+            for t, ids in waiting:
                 stays = choose((i for i in ids if i is not None), default=None)
+                edges += edge
+                n, number = len(ids), edges if edge else None
                 out["id"] += ids
-                out["sha"] += [sha] * len(ids)
-                out["keep_here"] += [stays] * len(ids)
-                out["size_here"] += [len(ids)] * len(ids)
-                out["edge"] += [edge] * len(ids)
+                out["sha"] += [hashlib.sha256(t.encode()).hexdigest()] * n
+                out["keep_here"] += [stays] * n
+                out["size_here"] += [n] * n
+                out["edge"] += [number] * n
+                out["edge_text"] += [None] * n
+                if edge:
+                    for name, value in zip(schema.names, (None, None, stays, n, number, t), strict=True):
+                        out[name].append(value)
             waiting.clear()
 
         def full() -> pa.RecordBatch:
@@ -95,7 +106,7 @@ def _neighbours(schema: pa.Schema, keep: str) -> Callable:
                     key, text = here, None
                     first = first or key
                 if t != text:
-                    waiting.append((hashlib.sha256(t.encode()).hexdigest(), []))
+                    waiting.append((t, []))
                     text = t
                 waiting[-1][1].append(i)
             if len(out["id"]) >= 10_000:
