@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.common import bounded_batches, keyed_text
 
-#: Bounds of the fit: labelled rows that it uses (the first by a hash of their id) and features that it keeps.
-MAX_ROWS, MAX_FEATURES = 20_000, 6_000
+#: Defaults of fit's bounds: labelled rows that it uses (the first by a hash of their id), features that it keeps, terms that
+#: it may learn to swap and frequent words that tell their contexts.
+MAX_ROWS, MAX_FEATURES, TERMS, NEIGHBOURS = 20_000, 6_000, 200, 200
+#: Terms occur in such a share of the rows, lean to a label by fewer standard errors, and stand in contexts at least so alike.
+RARE, COMMON, EVEN, ALIKE = 0.005, 0.5, 1.5, 0.2
 PREFIXES = range(3, 9)
 _WORDS_REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,30 +48,74 @@ def doc_features(words: Iterable[str]) -> set[str]:
     return {f for w in set(words) for f in features_of(w)}
 
 
-def swapped(words: list[str]) -> list[str] | None:
-    """The words with each identity term replaced by the next of its row; None without such terms."""
-    out = [_SWAP.get(w, w) for w in words]
+def swapped(words: list[str], swap: dict[str, str] = _SWAP) -> list[str] | None:
+    """The words with each term replaced by its partner; None without such terms."""
+    out = [swap.get(w, w) for w in words]
     return out if out != words else None
 
 
 class Classifier:
-    """sigmoid(bias + sum of the weights of the features that occur)."""
+    """sigmoid(bias + sum of the weights of the features that occur). swap: the terms that were exchanged in training,
+    twins: how many training rows have one."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, swap: dict[str, str] | None = None, twins: int = 0):
+        self.weights, self.bias, self.swap, self.twins = weights, bias, _SWAP if swap is None else swap, twins
         self._known: dict[str, tuple[str, ...]] = {}
 
-    def score(self, text: str) -> float:
+    def logit(self, words: Iterable[str]) -> float:
         if len(self._known) > _WORDS_REMEMBERED:
             self._known.clear()
         hit: set[str] = set()
-        for w in set(words_of(text)):
+        for w in set(words):
             got = self._known.get(w)
             if got is None:
                 got = self._known[w] = tuple(f for f in features_of(w) if f in self.weights)
             hit.update(got)
-        z = self.bias + sum(self.weights[f] for f in sorted(hit))
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return self.bias + sum(self.weights[f] for f in sorted(hit))
+
+    def score(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -35, 35))))
+
+    def change(self, text: str) -> float | None:
+        """How far the swap of its terms moves the text's logit; None without terms."""
+        words = words_of(text)
+        twin = swapped(words, self.swap)
+        return None if twin is None else abs(self.logit(twin) - self.logit(words))
+
+
+def even_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, limit: int = TERMS) -> tuple[list[str], list[str]]:
+    """Words that lean to neither label, the most frequent first: candidates for a swap; and the words that tell contexts."""
+    rows = toxic + clean
+    words = sorted(((a + b, f) for f, (a, b) in counts.items() if not f.endswith("*")), key=lambda x: (-x[0], x[1]))
+    found = []
+    for n, f in words:
+        odds, error = _odds(*counts[f], toxic, clean)
+        if max(4, RARE * rows) <= n <= COMMON * rows and abs(odds) < EVEN * error:
+            found.append(f)
+    return found[:limit], [f for _, f in words[:NEIGHBOURS]]
+
+
+def partners(terms: list[str], near: np.ndarray) -> dict[str, str]:
+    """Pairs of terms in like contexts, each term in one pair at most, the most alike first. near: for each term how often
+    each context word stands beside it, on either side."""
+    if len(terms) < 2 or not near.sum():
+        return {}
+    expected = near.sum(axis=1, keepdims=True) * near.sum(axis=0, keepdims=True) / near.sum()
+    told = np.maximum(0, np.log((near + 1e-9) / (expected + 1e-9)))
+    told /= np.linalg.norm(told, axis=1, keepdims=True) + 1e-12
+    alike = np.triu(np.round(told @ told.T, 9), 1)
+    out: dict[str, str] = {}
+    for i, j in sorted(zip(*np.nonzero(alike >= ALIKE), strict=True), key=lambda x: (-alike[x], x)):
+        a, b = terms[i], terms[j]
+        if a not in out and b not in out:
+            out[a], out[b] = b, a
+    return out
+
+
+def _odds(a: float, b: float, toxic: int, clean: int) -> tuple[float, float]:
+    """Smoothed log odds of a feature that a toxic and b clean rows have, and their standard error."""
+    odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
+    return odds, np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (clean - b + 0.5))
 
 
 def select_features(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, limit: int = MAX_FEATURES, least: int = 4) -> list[str]:
@@ -76,8 +123,7 @@ def select_features(counts: Iterable[tuple[str, int, int]], toxic: int, clean: i
     scored = []
     for f, a, b in counts:
         if a + b >= least:
-            odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
-            error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (clean - b + 0.5))
+            odds, error = _odds(a, b, toxic, clean)
             if abs(odds) >= 2.5 * error:
                 scored.append((-abs(odds / error), f))
     return [f for _, f in sorted(scored)[:limit]]
@@ -114,9 +160,13 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[int
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, counterfactual: float = 1.0) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, max_terms: int = TERMS, counterfactual: float = 1.0) -> Classifier:
     """Learns from max_rows labelled rows at most; features are counted and looked up in tasks, so only their
-    counts, and for each row the few features that were kept, come to the driver.
+    counts, and for each row the few features that were kept (max_features), come to the driver.
+
+    In each row that has terms for groups (IDENTITY_TERMS) or learned terms, all of them are swapped, and the change of the row's logit is
+    penalised. Learned are max_terms words at most that lean to neither label, in pairs that stand among like neighbours: what a
+    text happens to be about must not move its score. Such words are features too, so that there is something to hold down.
 
     Rows without a text or label are not used. With no labelled rows, or labels of one kind, the classifier
     gives every text the share of toxic rows (a half if there are none).
@@ -142,13 +192,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     counts = rows.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # Those with the most occurrences in toxic rows relative to what chance gives, many more than are kept.
-    rough = counts.filter("feature = '' OR toxic + clean >= 4").orderBy(F.col("feature") != "", F.desc(F.col("toxic") / F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(10 * MAX_FEATURES + 1)
+    rough = counts.filter("feature = '' OR toxic + clean >= 4").orderBy(F.col("feature") != "", F.desc(F.col("toxic") / F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(10 * max_features + 1)
     found = {r.feature: (r.toxic, r.clean) for r in rough.collect()}
     toxic, clean = found.pop("", (0, 0))
     if not toxic or not clean:
         share = np.clip(toxic / (toxic + clean) if toxic + clean else 0.5, 0.01, 0.99)
         return Classifier({}, float(np.log(share / (1 - share))))
-    names = select_features(((f, *ab) for f, ab in found.items()), toxic, clean)
+    terms, context = even_terms(found, toxic, clean, max_terms)
+    pairs = partners(terms, _near(rows, terms, context))
+    swap = {**_SWAP, **pairs}
+    names = select_features(((f, *ab) for f, ab in found.items()), toxic, clean, max_features)
+    names += sorted({*pairs, *(w for w in _SWAP if w in found)} - {*names})
     number = {f: i for i, f in enumerate(names)}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +210,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             own, twins = [], []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
-                twin = swapped(words)
+                twin = swapped(words, swap)
                 own.append(sorted(number[f] for f in doc_features(words) if f in number))
                 twins.append(None if twin is None else sorted(number[f] for f in doc_features(twin) if f in number))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, kind), pa.array(twins, kind)], names=["label", "own", "twin"])
 
     got = rows.mapInArrow(look_up, "label int, own array<int>, twin array<int>").collect()
-    pairs = [(i, r.twin) for i, r in enumerate(got) if r.twin is not None]
-    weights, bias = fit_weights([r.own for r in got], np.array([float(r.label > 0) for r in got]), pairs, len(names), counterfactual=counterfactual)
-    return Classifier(dict(zip(names, weights.tolist(), strict=True)), bias)
+    twins = [(i, r.twin) for i, r in enumerate(got) if r.twin is not None]
+    weights, bias = fit_weights([r.own for r in got], np.array([float(r.label > 0) for r in got]), twins, len(names), counterfactual=counterfactual)
+    return Classifier(dict(zip(names, weights.tolist(), strict=True)), bias, swap, len(twins))
+
+
+def _near(rows: DataFrame, terms: list[str], context: list[str]) -> np.ndarray:
+    """How often each context word stands right before (first half of the columns) and right after each term."""
+    place, column = {t: i for i, t in enumerate(terms)}, {c: i for i, c in enumerate(context)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                words = words_of(t)
+                for x, y in zip(words, words[1:], strict=False):
+                    if y in place and x in column:
+                        seen[place[y], column[x]] += 1
+                    if x in place and y in column:
+                        seen[place[x], len(context) + column[y]] += 1
+        found = [(*k, n) for k, n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["term", "side", "n"])
+
+    out = np.zeros((len(terms), 2 * len(context)))
+    for r in rows.mapInArrow(count, "term bigint, side bigint, n bigint").groupBy("term", "side").agg(F.sum("n").alias("n")).collect():
+        out[r.term, r.side] = r.n
+    return out
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
