@@ -172,11 +172,46 @@ def test_near_dedup_matches_all_pairs(spark, k, block, monkeypatch):
     assert got == jaccard_components(texts, k, 0.8)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup_with_hot_buckets(spark, k, monkeypatch):
+    """Texts around one common passage and a group of copies fill buckets beyond a block; ids are strings."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    r = random.Random(k)
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = {f"id{i:03}": f"{passage} {' '.join(f'own{i}x{j}' for j in range(r.randint(8, 40)))}" for i in range(70)}
+    texts |= {f"copy{i:03}": f"{passage} c{i % 50}" for i in range(60)}
+    texts |= {f"edit{i}": t + " edited" for i, t in enumerate(list(texts.values())[:20])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_components(df, k=k).collect()}
+    assert got == jaccard_components(texts, k, 0.8)
+
+
 def test_near_dedup_on_the_table(spark, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_near_dedup(spark, SF).collect()}
     assert got == jaccard_components(documents, 2, 0.8)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup_on_a_larger_table(spark, k):
+    """All links of the thousand documents of the next size."""
+    texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), k=k).collect()}
+    assert got == jaccard_components(texts, k, 0.8)
+
+
+def test_bands_miss_few_pairs_of_small_sets():
+    """Minima and maxima of one permutation are not quite independent: pairs at a similarity of 0.8 with sets of 9 to 90 shingles, all of which must share a band."""
+    r = np.random.default_rng(4)
+    missed = pairs = 0
+    for common in (8, 16, 40, 80):
+        extra = common // 8  # common / (common + 2 * extra) = 0.8
+        base = [r.integers(0, 1 << 63, common + 2 * extra, dtype=np.uint64) for _ in range(1500)]
+        a, b = (near_dedup.signatures([np.unique(np.concatenate([x[:common], x[common + i * extra : common + (i + 1) * extra]])) for x in base]) for i in (0, 1))
+        same = (a == b).reshape(len(base), near_dedup.BANDS, near_dedup.ROWS).all(axis=2).any(axis=1)
+        missed, pairs = missed + int((~same).sum()), pairs + len(base)
+    assert pairs == 6000 and missed <= 1
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 200), (300, 300)]

@@ -42,7 +42,7 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     """Writes df as Parquet to the shared folder and returns the table read back.
 
     It cuts the lineage, so what follows survives the loss of an executor without doing the work again,
-    and rows that a task has numbered keep their numbers. The files go when the application ends.
+    and rows that a task has numbered keep their numbers. The files go when the application ends, or by discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veinwork/{label}-{uuid.uuid4().hex}"
@@ -50,7 +50,17 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote, once everything that reads them has been written itself."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

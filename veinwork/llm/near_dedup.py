@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from veinwork.llm.common import bounded_batches, keyed_text, materialise
+from veinwork.llm.common import bounded_batches, discard, keyed_text, materialise
 from veinwork.llm.components import components
 
 #: A permutation gives two signature values, its minimum and its maximum. 32 bands of 5 values miss a pair at a
@@ -148,14 +149,20 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class _Union:
-    """Components of a group's members."""
+    """Components of a group's members; root is the same for members of one component."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, root: np.ndarray):
+        self.root = root.copy()
+        self.members: dict[int, list[int]] = {}
+        for i, r in enumerate(root.tolist()):
+            self.members.setdefault(r, []).append(i)
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.root[i], self.root[j]
-        self.root[self.root == max(a, b)] = min(a, b)
+        """The smaller component takes the larger one's root, so a member changes its root a logarithmic number of times."""
+        a, b = sorted((int(self.root[i]), int(self.root[j])), key=lambda r: -len(self.members[r]))
+        moved = self.members.pop(b)
+        self.root[moved] = a
+        self.members[a] += moved
 
     def stars(self, names: np.ndarray) -> list[tuple[int, int]]:
         """Each member with the smallest name of its component."""
@@ -178,7 +185,7 @@ def _likely(threshold: float) -> Callable[[dict[str, list]], list[tuple[int, int
     def fn(g: dict[str, list]) -> list[tuple[int, int]]:
         order, ends, own = _by_size(g, threshold)
         sig = np.frombuffer(b"".join(g["sig"]), dtype="<u2").reshape(len(order), -1)[order]
-        union, split = _Union(len(order)), own.min() != own.max()
+        union, split = _Union(np.arange(len(order))), own.min() != own.max()
         for i in range(len(order)):
             c = np.arange(i + 1, ends[i])
             c = c[(union.root[c] != union.root[i]) & ((own[c] != own[i]) | (not split))]
@@ -201,8 +208,7 @@ def _linked(threshold: float) -> Callable[[dict[str, list]], list[tuple[int, int
         starts = np.concatenate([[0], np.cumsum(sizes)])
         _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
         _, first, known = np.unique(np.array(g["component"])[order], return_index=True, return_inverse=True)
-        union, split = _Union(len(order)), own.min() != own.max()
-        union.root = first[known]
+        union, split = _Union(first[known]), own.min() != own.max()
         mine = np.zeros(int(numbers.max()) + 1, dtype=np.int32)
         for i in range(len(order)):
             c = slice(i + 1, ends[i])
@@ -225,11 +231,45 @@ def _pairs_of_blocks(members: DataFrame, key: list[str], columns: list[str], fn:
     return placed.mapInArrow(_grouped(fn, key, columns), "a bigint, b bigint")
 
 
+def _alike(classes: DataFrame, threshold: float) -> DataFrame:
+    """Stars (a, b) of the classes that share a band and whose signatures are alike enough; written.
+
+    A bucket of up to BLOCK classes is one task's work. In a larger one each block is compared with itself and with the
+    first block, which puts a large group of copies in one component. What such a bucket then still holds of several
+    components shares a band by a common passage more than by being alike: its members are dealt again by pairs of bands,
+    as two texts with a similarity of 0.8 share another band with a probability of 1 - 4e-6, and only pairs of bands
+    that several components share are compared.
+    """
+    columns, key = ["rep", "n", "sig", "own"], ["bucket", "lo", "hi"]
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    placed = classes.select("rep", F.explode(band).alias("bucket"))
+    shared = materialise(placed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
+    sized = placed.join(shared, "bucket")
+    whole = classes.select("rep", "n", "sig")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    likely = _pairs_of_blocks(in_blocks(sized.filter(F.col("members") <= BLOCK).join(whole, "rep"), blocks), key, columns, _likely(threshold))
+    large = sized.filter(F.col("members") > BLOCK)
+    if shared.filter(F.col("members") > BLOCK).isEmpty():
+        found = materialise(likely, "near-alike")
+    else:
+        met = materialise(likely.unionByName(_pairs_of_blocks(in_blocks(large.join(whole, "rep"), blocks, "first"), key, columns, _likely(threshold))), "near-alike")
+        part = components(met, "near-part").withColumnRenamed("node", "rep")
+        both = large.join(classes, "rep").select("rep", F.col("bucket").alias("x"), F.explode(band).alias("y")).filter("x != y")
+        both = both.select("rep", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("bucket")).distinct()
+        both = both.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_ = both.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "members")
+        rest = both.select("rep", "bucket").join(open_, "bucket").join(whole, "rep")
+        found = materialise(met.unionByName(_pairs_of_blocks(in_blocks(rest, blocks), key, columns, _likely(threshold))), "near-alike")
+        discard(met)
+    discard(shared)
+    return found
+
+
 def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept. Ids are integers and unique.
+    """One row per document: id, n_shingles, component_id, kept. Ids are unique, of any type that can be ordered.
 
     Documents with equal sets are one class, and only classes go on. A class's signature is cut into bands;
-    classes that share a band are compared by set size and whole signature, never as a list of pairs: a task
+    classes that share a band are compared by set size and whole signature (_alike), never as a list of pairs: a task
     gives back stars of what it finds alike. The clusters that these stars make are confirmed on
     the full sets: first each block within itself and with its cluster's first block, then, where several
     components are left, every other pair of blocks. Within a component nothing is compared again, so a large
@@ -240,19 +280,26 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     Rows that repeat an id count as that one document and are all kept or dropped with it.
     """
     bounded_batches(docs.sparkSession)
-    rows = keyed_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    rows = keyed_text(docs, id_col, text_col)
+    if isinstance(rows.schema["id"].dataType, IntegralType):
+        found = _components(rows.withColumn("id", F.col("id").cast("long")), k, threshold)
+    else:  # numbered for the work, named again after it
+        numbers = materialise(rows.filter("id IS NOT NULL").select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "near-ids")
+        numbered = rows.join(numbers, rows["id"] == numbers["name"], "left").select(numbers["id"].alias("id"), "text")
+        named = _components(numbered, k, threshold).join(numbers, "id", "left")
+        least = named.groupBy("component_id").agg(F.min("name").alias("least"))
+        found = named.join(least, "component_id", "left").select(F.col("name").alias("id"), "n_shingles", F.col("least").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id) of rows(id bigint, text)."""
     sketches = _sketches(rows, k)
     classes = materialise(sketches.filter("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
-
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("bucket")
-    placed = classes.select("rep", band)
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    in_bucket = placed.join(shared, "bucket").join(classes.select("rep", "n", "sig"), "rep")
-    likely = _pairs_of_blocks(in_blocks(in_bucket, F.ceil(F.col("members") / BLOCK)), ["bucket", "lo", "hi"], ["rep", "n", "sig", "own"], _likely(threshold))
+    likely = _alike(classes, threshold)
     clusters = components(likely, "near-likely").withColumnsRenamed({"node": "rep", "component": "cluster"}).join(classes.select("rep", "n"), "rep")
     sizes = clusters.groupBy("cluster").agg(_block_count(F.count("*"), F.sum("n")).alias("n_blocks"))
-    in_cluster = clusters.join(sizes, "cluster")
-    full = materialise(_with_sets(in_cluster, rows, k), "near-sets")
+    full = materialise(_with_sets(clusters.join(sizes, "cluster"), rows, k), "near-sets")
 
     columns, key = ["rep", "n", "own", "members", "component"], ["cluster", "lo", "hi"]
     first = in_blocks(full.withColumn("component", F.col("rep")), F.col("n_blocks"), "first")
@@ -263,12 +310,13 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
         open_ = known.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("cluster")
         rest = in_blocks(known.join(open_, "cluster"), F.col("n_blocks"), "rest")
         links = materialise(links.unionByName(_pairs_of_blocks(rest, key, columns, _linked(threshold))), "near-links")
+    discard(full, likely)
     found = components(links, "near-components").withColumnRenamed("node", "rep")
 
     by_class = classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     alone = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    rest_ = sketches.filter("n > 0 AND id IS NOT NULL").join(by_class, "set_key").select("id", "n", "component_id")
-    return rest_.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    others = sketches.filter("n > 0 AND id IS NOT NULL").join(by_class, "set_key").select("id", "n", "component_id")
+    return others.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def _with_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
