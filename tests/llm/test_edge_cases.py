@@ -12,7 +12,7 @@ from veinwork.llm.queries import byte_bpe
 LONG = " ".join(f"w{i % 9973} lorem{i % 31}" for i in range(60_000))
 BODY = "the quick brown fox jumps over the lazy dog and then it sleeps for a very long while in the warm sun"
 ROWS = [(1, ""), (2, None), (3, BODY), (4, BODY), (4, BODY), (None, "a text without an id"), (None, None), (5, LONG), (6, "x"), (7, "ßİ ﬀ 日本語 \x00\t\x0b")]
-CLASHING = ("id", "row", "hash", "lead", "rep", "sig", "n", "set_key", "start", "part", "n_tokens", "spans", "score", "kept", "keep_id", "component_id", "item", "sha", "edge", "label", "_id", "_sha256", "seeds")
+CLASHING = ("id", "row", "hash", "lead", "rep", "sig", "n", "set_key", "start", "part", "n_tokens", "spans", "score", "kept", "keep_id", "component_id", "item", "sha", "edge", "label", "_id", "_sha256", "_sha", "_text_sha0", "item_row", "width", "text_sha", "seeds")
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +134,7 @@ def test_stages(spark, docs, nothing, sf_dir, name, stage):
     got = stage(spark, docs, sf_dir)
     if name != "packing":
         assert got.columns == docs.columns
+        assert all(set(r) == {"clash"} for r in got.select(*CLASHING).collect())
         assert stage(spark, nothing, sf_dir).count() == 0
     rows = got.select("doc_id").collect()
     ids = sorted((r.doc_id for r in rows), key=str)
@@ -147,6 +148,13 @@ def test_stages(spark, docs, nothing, sf_dir, name, stage):
         assert set(ids) == {i for i, _ in ROWS}
 
 
+def test_stages_take_string_ids(spark, docs, sf_dir):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = ([r.doc_id for r in stage(spark, d, sf_dir).select("doc_id").collect()] for d in (docs, named))
+        assert sorted(got, key=str) == sorted((i if i is None else f"d{i}" for i in want), key=str), name
+
+
 GOOD = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
 
 

@@ -176,8 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = chosen.count()
     if n > max_rows:  # only the share of the hashes that holds the first max_rows is sorted
         chosen = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * max_rows / n + 300 / n)))
-    chosen = F.broadcast(chosen.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id", "label").limit(max_rows))
-    rows = keyed_text(docs.filter(F.col(text_col).isNotNull()), id_col, text_col).join(chosen, "id").select("label", "text")
+    chosen = chosen.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id", "label").limit(max_rows)
+    texts = keyed_text(docs.filter(F.col(text_col).isNotNull()), id_col, text_col)
+    if texts.schema["id"].dataType != chosen.schema["id"].dataType:  # ids of two types are compared as text
+        texts, chosen = (x.withColumn("id", F.col("id").cast("string")) for x in (texts, chosen))
+    rows = texts.join(F.broadcast(chosen), "id").select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
