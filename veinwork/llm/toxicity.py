@@ -262,7 +262,10 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, model: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose text scores below the threshold; nothing is shuffled. A null text counts as empty."""
+    """The rows, all columns as they are, whose text scores below the threshold; nothing is shuffled. A null text counts as empty.
+    A classifier that learned no feature (without labels, or with labels of one kind) tells no text from another and rejects none."""
+    if not model.weights:
+        return docs
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
