@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veinwork.operators import metrics
+from veinwork.operators import metrics, ranks
 
 ATOMS = "record_id long, dx double, dy double, dz double"
 STRUCTURES = "record_id long, group_id string, energy_target double, energy_predicted double"
@@ -39,18 +40,36 @@ def test_order_and_partitions_change_nothing(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
-def test_exact_percentile(spark, n, monkeypatch):
-    monkeypatch.setattr(metrics, "LAST_STEP", 40)
+@pytest.mark.parametrize("large", [0, 40])
+def test_percentiles(spark, n, large, monkeypatch):
+    """Overall and by group, whether a group is one aggregate or ranges of several partitions; many values are equal."""
+    monkeypatch.setattr(ranks, "LARGE", large)
     r = random.Random(n)
-    values = [r.choice([r.random(), 0.5, float(r.randint(0, 3))]) for _ in range(n)]
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
-    for q in (0.0, 0.5, 0.95, 1.0):
-        assert metrics.exact_percentile(df, "x", q) == pytest.approx(float(np.percentile(values, q * 100)))
+    rows = [(i % 3 // 2, r.choice([r.random(), 0.5, float(r.randint(0, 3))])) for i in range(n)]
+    df = spark.createDataFrame([*rows, (0, None)], "g int, x double")
+    shares = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+    got = ranks.percentiles(df, [], "x", shares).first()
+    assert list(got) == pytest.approx([float(np.percentile([v for _, v in rows], q * 100)) for q in shares.values()])
+    for x in ranks.percentiles(df, ["g"], "x", shares).collect():
+        assert list(x)[1:] == pytest.approx([float(np.percentile([v for g, v in rows if g == x.g], q * 100)) for q in shares.values()])
+
+
+def test_numbers_and_tops_span_partitions(spark):
+    r = random.Random(6)
+    rows = [(i, r.randint(0, 4), r.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, g int, s int").repartition(7)
+    places = {x.k: x.place for x in ranks.numbered(df, ["g"], ["s", "k"]).collect()}
+    for g in range(5):
+        assert [places[k] for s, k in sorted((s, k) for k, h, s in rows if h == g)] == list(range(sum(h == g for _, h, _ in rows)))
+    for k in (0, 1, 100, 300, 400):
+        want = {i for i, _, s in sorted(rows, key=lambda x: (-x[2], x[0]))[:k]}
+        got = {x.k for x in ranks.top(df, F.col("s"), "k", k).collect()}
+        assert got == want
 
 
 def test_empty_inputs(spark):
     s, a = (df.limit(0) for df in golden(spark))
-    assert metrics.exact_percentile(a, "dx", 0.95) is None
+    assert ranks.percentiles(a, [], "dx", {"p": 0.95}).first().p is None
     assert metrics.grouped_metrics(s, a, 1.0).count() == 0
     assert metrics.overall_metrics(s, a, 1.0).first().n_structures == 0
 

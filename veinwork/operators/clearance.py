@@ -60,6 +60,22 @@ def constraint_rows(rows: DataFrame, key: str, limits: Mapping[str, tuple[Column
     return long.withColumn("passed", F.coalesce(F.col("observed") <= F.col("limit"), F.lit(False)))
 
 
+def inside_folder(path: Column, folder: str) -> Column:
+    """Whether a path, its . and .. steps resolved, lies below a folder; a path that climbs above its own start does not."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+
+    def walk(state, step):
+        up = step == ".."
+        at = F.when(up, F.slice(state["at"], 1, F.greatest(F.size(state["at"]) - 1, F.lit(0)))).otherwise(F.array_append(state["at"], step))
+        return F.struct(at.alias("at"), (state["ok"] & (~up | (F.size(state["at"]) > 0))).alias("ok"))
+
+    resolved = F.aggregate(steps, start, walk)
+    clean = "/".join(x for x in folder.split("/") if x not in ("", "."))
+    below = F.startswith(F.concat(F.array_join(resolved["at"], "/"), F.lit("/")), F.lit(f"{clean}/"))
+    return resolved["ok"] & below & (F.startswith(path, F.lit("/")) == F.lit(folder.startswith("/")))
+
+
 def artifact_problems(wanted: DataFrame, registry: DataFrame, folder: str) -> DataFrame:
     """wanted: artifact_id, kind. registry: artifact_id, kind, path, stored_sha, actual_sha. Per wanted artifact what is wrong with it."""
     found = registry.select("artifact_id", F.col("kind").alias("registered_kind"), "path", "stored_sha", "actual_sha")
@@ -69,7 +85,7 @@ def artifact_problems(wanted: DataFrame, registry: DataFrame, folder: str) -> Da
         "unregistered": ~there,
         "kind": there & (F.col("kind") != F.col("registered_kind")),
         "changed": there & ~F.col("stored_sha").eqNullSafe(F.col("actual_sha")),
-        "outside": there & ~F.coalesce(F.startswith("path", F.lit(folder)), F.lit(False)),
+        "outside": there & ~F.coalesce(inside_folder(F.col("path"), folder), F.lit(False)),
     })
     return joined.select("artifact_id", wrong.alias("problems")).filter(F.size("problems") > 0)
 

@@ -36,7 +36,7 @@ def transition_audit(log: DataFrame, entity: str, sequence: str, state: str, all
     """Steps from one state to the next that the table allowed(from_state, to_state) doesn't list."""
     before = F.lag(state).over(Window.partitionBy(entity).orderBy(sequence))
     steps = log.select(entity, sequence, before.alias("from_state"), F.col(state).alias("to_state")).filter("from_state IS NOT NULL")
-    return steps.join(F.broadcast(allowed), ["from_state", "to_state"], "left_anti").select(entity, sequence, "from_state", "to_state")
+    return steps.join(allowed, ["from_state", "to_state"], "left_anti").select(entity, sequence, "from_state", "to_state")
 
 
 def trailing_streak(log: DataFrame, entity: str, sequence: str, good: Column) -> DataFrame:
@@ -93,7 +93,7 @@ def chain_breaks(nodes: DataFrame, run: str, place: str, parent: Column, identif
 
 def missing_kinds(nodes: DataFrame, run: str, kind: str, required: DataFrame) -> DataFrame:
     """Required kinds (a small table) that a run doesn't have."""
-    per_run = nodes.select(run).distinct().join(F.broadcast(required))
+    per_run = nodes.select(run).distinct().join(required)
     return per_run.join(nodes.select(run, kind).distinct(), [run, kind], "left_anti")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.operators.policy import reasons
@@ -143,12 +143,13 @@ def trainable(layers: DataFrame, name: str, prefixes: Sequence[str]) -> DataFram
         chosen = F.col(name).startswith(p) if chosen is None else chosen | F.col(name).startswith(p)
     number = F.regexp_extract(name, r"(\d+)(?!.*\d)", 1).cast("int")
     rows = layers.filter(chosen).withColumn("block", number)
-    return rows.withColumn("last_block", F.max("block").over(Window.partitionBy(F.lit(1)))).filter(F.col("block").eqNullSafe(F.col("last_block"))).select(name)
+    last = rows.agg(F.max("block").alias("last_block"))  # one row
+    return rows.join(F.broadcast(last), F.col("block").eqNullSafe(F.col("last_block"))).select(name)
 
 
 def stage_gaps(done: DataFrame, stages: DataFrame, run: str) -> DataFrame:
     """Stages that a run left out before its last one. stages: stage, position (a small table)."""
-    s = F.broadcast(stages)
+    s = stages
     last = done.join(s, "stage").groupBy(run).agg(F.max("position").alias("last"))
     wanted = last.join(s.withColumnRenamed("stage", "wanted_stage"), F.col("position") <= F.col("last"))
     return wanted.join(done.select(F.col(run).alias("r"), F.col("stage").alias("s")).distinct(), (F.col(run) == F.col("r")) & (F.col("wanted_stage") == F.col("s")), "left_anti").select(run, F.col("wanted_stage").alias("stage"))

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.functions.scalars import relative_improvement
-
-#: Values that exact_percentile brings to the driver at most.
-LAST_STEP = 10_000
+from veinwork.operators.ranks import percentiles
+from veinwork.sources.tables import written
 
 
 def structure_errors(structures: DataFrame, atoms: DataFrame) -> DataFrame:
-    """One row per structure that has atoms, with sums that every coarser grain can be made from.
+    """One row per structure that has atoms, with sums that every coarser grain can be made from, and its atoms' norms.
 
     structures: record_id, group_id, energy_predicted, energy_target. atoms: record_id, dx, dy, dz (errors).
     Atoms are summed before the join, so the join moves one row per structure.
@@ -23,6 +21,7 @@ def structure_errors(structures: DataFrame, atoms: DataFrame) -> DataFrame:
         F.sum(F.abs("dx") + F.abs("dy") + F.abs("dz")).alias("abs_sum"),
         F.sum(sq).alias("sq_sum"),
         F.avg(F.sqrt(sq)).alias("mean_norm"),
+        F.collect_list(F.sqrt(sq)).alias("norms"),  # as many as the structure has atoms; pruned where nothing reads them
     )
     return structures.join(sums, "record_id").withColumn("energy_error", F.abs(F.col("energy_predicted") - F.col("energy_target")) / F.col("n_atoms"))
 
@@ -39,22 +38,18 @@ def _summed(threshold: float) -> list[Column]:
     ]
 
 
-def atom_norms(structures: DataFrame, atoms: DataFrame) -> DataFrame:
-    """record_id, group_id and norm of the error vector, one row per atom of a known structure."""
-    known = structures.select("record_id", "group_id")
-    return atoms.join(known, "record_id").select("record_id", "group_id", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2).alias("norm"))
-
-
 def overall_metrics(structures: DataFrame, atoms: DataFrame, threshold: float) -> DataFrame:
-    """One row. The percentile is exact and needs no sort of all atoms and no table of all values in one task."""
-    p95 = exact_percentile(atom_norms(structures, atoms).select("norm"), "norm", 0.95)
-    return structure_errors(structures, atoms).agg(*_summed(threshold)).withColumn("force_p95", F.lit(p95).cast("double"))
+    """One row. Atoms and structures are joined once, and the table that this leaves gives the sums and the percentile."""
+    errors = written(structure_errors(structures, atoms), "errors")
+    p95 = percentiles(errors.select(F.explode("norms").alias("norm")), [], "norm", {"force_p95": 0.95})
+    return errors.agg(*_summed(threshold)).join(p95)  # one row each
 
 
 def grouped_metrics(structures: DataFrame, atoms: DataFrame, threshold: float, least: int = 3) -> DataFrame:
     """One row per group of least structures or more; smaller groups are suppressed."""
-    per_group = structure_errors(structures, atoms).groupBy("group_id").agg(*_summed(threshold)).filter(F.col("n_structures") >= least)
-    p95 = atom_norms(structures, atoms).groupBy("group_id").agg(F.percentile("norm", 0.95).alias("force_p95"))
+    errors = written(structure_errors(structures, atoms), "errors")
+    per_group = errors.groupBy("group_id").agg(*_summed(threshold)).filter(F.col("n_structures") >= least)
+    p95 = percentiles(errors.select("group_id", F.explode("norms").alias("norm")), ["group_id"], "norm", {"force_p95": 0.95})
     return per_group.join(p95, "group_id")
 
 
@@ -64,36 +59,6 @@ def suppressed(structures: DataFrame, atoms: DataFrame, least: int = 3) -> DataF
     return sizes.agg(F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("suppressed_structures"), F.count_if(F.col("n") >= least).alias("groups"))
 
 
-def exact_percentile(values: DataFrame, column: str, q: float) -> float | None:
-    """The type-7 percentile of a column, exactly, null for no values.
-
-    Each pass narrows the range of values that can hold the two neighbouring ranks, by quantile sketches of the
-    range, and counts what lies below it; the last one brings at most LAST_STEP values to the driver. NaN
-    counts as larger than every number.
-    """
-    inside = values.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    n = inside.count()
-    if not n:
-        return None
-    place = (n - 1) * q
-    low, high = int(place), min(int(place) + 1, n - 1)
-    below, size = 0, n
-    while size > LAST_STEP:
-        share = lambda rank: (rank - below) / max(1, size - 1)
-        a, b = inside.approxQuantile("v", [max(0.0, share(low) - 0.002), min(1.0, share(high) + 0.002)], 0.001)
-        if a == b:
-            return a
-        counts = inside.agg(F.count_if(F.col("v") < a).alias("x"), F.count_if(F.col("v").between(a, b)).alias("y")).first()
-        if not (below + counts.x <= low and high < below + counts.x + counts.y) or counts.y == size:
-            break  # the sketch's error left a rank out: the exact aggregate decides
-        inside, below, size = inside.filter(F.col("v").between(a, b)), below + counts.x, counts.y
-    if size > LAST_STEP:
-        return inside.agg(F.percentile("v", (place - below) / (size - 1))).first()[0]
-    got = sorted(r.v for r in inside.collect())
-    x, y = got[low - below], got[high - below]
-    return x + (y - x) * (place - low)
-
-
 def coverage(predicted: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has, with the side that lacks them: empty when both cover the same."""
     p = predicted.select(F.col(key), F.lit(True).alias("in_predicted")).distinct()
@@ -108,10 +73,10 @@ def offset_diagnostic(rows: DataFrame, model: str, group: str, value: str) -> Da
     per_group = rows.groupBy(model, group).agg(F.avg(value).alias("group_mean"))
     worst = per_group.groupBy(model).agg(F.max(F.abs("group_mean")).alias("max_group_offset"))
     v = F.col(value)
-    return rows.groupBy(model).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean_offset"), F.percentile(v, 0.5).alias("median_offset"), F.stddev_pop(v).alias("std_offset"),
-        F.avg(F.abs(v)).alias("mae"), F.percentile(F.abs(v), 0.95).alias("p95_abs"),
-    ).join(worst, model)
+    sums = rows.groupBy(model).agg(F.count("*").alias("n"), F.avg(v).alias("mean_offset"), F.stddev_pop(v).alias("std_offset"), F.avg(F.abs(v)).alias("mae"))
+    halves = percentiles(rows, [model], value, {"median_offset": 0.5})
+    tails = percentiles(rows.withColumn(value, F.abs(v)), [model], value, {"p95_abs": 0.95})
+    return sums.join(halves, model).join(tails, model).join(worst, model)
 
 
 def group_offsets(rows: DataFrame, model: str, group: str, value: str) -> DataFrame:
@@ -138,7 +103,3 @@ def parity(left: DataFrame, right: DataFrame, key: str, values: list[str], toler
     joined = left.join(r, key)
     long = joined.select(F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.abs(F.col(v) - F.col(f"r_{v}")).alias("d")) for v in values))).alias("x"))
     return long.groupBy(F.col("x.value").alias("value")).agg(F.max("x.d").alias("max_abs_delta")).withColumn("within", F.col("max_abs_delta") <= tolerance)
-
-
-def accepted(baseline: Column, candidate: Column, least: float) -> Column:
-    return relative_improvement(baseline, candidate) >= least

@@ -53,7 +53,7 @@ def mutation_legality(mutations: DataFrame, policy: DataFrame, max_changes: int)
 
     A name that the policy doesn't know is immutable.
     """
-    joined = mutations.join(F.broadcast(policy), "name", "left")
+    joined = mutations.join(policy, "name", "left")
     kind = F.coalesce("class", F.lit("immutable"))
     v = F.col("value").cast("double")
     problem = F.when(kind == "immutable", F.concat(F.lit("immutable:"), "name")).when(kind == "owner_gated", F.concat(F.lit("owner_gated:"), "name")).when(~F.coalesce(v.between(F.col("low"), F.col("high")), F.lit(False)), F.concat(F.lit("out_of_range:"), "name"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions.scalars import all_finite, euclid
+from veinwork.operators.ranks import top
 from veinwork.operators.split import seeded_order
+from veinwork.sources.tables import written
 
 
 def random_select(pool: DataFrame, key: str, budget: int, seed: int) -> DataFrame:
@@ -36,47 +39,56 @@ def disagreement(members: DataFrame) -> DataFrame:
     return out.withColumn("invalid", F.size("invalid_members") > 0)
 
 
-def vector_disagreement(rows: DataFrame, key: str, members: Sequence[Column]) -> DataFrame:
-    """As disagreement, for one vector per member in the same row (a one-atom candidate): no shuffle at all."""
-    m = F.array(*members)
-    n = len(members)
-    at = lambda k: F.transform(m, lambda v: v[k])
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    variance = F.transform(F.sequence(F.lit(0), F.size(m[0]) - 1), lambda k: mean(F.transform(at(k), lambda x: (x - mean(at(k))) * (x - mean(at(k))))))
-    invalid = ~F.forall(m, all_finite)
-    return rows.select(key, invalid.alias("invalid"), F.when(~invalid, F.sqrt(F.aggregate(variance, F.lit(0.0), lambda s, x: s + x))).alias("disagreement"))
+#: Rows that a pass brings to the driver at most, of which it takes as many picks as it can be sure of; passes between writes.
+AHEAD, PASSES = 64, 8
 
 
 def farthest_points(pool: DataFrame, key: str, vector: str, budget: int) -> DataFrame:
     """key, rank, distance: the row farthest from the centroid, then again and again the one farthest from all chosen.
 
-    Ties go to the smaller id; the first distance is that to the centroid. Each pick is one pass over the pool
-    that takes a maximum; the distance to the nearest chosen row is carried along, so a pass costs one distance
-    for each row. Only the chosen rows come to the driver.
+    Ties go to the smaller id; the first distance is that to the centroid. A pass brings the AHEAD rows that are farthest
+    from all chosen so far. Distances only shrink as rows are chosen, so the driver may go on choosing among them as
+    long as the best is no nearer than the last of them was: whatever was left behind is nearer still. The distance to the nearest
+    chosen row is carried along and written every PASSES passes, so a lost executor costs a few passes at most.
     """
     spark = pool.sparkSession
-    rows = pool.select(F.col(key).alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).persist()
-    dims = rows.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
+    state = written(pool.select(F.col(key).alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")), "farthest")
+    means = state.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()
     picks: list[tuple] = []
-    if dims.n:
-        means = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()
-        state = rows.withColumn("d", euclid(F.col("v"), _literal([r.m for r in means])))
-        held = []
-        for step in range(min(budget, dims.n)):
+    if means and budget > 0:
+        center = euclid(F.col("v"), _literal([r.m for r in means]))
+        first = state.select("k", "v", F.round(center, 12).alias("d")).orderBy(F.desc("d"), "k").first()
+        picks, fresh, passes = [(first.k, 0, float(first.d))], [list(first.v)], 0
+        while fresh and len(picks) < budget:
+            nearer = [euclid(F.col("v"), _literal(v)) for v in fresh]
+            known = [F.col("d")] if passes else []
+            state = state.filter(~F.col("k").isin([k for k, *_ in picks[-len(fresh) :]])).withColumn("d", F.least(*known, *nearer) if len(known + nearer) > 1 else nearer[0])
+            passes += 1
+            if passes % PASSES == 0:
+                state = written(state, "farthest")
             # Distances equal to 12 places are ties, so the order of summing decides nothing.
-            best = state.agg(F.min_by(F.struct("k", "v", "d"), F.struct(-F.round("d", 12), F.col("k"))).alias("b")).first().b
-            picks.append((best.k, step, float(best.d)))
-            nearer = euclid(F.col("v"), _literal(list(best.v)))
-            state = state.withColumn("d", nearer if step == 0 else F.least("d", nearer)).filter(F.col("k") != F.lit(best.k)).persist()
-            held.append(state)
-            state.count()
-            if step:
-                held[step - 1].unpersist()
-        held[-1].unpersist()
-    rows.unpersist()
+            near = [[-r.r, r.k, list(r.v), r.d] for r in state.select("k", "v", "d", F.round("d", 12).alias("r")).orderBy(F.desc("r"), "k").limit(AHEAD).collect()]
+            bound = (near[-1][0], near[-1][1]) if len(near) == AHEAD else None
+            fresh = []
+            while near and len(picks) < budget:
+                best = min(near, key=lambda x: (x[0], x[1]))
+                if bound and (best[0], best[1]) > bound:
+                    break
+                picks.append((best[1], len(picks), float(best[3])))
+                fresh.append(best[2])
+                near.remove(best)
+                for x in near:
+                    d = math.sqrt(sum((p - q) ** 2 for p, q in zip(x[2], best[2], strict=True)))
+                    if d < x[3]:
+                        x[0], x[3] = -_rounded(d), d
     return spark.createDataFrame(picks, f"{key} {pool.schema[key].dataType.simpleString()}, rank int, distance double")
 
 
+def _rounded(d: float) -> float:
+    """As Spark rounds to 12 places: half up."""
+    return float(Decimal(repr(d)).quantize(Decimal("1e-12"), ROUND_HALF_UP))
+
+
 def _literal(vector: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
@@ -87,7 +99,7 @@ def decision_gate(scored: DataFrame, key: str, score: str, invalid: str, vector:
     n = valid.count()
     if n < budget:
         raise ValueError(f"{n} valid candidates for a budget of {budget}")
-    window = valid.orderBy(F.desc(F.round(score, 12)), key).limit(max(budget, math.ceil(fraction * n)))
+    window = top(valid, F.round(score, 12), key, max(budget, math.ceil(fraction * n)))
     return farthest_points(window, key, vector, budget)
 
 

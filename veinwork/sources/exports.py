@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.operators.ranks import numbered
+
 
 def xyz_lines(structures: DataFrame, atoms: DataFrame, key: str) -> DataFrame:
     """key, n_atoms, text: one extended-XYZ frame per structure, fixed decimals, atoms in their order.
@@ -31,11 +33,9 @@ def species_numbers(atoms: DataFrame, symbol: str) -> DataFrame:
 
 def symbol_groups(structures: DataFrame, key: str, symbols: str) -> DataFrame:
     """Frames with the same symbols in the same order: group number by (length, symbols), number of frames, smallest key."""
-    from pyspark.sql import Window
-
     text = F.array_join(symbols, ",")
     groups = structures.groupBy(F.size(symbols).alias("length"), text.alias("symbols")).agg(F.count("*").alias("n_frames"), F.min(key).alias("first_key"))
-    return groups.withColumn("group_number", F.row_number().over(Window.orderBy("length", "symbols")))
+    return numbered(groups, [], ["length", "symbols"]).withColumn("group_number", (F.col("place") + 1).cast("int")).drop("place")
 
 
 def write_manifest(artifacts: DataFrame, path: str) -> None:
