@@ -95,9 +95,9 @@ def is_stale(now: Column, created: Column, hours: float) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) > F.lit(int(hours * 3_600_000_000))
 
 
-#: The keyword pattern keeps its first two groups, token patterns are replaced whole.
-KEYWORD_SECRET = r"(?i)(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)([^\s,;]+)"
-TOKEN_SECRETS = (r"AKIA[A-Z0-9]{16,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+# The keyword pattern keeps its first two groups, token patterns are replaced whole.
+KEYWORD_SECRET = r"(?i)([a-z0-9_-]*(?:token|secret|password|passwd|api[_-]?key|bearer|authorization|credential)s?)(\s*[=:]\s*)(\S+)"
+TOKEN_SECRETS = (r"\bgh[opsu]_[A-Za-z0-9]{16,}\b", r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bya29\.[A-Za-z0-9_-]{16,}\b")
 
 
 def redacted(column: Column | str, mark: str = "[REDACTED]") -> Column:

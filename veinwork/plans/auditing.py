@@ -82,19 +82,22 @@ def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'gi'),
-    'AKIA[A-Z0-9]{16,}', '[REDACTED]', 'g'), 'gh[pousr]_[A-Za-z0-9]{20,}', '[REDACTED]', 'g'), 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', '[REDACTED]', 'g')) AS redacted_sha256 FROM documents"""
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' HF_TOKENS: x' || doc_id || '; my-secret=abc,d Authorization: Bearer credential sk-0123456789abcdef' || doc_id || ' ya29.abcdefghijklmnop ghp_0123456789abcdefXY ghx_0123456789abcdefXY',
+    '([a-z0-9_-]*(?:token|secret|password|passwd|api[_-]?key|bearer|authorization|credential)s?)(\s*[=:]\s*)(\S+)', '\1\2[REDACTED]', 'gi'), '\bgh[opsu]_[A-Za-z0-9]{16,}\b', '[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g'), '\bya29\.[A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g')) AS redacted_sha256 FROM documents"""
 )
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(scalars.redacted("text"), 256).alias("redacted_sha256"))
+    """Every text with one secret of each form planted at its end."""
+    i = F.col("doc_id").cast("string")
+    planted = F.concat("text", F.lit(" HF_TOKENS: x"), i, F.lit("; my-secret=abc,d Authorization: Bearer credential sk-0123456789abcdef"), i, F.lit(" ya29.abcdefghijklmnop ghp_0123456789abcdefXY ghx_0123456789abcdefXY"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(scalars.redacted(planted), 256).alias("redacted_sha256"))
 
 
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_number FROM documents)
-    SELECT doc_id, line_number::INTEGER AS line_number, sha256(line) AS line_sha256 FROM l WHERE regexp_matches(line, 'AKIA[A-Z0-9]{16}|password=') AND NOT regexp_matches(line, 'example-only')"""
+    SELECT doc_id, line_number::INTEGER AS line_number, sha256(line) AS line_sha256 FROM l WHERE regexp_matches(line, 'AKIA[A-Z0-9]{16}|token = ') AND NOT regexp_matches(line, 'example-only')"""
 )
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.secret_lines(table(spark, sf_dir, "documents"), "doc_id", "text", ["AKIA[A-Z0-9]{16}", "password="], ["example-only"])
+    return audit.secret_lines(table(spark, sf_dir, "documents"), "doc_id", "text", ["AKIA[A-Z0-9]{16}", "token = "], ["example-only"])
 
 
 @query("SELECT p_name AS member, count(DISTINCT p_type) AS n_sets, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS sets FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")

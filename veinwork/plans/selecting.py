@@ -113,9 +113,17 @@ def keyword_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.keyword_relevance(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS, 50)
 
 
-@query("SELECT 'duplicate' AS problem, CAST(min(vec_id) AS VARCHAR) AS key FROM embeddings GROUP BY embedding HAVING count(*) > 1")
+@query(
+    """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 50 = 1 THEN 's' WHEN vec_id % 70 = 2 THEN 'n' WHEN vec_id % 20 = 3 THEN 'd' END AS kind, embedding FROM embeddings),
+    d AS (SELECT min(vec_id) AS k, count(*) AS n FROM e WHERE kind IS NULL GROUP BY embedding UNION ALL SELECT min(vec_id), count(*) FROM e WHERE kind = 'd')
+    SELECT 'dimension' AS problem, vec_id::VARCHAR AS key FROM e WHERE kind = 's' UNION ALL SELECT 'not_finite', vec_id::VARCHAR FROM e WHERE kind = 'n' UNION ALL SELECT 'duplicate', k::VARCHAR FROM d WHERE n > 1"""
+)
 def descriptor_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.descriptor_problems(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """Some vectors are cut short, hold a NaN or are all ones."""
+    k, v = F.col("vec_id"), F.col("embedding")
+    nan = F.array_append(F.slice(v, 1, F.size(v) - 1), F.lit(float("nan")).cast("float"))
+    planted = F.when(k % 50 == 1, F.slice(v, 1, F.size(v) - 1)).when(k % 70 == 2, nan).when(k % 20 == 3, F.transform(v, lambda x: F.lit(1.0).cast("float"))).otherwise(v)
+    return selection.descriptor_problems(table(spark, sf_dir, "embeddings").select("vec_id", planted.alias("embedding")), "vec_id", "embedding")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
