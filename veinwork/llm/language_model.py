@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.llm.common import bounded_batches, keyed_text, materialise
+from veinwork.llm.common import bounded_batches, discard, id_type, materialise
 
 #: Most frequent words, each a class of its own; the finest tail classes of all other words, by their last two bytes;
 #: words whose counts the tasks hold at least (the counts of all others are joined); sizes of the vectors and batches.
@@ -368,22 +368,52 @@ def contexts(codes: list[np.ndarray], classes: np.ndarray, end: int) -> tuple[np
     return whole[at - 1], whole[at - 2], whole[at]
 
 
-def _encoded(rows: DataFrame, vocabulary: Vocabulary, shards: int, wide: int) -> DataFrame:
-    """slice, shard and places of each text of rows(id, text); the slice after the last is set aside.
-
-    Texts are dealt by a hash of their row, so shards don't depend on how the table is partitioned.
+def _encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each text read once more and written as numbers: its places, what the task's held counts say of it (n_known, log
+    and inside, sums of log10(count + 1) over all words and over those of tail classes that are no members), and the hashes of the
+    words whose counts must be asked for. rows(id, text, train); key tells texts of one id apart, dealt deals them.
     """
+    kind = rows.schema["id"].dataType.simpleString()
+    counts = np.array([c for _, c in vocabulary.held.values()], dtype=np.int64)
+    logs, classes = np.log10(counts + 1), len(vocabulary.classes)
+    schema = pa.schema([("id", id_type(rows)), ("train", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log", pa.float64()), ("inside", pa.float64()), ("places", pa.binary()), ("asks", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(vocabulary)
+        codes, known = Codes(vocabulary), len(counts)
         for b in batches:
-            got = codes.numbers_of(b.column(1).to_pylist())
-            if got:
-                places = codes.classes()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([places[c].astype(vocabulary.narrow).tobytes() for c in got], pa.binary())], names=["dealt", "places"])
+            texts = b.column(1).to_pylist()
+            got = codes.numbers_of(texts)
+            if not got:
+                continue
+            n = np.array([len(g) for g in got])
+            first, flat, places = np.cumsum(n) - n, np.concatenate(got), codes.classes()
+            words, mine = places[flat], flat < known
+            own = np.where(mine, flat, 0)
+            log = np.where(mine, logs[own], 0.0)
+            doc = np.repeat(np.arange(len(n)), n)[~mine]
+            pair, times = np.unique(doc * np.int64(1 << 32) + (flat[~mine] - known), return_counts=True)
+            hashes = np.array([h for h, _ in codes.new], dtype=np.int64)[pair & 0xFFFFFFFF]
+            offsets = pa.array(np.searchsorted(pair >> 32, np.arange(len(n) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(2), pa.array([_hash(t.encode()) for t in texts], pa.int64()), pa.array(n.astype(np.int64)),
+                    pa.array(np.add.reduceat((mine & (counts[own] > 0)).astype(np.int64), first)), pa.array(np.add.reduceat(log, first)),
+                    pa.array(np.add.reduceat(np.where((words >= OWN) & (words < classes), log, 0.0), first)),
+                    pa.array([x.tobytes() for x in np.split(words.astype(vocabulary.narrow), first[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(hashes)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                ],
+                schema=schema,
+            )
+
+    return materialise(rows.select("id", "text", "train").mapInArrow(encode, f"id {kind}, train boolean, key bigint, n_tokens bigint, n_known bigint, log double, inside double, places binary, asks array<bigint>, times array<int>"), "lm-encoded")
+
+
+def _dealt(encoded: DataFrame, shards: int, wide: int) -> DataFrame:
+    """slice, shard and places of each training text; the slice after the last is set aside.
 
-    hashed = rows.select(F.xxhash64("id", "text").alias("dealt"), "text")
-    codes = hashed.mapInArrow(encode, "dealt bigint, places binary")
+    Texts are dealt by a hash of their row, so shards don't depend on how the table is partitioned.
+    """
+    codes = encoded.filter("train").select(F.xxhash64("id", "key").alias("dealt"), "places")
     last = -(-shards // wide)
     aside = F.pmod("dealt", F.lit(ASIDE)) == 0
     drawn = F.pmod(F.xxhash64("dealt"), F.lit(shards)).cast("int")
@@ -404,7 +434,7 @@ def _batches_of(batches: Iterator[pa.RecordBatch], narrow: str) -> Iterator[tupl
                 yield int(shard[i]), places[i:j]
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameters:
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameters:
     """Passes over all texts, rounds of them at least; a small corpus is gone through again until LEARN tokens are learned or
     a pass gains less than GAIN on the texts set aside; those are then learned too.
 
@@ -421,7 +451,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameter
     slices = int(np.ceil(np.cbrt(shards)))
     wide = -(-shards // slices)
     slices = -(-shards // wide)
-    texts = _encoded(rows, vocabulary, shards, wide)
+    texts = _dealt(encoded, shards, wide)
     aside = texts.filter(F.col("slice") == slices).select("shard", "places")
     before, done = -np.inf, 0
     while True:
@@ -434,7 +464,9 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Parameter
         if done >= rounds and (gained is None or gained < before + GAIN):
             break
         before = -np.inf if gained is None else gained
-    return _round(aside, vocabulary, now, done * slices).now
+    now = _round(aside, vocabulary, now, done * slices)
+    discard(texts)
+    return now.now
 
 
 def _mean_score(rows: DataFrame, vocabulary: Vocabulary, p: Parameters) -> float | None:
@@ -564,69 +596,32 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
     their own scores, and equal rows come back as often as they are there. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.withColumn("_train", F.coalesce(train_on, F.lit(False)))
-    rows = keyed_text(marked, id_col, text_col)
-    training = keyed_text(marked.filter("_train"), id_col, text_col)
-    counts = word_counts(training)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
+    counts = word_counts(rows.filter("train"))
     vocabulary = Vocabulary.of(counts)
     vocabulary.held.setdefault(_hash(END), (0, 0))
-    scorer = Scorer(vocabulary, train(training, vocabulary, rounds))
-    end = vocabulary.held[_hash(END)][0]
-    held_counts = np.array([c for _, c in vocabulary.held.values()], dtype=np.int64)
-    kind = rows.schema["id"].dataType.simpleString()
+    encoded = _encoded(rows, vocabulary)
+    scorer = Scorer(vocabulary, train(encoded, vocabulary, rounds))
+    end, kind = vocabulary.held[_hash(END)][0], rows.schema["id"].dataType.simpleString()
+    schema = pa.schema([("id", id_type(rows)), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log", pa.float64()), ("score", pa.float64())])
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what this task knows, dealt at random, and one for each of its words whose count it must ask for."""
-        codes, known, spread = Codes(vocabulary), len(held_counts), np.random.default_rng(1)
-        logs = np.log10(held_counts + 1)
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(scorer.inner.top))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = codes.numbers_of(texts)
-            if not got:
-                continue
-            classes = codes.classes()
-            hashes = np.array([h for h, _ in codes.new], dtype=np.int64)
-            n = np.array([len(g) for g in got])
-            first = np.cumsum(n) - n
-            all_codes = np.concatenate(got)
-            before, earlier, words = contexts(got, classes, end)
-            model = np.add.reduceat(scorer.classes(before, earlier, words).astype(float), first)
-            mine = all_codes < known
-            log = np.where(mine, logs[np.where(mine, all_codes, 0)], 0.0)
-            model += np.add.reduceat(np.where((words >= OWN) & (words < len(vocabulary.classes)), log, 0.0), first)
-            seen = np.add.reduceat((mine & (held_counts[np.where(mine, all_codes, 0)] > 0)).astype(np.int64), first)
-            doc = np.repeat(np.arange(len(n)), n)[~mine]
-            pair, times = np.unique(doc * np.int64(1 << 32) + (all_codes[~mine] - known), return_counts=True)
-            asks = len(pair)
-            who = np.concatenate([np.arange(len(n)), pair >> 32])
-            key = np.array([_hash(t.encode()) for t in texts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(who)),
-                    pa.array(key[who]),
-                    pa.array(np.concatenate([spread.integers(-(1 << 63), 1 << 63, len(n)), hashes[pair & 0xFFFFFFFF]])),
-                    pa.array(np.concatenate([np.zeros(len(n), dtype=np.int32), times.astype(np.int32)])),
-                    pa.array(np.concatenate([n, np.zeros(asks, dtype=np.int64)])),
-                    pa.array(np.concatenate([seen, np.zeros(asks, dtype=np.int64)])),
-                    pa.array(np.concatenate([np.add.reduceat(log, first), np.zeros(asks)])),
-                    pa.array(np.concatenate([model, np.zeros(asks)])),
-                ],
-                names=["id", "key", "hash", "asked", "n_tokens", "n_known", "log", "score"],
-            )
-
-    split = rows.mapInArrow(parts, f"id {kind}, key bigint, hash bigint, asked int, n_tokens bigint, n_known bigint, log double, score double")
-    rare = counts.select("hash", "count")
-    met = split.join(rare, "hash", "left").withColumn("found", F.when(F.col("asked") > 0, F.coalesce("count", F.lit(0))).otherwise(F.lit(0)))
-    more = F.col("asked") * F.log10(F.col("found") + 1)
+            got = [np.frombuffer(x, dtype=vocabulary.narrow).astype(np.int32) for x in b.column("places").to_pylist()]
+            if got:
+                n = np.array([len(g) for g in got])
+                model = np.add.reduceat(scorer.classes(*contexts(got, every, end)), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(model + b.column("inside").to_numpy())], schema=schema)
+
+    scored = encoded.select("id", "key", "n_tokens", "n_known", "log", "inside", "places").mapInArrow(scores, f"id {kind}, key bigint, n_tokens bigint, n_known bigint, log double, score double")
+    asked = encoded.select("id", "key", F.explode(F.arrays_zip("asks", "times")).alias("a")).select("id", "key", F.col("a.asks").alias("hash"), F.col("a.times").alias("asked"))
+    found = asked.join(counts.select("hash", "count"), "hash")  # a word that no training text holds adds nothing
+    more = F.col("asked") * F.log10(F.col("count") + 1)
+    none = F.lit(0).cast("long")
+    parts = scored.withColumn("times", F.lit(1)).unionByName(found.select("id", "key", none.alias("n_tokens"), F.col("asked").cast("long").alias("n_known"), more.alias("log"), more.alias("score"), F.lit(0).alias("times")))
     # Rows with the same id and text are one group here: its sums hold each of their parts so many times, and they part again after it.
-    times = F.sum(F.when(F.col("asked") == 0, 1).otherwise(0))
-    summed = met.groupBy("id", "key").agg(
-        times.alias("times"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("found") > 0, F.col("asked")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("log") + more).alias("log"),
-        F.sum(F.col("score") + more).alias("score"),
-    )
+    summed = parts.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("times", "n_tokens", "n_known", "log", "score")))
     each = summed.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     per_token = float(np.log10(vocabulary.tokens + vocabulary.types + 1))
     whole = {c: (F.col(c) / F.col("times")).cast("long") for c in ("n_tokens", "n_known")}
