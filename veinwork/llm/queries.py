@@ -11,6 +11,7 @@ from veinwork.llm.decontaminate import find_contamination
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.near_dedup import near_components
 from veinwork.llm.spans import counted, listed
+from veinwork.llm.vector_dedup import vector_components
 
 
 def byte_bpe() -> str:
@@ -94,9 +95,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels with a cosine of 0.98 or more."""
+    return vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii)
+    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii, op11_vector_dedup)
 }
 
 ORACLE_SQL = {
