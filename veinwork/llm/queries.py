@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm import html_text, language_model, licenses, packing, pii, secrets, toxicity
+from veinwork.llm import html_text, language_model, licenses, packing, pii, ranked_search, secrets, toxicity
 from veinwork.llm.common import table
 from veinwork.llm.decontaminate import find_contamination
 from veinwork.llm.exact_dedup import exact_dedup
@@ -100,9 +100,14 @@ def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii, op11_vector_dedup)
+    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii, op11_vector_dedup, op12_ranked_search)
 }
 
 ORACLE_SQL = {
@@ -112,4 +117,25 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY body)
     """,
+    "op12_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        sizes AS (SELECT doc_id, len(terms) AS n FROM words WHERE len(terms) > 0),
+        whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM words) GROUP BY ALL),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term, docs),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // whole.terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY rank <= 50
+    """,
 }
