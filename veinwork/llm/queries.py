@@ -11,6 +11,7 @@ from veinwork.llm.decontaminate import find_contamination
 from veinwork.llm.exact_dedup import exact_dedup
 from veinwork.llm.near_dedup import near_components
 from veinwork.llm.spans import counted, listed
+from veinwork.llm.spelling import spelling_groups
 from veinwork.llm.vector_dedup import vector_components
 
 
@@ -105,9 +106,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five code points or more that occur three times or more, with their near words; one run in 97 is thinned."""
+    return spelling_groups(table(spark, sf_dir, "documents"), least=5, fewest=3, times=2, every=97)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii, op11_vector_dedup, op12_ranked_search)
+    for f in (op1_packing, op2_language_model, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_toxicity, op7_decontaminate, op8_html_text, op9_secrets, op10_pii, op11_vector_dedup, op12_ranked_search, op13_spelling_variants)
 }
 
 ORACLE_SQL = {
