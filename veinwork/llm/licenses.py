@@ -79,8 +79,9 @@ def align(text: np.ndarray, template: np.ndarray, band: int = BAND) -> tuple[int
 class Index:
     """The templates' tokens, and their winnowed fingerprints by hash."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]]):
+    def __init__(self, templates: Sequence[tuple[str, str]], band: int = BAND):
         hashes = _Tokens()
+        self.band = band
         self.names = [n for n, _ in templates]
         self.tokens = [hashes.of(t) for _, t in templates]
         self.places: dict[int, list[tuple[int, int]]] = {}
@@ -97,22 +98,24 @@ class Index:
         hits = np.flatnonzero(np.isin(h, self.keys)) if len(h) else h
         if not len(hits):
             return []
-        starts: dict[int, list[int]] = {}
+        starts: dict[int, dict[int, list[int]]] = {}
         for p in hits.tolist():
             for t, q in self.places[int(h[p])]:
-                starts.setdefault(t, []).append(p - q)
+                starts.setdefault(t, {}).setdefault(p - q, []).append(p)
         spans = _token_spans(text)
         found = []
         for t, guesses in starts.items():
             want = self.tokens[t]
-            for guess in _apart(sorted(guesses)):
-                low = guess - BAND
-                piece = tokens[max(0, low) : guess + len(want) + BAND]
-                if low < 0:
-                    piece = np.concatenate([np.arange(-low, dtype=np.uint64), piece])
-                m, first, end = align(piece, want)
-                if m and m >= least * len(want):
+            open_ = np.isin(tokens, want)  # tokens that no alignment with this template has taken
+            for guess, places in sorted(guesses.items()):
+                low = guess - self.band
+                at = np.arange(low, min(len(tokens), guess + len(want) + self.band))
+                while any(open_[p] for p in places) and (free := (at >= 0) & open_[np.maximum(at, 0)]).sum() >= least * len(want):
+                    m, first, end = align(np.where(free, tokens[np.maximum(at, 0)], 0), want, self.band)
+                    if m < least * len(want):
+                        break
                     a, b = low + first, low + end - 1
+                    open_[a : b + 1] = False
                     found.append({"license_id": self.names[t], "start": spans[a][0], "end": spans[b][1], "matched_tokens": m, "template_tokens": len(want), "coverage": m / len(want)})
         found.sort(key=lambda f: (-f["matched_tokens"], -f["coverage"], f["start"], f["license_id"]))
         kept: list[dict] = []
@@ -132,21 +135,13 @@ def _token_spans(text: str) -> list[tuple[int, int]]:
     return [(place[m.start()], place[m.end() - 1] + 1) for m in _TOKEN.finditer(low)]
 
 
-def _apart(guesses: list[int]) -> list[int]:
-    """The first of each run of starting places that lie within the band of it."""
-    out: list[int] = []
-    for g in guesses:
-        if not out or g - out[-1] > BAND:
-            out.append(g)
-    return out
-
-
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", band: int = BAND) -> DataFrame:
     """One row per license text found: id, license_id, start, end (code points), matched_tokens, template_tokens, coverage.
 
-    templates: (name, text) pairs, a list that fits in memory; their winnowed fingerprints are the index, and
+    band: how many tokens an alignment may drift, so an edit that is longer parts a template in two. templates: (name, text) pairs, a list that fits in memory; their winnowed fingerprints are the index, and
     every fingerprint of a document's whole text is looked up in it, so a match of GRAM + WINDOW - 1 tokens
-    is never missed. Each place that a hit points to is aligned with its template within a band.
+    is never missed. Each diagonal that a hit points to is aligned with its template within a band, again and again while
+    tokens are left there that no alignment took, so notices that follow one another closely are found each.
     Null and empty texts have no rows; repeated rows have theirs each; an empty table gives no rows; ties
     between templates over one place go to more matched tokens, then coverage, then name. Other columns are ignored.
     """
@@ -157,7 +152,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     pairs = tuple(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = Index(pairs), _Tokens()
+        index, hashes = Index(pairs, band), _Tokens()
         for b in batches:
             out = [(i, f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in index.find(t, hashes, least)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], schema[0].type), *(pa.array([f[n] for _, f in out], k) for n, k in fields)], schema=schema)
