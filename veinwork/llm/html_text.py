@@ -21,12 +21,13 @@ STOP_WORDS = frozenset(
     "der die das und ist von zu den dem mit für auf ein eine einer nicht im des sich auch es an als bei nach wie aus "
     "el los las y es una por con para del al se lo como más su sus pero no o este esta son entre".split()
 )
-# Elements that end a block, elements that never hold main text, and words of class or id that mark such ones.
+# Elements that end a block, elements that never hold main text (in lines of text too), and words of class or id that mark such ones.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED_TAGS = frozenset("head nav footer aside header menu dialog button select svg math iframe object template noscript canvas audio video".split())
+DROPPED_TAGS = frozenset("head nav footer aside header menu dialog template noscript".split())
+INLINE_DROPPED_TAGS = frozenset("button select svg iframe object canvas audio video".split())
 RAW_TAGS = frozenset("script style title textarea xmp noframes".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice popup modal overlay newsletter subscribe "
@@ -36,6 +37,10 @@ DROPPED_WORDS = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 # Elements that hold the whole page or its main part; classes there speak of the page, not of furniture.
 WHOLE_TAGS = frozenset(("html", "body", "main", "article"))
+# Words of a class or id that name reader comments, and words that may follow them there.
+COMMENT_WORDS = frozenset("comment comments commentary reply replies disqus".split())
+COMMENT_PARTS = frozenset("area list thread section body content text item entry container wrapper box block form feed tree children depth meta author".split())
+NO_COMMENTS = frozenset("no has with show hide open closed off disable enable allow".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.DOTALL)
@@ -64,25 +69,36 @@ class Block:
     main: int  # the main element it stands in, 0 if none
     heading: bool
     mark: int = 0  # the innermost element around it that may be furniture, 0 if none
+    comment: bool = False
     label: str = field(default="")
     sparse: bool = False  # bad by its words alone
 
 
 def blocks_of(html: str) -> tuple[list[Block], list[int]]:
     """The page's blocks in order: text with references decoded and white space collapsed, and where it stands;
-    and for each marked element the marked one around it. Linear in the page's length."""
+    and for each marked element the marked one around it. Linear in the page's length.
+
+    Only block elements end a block. Of a block with marked inline elements in its lines the rest is its text; a block of nothing else
+    stands under their mark.
+    """
     out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, dropped, main, mark
-    within, parents = Counter(), [0]
+    parts: list[tuple[str, bool, int]] = []  # text, in a link, mark of the inline element
+    stack: list[tuple[str, bool, int, int, bool]] = []  # element, dropped, main, mark, comment
+    inline: list[tuple[str, int]] = []  # open marked inline elements
+    within, parents, unclosed = Counter(), [0], set()
     heading, anchors, mains, at = False, 0, 0, 0
 
+    def add(text: str) -> None:
+        parts.append((text, anchors > 0, inline[-1][1] if inline else 0))
+
     def close() -> None:
-        text = " ".join(unescape("".join(p for p, _ in parts)).split())
+        plain = [p for p in parts if not p[2]]
+        own = plain if any(p[0].strip() for p in plain) else parts
+        text = " ".join(unescape("".join(p[0] for p in own)).split())
         if text:
-            linked = len(" ".join(unescape("".join(p for p, a in parts if a)).split()))
-            _, dropped, main, mark = stack[-1] if stack else ("", False, 0, 0)
-            out.append(Block(text, linked, dropped, main, heading, mark))
+            linked = len(" ".join(unescape("".join(p[0] for p in own if p[1])).split()))
+            _, dropped, main, mark, comment = stack[-1] if stack else ("", False, 0, 0, False)
+            out.append(Block(text, linked, dropped, main, heading, mark if own is plain else max(p[2] for p in own), comment))
         parts.clear()
 
     def leave(tag: str) -> None:
@@ -98,12 +114,12 @@ def blocks_of(html: str) -> tuple[list[Block], list[int]]:
         if start < 0:
             start = len(html)
         if start > at:
-            parts.append((html[at:start], anchors > 0))
+            add(html[at:start])
         if start == len(html):
             break
         m = _TAG.match(html, start)
         if not m:  # a lone <
-            parts.append(("<", anchors > 0))
+            add("<")
             at = start + 1
             continue
         at = m.end()
@@ -114,45 +130,73 @@ def blocks_of(html: str) -> tuple[list[Block], list[int]]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if tag in INLINE_DROPPED_TAGS:
+            if not closing and tag not in unclosed:
+                end = _end_of(tag, html, at)
+                if end == -1:
+                    unclosed.add(tag)
+                at = max(at, end)
+            continue
         if tag == "a":
             anchors = max(0, anchors - 1) if closing else 1
             continue
         if tag == "br":
-            parts.append((" ", anchors > 0))
+            add(" ")
             continue
-        block, hinted = tag in BLOCK_TAGS or tag in DROPPED_TAGS, not closing and tag not in WHOLE_TAGS and _hinted(m[3])
-        if not (block or hinted or within[tag]):
+        block = tag in BLOCK_TAGS or tag in DROPPED_TAGS
+        if not block:
+            if closing:
+                if inline and any(t == tag for t, _ in inline):
+                    while inline.pop()[0] != tag:
+                        pass
+            elif tag not in VOID_TAGS and m[3] and _hinted(m[3]):
+                parents.append(inline[-1][1] if inline else stack[-1][3] if stack else 0)
+                inline.append((tag, len(parents) - 1))
+            elif inline and inline[-1][0] == tag:  # an unmarked one of the same name within it
+                inline.append((tag, inline[-1][1]))
             continue
-        if block:
-            close()
-            anchors = 0
-            heading = not closing and tag[0] == "h" and tag[1:].isdigit()
-            if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins or ends
-                leave("p")
+        comment = not closing and _is_comment(m[3])
+        hinted = comment or not closing and tag not in WHOLE_TAGS and _hinted(m[3])
+        close()
+        anchors = 0
+        inline.clear()
+        heading = not closing and tag[0] == "h" and tag[1:].isdigit()
+        if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins or ends
+            leave("p")
         if tag in VOID_TAGS or (tag == "p" and not hinted):
             continue
         if closing:
-            close()
             leave(tag)
             continue
         if tag == "body":
             leave("head")
-        dropped, main, mark = stack[-1][1:] if stack else (False, 0, 0)
+        _, dropped, main, mark, within_comment = stack[-1] if stack else ("", False, 0, 0, False)
         if tag in DROPPED_TAGS and not (tag == "header" and main):
             dropped = True
         elif tag == "form" or hinted:
-            close()
             parents.append(mark)
             mark = len(parents) - 1
         elif tag in MAIN_TAGS and not main:
             mains += 1
             main = mains
-        stack.append((tag, dropped, main, mark))
+        stack.append((tag, dropped, main, mark, within_comment or comment))
         within[tag] += 1
     close()
     return out, parents
 
 
+def _end_of(tag: str, html: str, at: int) -> int:
+    """Where the element that begins before `at` ends, -1 if nothing closes it, -2 if another begins first; only drawings and objects hold their like."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>?", re.IGNORECASE).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+        if depth > 1 and tag not in ("svg", "object"):
+            return -2
+    return -1
+
+
 def _hinted(attributes: str) -> bool:
     """Whether a class, id or role has one of the words that mark page furniture."""
     if not attributes:
@@ -161,6 +205,21 @@ def _hinted(attributes: str) -> bool:
     return any(w in DROPPED_WORDS for m in marks for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
 
 
+def _is_comment(attributes: str) -> bool:
+    """Whether a class, id, role or itemprop names reader comments: a comment word with nothing but parts of one behind it, as in comment-list,
+    post-comments or comment-12, and not comments-open or no-comments."""
+    if not attributes:
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role", "itemprop"):
+            for name in re.split(r"\s+", m[2] or m[3] or m[4] or ""):
+                parts = [x for x in re.split(r"[-_]+", name.lower()) if x]
+                at = next((i for i, x in enumerate(parts) if x in COMMENT_WORDS), None)
+                if at is not None and not NO_COMMENTS.intersection(parts) and all(x in COMMENT_PARTS or x in COMMENT_WORDS or x.isdigit() for x in parts[at + 1 :]):
+                    return True
+    return False
+
+
 def _first_label(b: Block, rules: Rules) -> str:
     """good, bad, or short and near for those that their neighbours decide."""
     words = [w.lower() for w in _WORD.findall(b.text)]
@@ -197,6 +256,7 @@ def _containers(blocks: list[Block], parents: list[int], rules: Rules) -> list[b
 def classify(blocks: list[Block], parents: list[int], rules: Rules = Rules()) -> list[Block]:
     """Labels each block good or bad; changes the blocks in place and returns them."""
     for b in blocks:
+        b.dropped |= b.comment
         b.label = _first_label(b, rules)
     stays = _containers(blocks, parents, rules)
     for b in blocks:
@@ -244,7 +304,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per page: id, the kept columns, text, n_chars.
 
     An element that a word of its class, id or role marks as furniture, and a form, is left out unless it holds most
-    of the page's good text (_containers).
+    of the page's good text (_containers). Reader comments (_is_comment) are left out however long they are, in articles of their own too.
     First pass: blocks in page furniture or made of links are bad, so are long ones almost without function words, long ones with many of them good,
     the others short or near-good. An article or main element with the share whole of the good text or more leaves out what stands outside.
     Second pass: those undecided take the label of the nearest block that was decided by its own words and links, in the same
