@@ -151,8 +151,9 @@ def pack_pieces(docs: DataFrame, tokenizer_path: str, width: int = 1024, end_id:
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, width: int = 1024, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sequences themselves: sequence_id, n_tokens (without padding), input_ids (width long).
+    """The sequences themselves: sequence_id, n_tokens (without padding), input_ids.
 
+    All are width long but the last one where its n_tokens are a power of two: that is left as it is, any other is padded with pad_id.
     Sequences that lie in one task are joined there; only the boundary records are shuffled, by sequence_id,
     and a group of them is one sequence long at most.
     """
@@ -178,5 +179,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, width: int = 1024, end_
     runs = pieces.select("sequence_id", "offset", "ids").mapInArrow(joined, "sequence_id bigint, offset bigint, ids array<int>")
     whole = runs.filter(F.size("ids") == width).select("sequence_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("input_ids"))
     edges = runs.filter(F.size("ids") < width).groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
-    padded = edges.select("sequence_id", F.size("ids").cast("long").alias("n_tokens"), F.concat("ids", F.array_repeat(F.lit(pad_id), width - F.size("ids"))).alias("input_ids"))
+    n = F.size("ids")
+    filled = F.when(n.bitwiseAND(n - 1) == 0, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad_id), width - n)))
+    padded = edges.select("sequence_id", n.cast("long").alias("n_tokens"), filled.alias("input_ids"))
     return whole.unionByName(padded)
