@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.llm.common import bounded_batches, keyed_text
+from veinwork.llm.common import bounded_batches, discard, keyed_text, materialise
 
 #: Defaults of fit's bounds: labelled rows that it uses (the first by a hash of their id), features that it keeps, terms that
 #: it may learn to swap and frequent words that tell their contexts.
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     penalised. Learned are max_terms words at most that lean to neither label, in pairs that stand among like neighbours: what a
     text happens to be about must not move its score. Such words are features too, so that there is something to hold down.
 
-    Rows without a text or label are not used. With no labelled rows, or labels of one kind, the classifier
+    Rows without a text or label are not used; of rows that repeat an id the smallest text is. With no labelled rows, or labels of one kind, the classifier
     gives every text the share of toxic rows (a half if there are none).
     """
     bounded_batches(docs.sparkSession)
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = keyed_text(docs.filter(F.col(text_col).isNotNull()), id_col, text_col)
     if texts.schema["id"].dataType != chosen.schema["id"].dataType:  # ids of two types are compared as text
         texts, chosen = (x.withColumn("id", F.col("id").cast("string")) for x in (texts, chosen))
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text")
+    rows = materialise(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text"), "tox-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -194,13 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["feature", "toxic", "clean"])
 
     counts = rows.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Those with the most occurrences in toxic rows relative to what chance gives, many more than are kept.
-    rough = counts.filter("feature = '' OR toxic + clean >= 4").orderBy(F.col("feature") != "", F.desc(F.col("toxic") / F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(10 * max_features + 1)
-    found = {r.feature: (r.toxic, r.clean) for r in rough.collect()}
-    toxic, clean = found.pop("", (0, 0))
+    counts = materialise(counts.withColumn("n", F.col("toxic") + F.col("clean")).filter("feature = '' OR n >= 4"), "tox-counts")
+    whole = counts.filter("feature = ''").first()
+    toxic, clean = (whole.toxic, whole.clean) if whole else (0, 0)
     if not toxic or not clean:
         share = np.clip(toxic / (toxic + clean) if toxic + clean else 0.5, 0.01, 0.99)
         return Classifier({}, float(np.log(share / (1 - share))))
+    found = _leading(counts.filter("feature != ''"), toxic, clean, max_features, max_terms)
     terms, context = even_terms(found, toxic, clean, max_terms)
     pairs = partners(terms, _near(rows, terms, context))
     swap = {**_SWAP, **pairs}
@@ -221,10 +221,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.mapInArrow(look_up, "label int, own array<int>, twin array<int>").collect()
     twins = [(i, r.twin) for i, r in enumerate(got) if r.twin is not None]
+    discard(rows, counts)
     weights, bias = fit_weights([r.own for r in got], np.array([float(r.label > 0) for r in got]), twins, len(names), counterfactual=counterfactual)
     return Classifier(dict(zip(names, weights.tolist(), strict=True)), bias, swap, len(twins))
 
 
+def _leading(counts: DataFrame, toxic: int, clean: int, max_features: int, max_terms: int) -> dict[str, tuple[int, int]]:
+    """Of all features counted, those that select_features and even_terms choose from: the max_features strongest, the max_terms most frequent words
+    that lean to neither label, the NEIGHBOURS most frequent words, and the words of IDENTITY_TERMS."""
+    a, b, rows = F.col("toxic"), F.col("clean"), toxic + clean
+    odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
+    error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (clean - b + 0.5))
+    scored = counts.withColumn("z", F.abs(odds) / error)
+    words, often = scored.filter(~F.col("feature").endswith("*")), (F.desc("n"), "feature")
+    lists = (
+        scored.filter(F.col("z") > 2.5 - 1e-9).orderBy(F.desc("z"), "feature").limit(max_features),
+        words.filter((F.col("n") >= RARE * rows) & (F.col("n") <= COMMON * rows) & (F.col("z") < EVEN + 1e-9)).orderBy(*often).limit(max_terms),
+        words.orderBy(*often).limit(NEIGHBOURS),
+        words.filter(F.col("feature").isin(*_SWAP)),
+    )
+    return {r.feature: (r.toxic, r.clean) for found in lists for r in found.collect()}
+
+
 def _near(rows: DataFrame, terms: list[str], context: list[str]) -> np.ndarray:
     """How often each context word stands right before (first half of the columns) and right after each term."""
     place, column = {t: i for i, t in enumerate(terms)}, {c: i for i, c in enumerate(context)}
