@@ -641,3 +641,54 @@ def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypa
     got = [language_model.score(rows.repartition(n), ~held).filter(held).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first() for n in (1, 12)]
     assert got[0][0] / got[0][2] == pytest.approx(got[1][0] / got[1][2], abs=0.01)
     assert got[0][0] / got[0][2] > got[0][1] / got[0][2] + 0.2
+
+
+@pytest.mark.parametrize("notice", ["All rights reserved.", "Released under the MIT License.", dict(licenses.TEMPLATES)["ISC"]])
+def test_close_licenses_are_found_each(notice):
+    """Ten notices with 0 to 20 words between them, at the places where a plain search finds them."""
+    index, hashes = licenses.Index(licenses.TEMPLATES), licenses._Tokens()
+    pattern = re.compile(r"[\W_]+".join(re.findall(r"[^\W_]+", notice)))
+    for gap in range(21):
+        text = (" " + " ".join(f"w{i}" for i in range(gap)) + " ").join([notice] * 10)
+        got = [(f["start"], f["end"]) for f in index.find(text, hashes, 0.8)]
+        assert got == [m.span() for m in pattern.finditer(text)] and len(got) == 10
+
+
+def test_last_sequence_of_a_power_of_two_is_left_as_it_is(spark):
+    """One id a document, the end: 1, 2, 3 ... of them in sequences of 16."""
+    for n, length in ((1, 1), (2, 2), (3, 16), (8, 8), (12, 16), (16, 16), (20, 4), (21, 16)):
+        docs = spark.createDataFrame([(i, "") for i in range(n)], "doc_id long, text string")
+        got = packing.pack_sequences(docs, queries.byte_bpe(), width=16).orderBy("sequence_id").collect()
+        assert [len(r.input_ids) for r in got] == [16] * ((n - 1) // 16) + [length] and sum(r.n_tokens for r in got) == n
+
+
+def test_random_runs_of_every_alphabet_are_found(documents):
+    r = random.Random(11)
+    words = sorted({w for t in documents.values() for w in secrets._PLAIN.findall(t)})
+    find = secrets.SecretFinder(*secrets.fit(secrets.labelled_samples(words))[:2])
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95), ("0123456789", 0.5), ("0123456789ABCDEF", 0.95)):
+        for k in (16, 20):
+            assert sum(any(s[0] == "random" for s in find(f"key: {''.join(r.choices(letters, k=k))} end")) for _ in range(300)) >= 300 * least
+    assert not any(find(x) for x in ("=" * 40, "-" * 16, "0000000000000001", "1234567890123456", "internationalization", "aaaaaaaaaaaaaaaaaaaa"))
+    assert sum(bool(find("".join(r.choices(words, k=5)))) for _ in range(300)) <= 12
+
+
+GOOD = "The cat sat on the mat and it was the best of all the days that a cat has in a house with a view of the sea."
+
+
+@pytest.mark.parametrize("mark", ['article class="comment"', 'article id="comment-12"', 'div class="comments"', 'section class="post-comments area"', 'ol class="comment-list"', 'div itemprop="comment"', 'div class="reply"', 'div id="disqus_thread"'])
+def test_comments_are_left_out_however_long(mark):
+    """One paragraph and a thread of six, within the article, behind it, or without any article."""
+    tag = mark.split()[0]
+    thread = f"<{mark}>" + f"<p>{GOOD} I say.</p>" * 6 + f"</{tag}>"
+    nested = f"<{mark}>" + f"<article><p>{GOOD} I say.</p></article>" * 6 + f"</{tag}>"
+    for page in (f"<article><p>{GOOD}</p>{thread}</article>", f"<article><p>{GOOD}</p></article>{thread}", f"<div><p>{GOOD}</p></div>{thread}", f"<main><p>{GOOD}</p></main>{nested}"):
+        assert html_text.main_text(page) == GOOD
+    for kept in ("post comments-open", "no-comments", "with-comments entry"):
+        assert html_text.main_text(f'<article class="{kept}"><p>{GOOD}</p></article>') == GOOD
+
+
+def test_inline_elements_end_no_block():
+    for inside, text in (("<math><mi>x</mi> = <mn>2</mn></math>", "x = 2 "), ('<svg><text>no</text><svg></svg></svg>', ""), ("<button>press</button>", ""), ('<span class="share">tell all</span>', ""), ("<button>", ""), ("<b>bold</b>", "bold ")):
+        assert html_text.main_text(f"<p>{GOOD} And {inside} then the end of it.</p>") == f"{GOOD} And {text}then the end of it."
+    assert html_text.main_text(f'<p>{GOOD}</p><p><span class="share">{GOOD}</span></p>') == GOOD
