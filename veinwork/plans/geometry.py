@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.operators import structures
+from veinwork.operators import periodic, structures
 from veinwork.plans.registry import query
 from veinwork.sources import exports
 from veinwork.sources.tables import table
@@ -104,3 +104,19 @@ def plane_wave_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag AS symbol, row_number() OVER (ORDER BY l_returnflag)::INTEGER AS number FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
 def species_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.species_numbers(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol")), "symbol")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_returnflag, l_quantity, l_discount, l_tax) AS i FROM lineitem),
+    f AS (SELECT l_orderkey, i, z / 7 AS w, (y - z / 7) / 8 AS v, (x - 3 * ((y - z / 7) / 8) - 2 * (z / 7)) / 9 AS u FROM a),
+    g AS (SELECT l_orderkey, i, u - floor(u) AS u, v - floor(v) AS v, w - floor(w) AS w FROM f),
+    s AS (SELECT unnest([-1, 0, 1]) AS s),
+    d AS (SELECT p.l_orderkey, q.u - p.u + a.s AS u, q.v - p.v + b.s AS v, q.w - p.w + c.s AS w FROM g p JOIN g q ON p.l_orderkey = q.l_orderkey AND p.i < q.i, s a, s b, s c),
+    e AS (SELECT l_orderkey, sqrt((9 * u + 3 * v + 2 * w) ** 2 + (8 * v + w) ** 2 + (7 * w) ** 2) AS distance FROM d)
+    SELECT l_orderkey, count(*) AS n_pairs, round(min(distance), 6) AS nearest FROM e WHERE distance < 2.3456 GROUP BY 1"""
+)
+def close_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same atoms in a small skewed cell: pairs that are near by an image."""
+    cell = F.array(*(F.array(*map(F.lit, r)) for r in ((9.0, 0.0, 0.0), (3.0, 8.0, 0.0), (2.0, 1.0, 7.0))))
+    found = periodic.too_close(_structures(spark, sf_dir).withColumn("cell", cell), "l_orderkey", 2.3456)
+    return found.withColumn("nearest", F.round("nearest", 6))
