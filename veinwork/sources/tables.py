@@ -67,8 +67,9 @@ def normalised_records(raw: DataFrame, species_path: str = "structure.sites") ->
 
 def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """path, size_bytes and sha256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    from veinwork.sources.digests import file_digests
+
+    return file_digests(spark, folder)
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
