@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -20,27 +19,27 @@ from veinwork.llm.blocks import in_units
 from veinwork.llm.common import bounded_batches, discard, keyed_text, materialise
 
 #: Code points of a gram; numbers that grams are hashed to (their frequencies are one array of this size in every task).
-Q, GRAMS = 3, 1 << 18
+Q, GRAMS = 4, 1 << 18
 #: One edit changes Q grams at most and moves the others by one place, so of its L + Q - 1 grams a word shares all but Q with a word
 #: near to it, and one of its Q + 1 rarest (one more, as the other may be a code point shorter).
 RAREST = Q + 1
 #: Words in a block of a unit.
 BLOCK = 2048
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _REMEMBERED = 300_000
+#: Letters of ASCII, A-Z lower-cased, and U+00C0 to U+00FF, a byte each; everything else parts runs.
+_LETTERS = bytes(b if b >= 0xC0 or chr(b).isalpha() and b < 0x80 else 0x20 for b in bytes(range(256)).lower())
 #: Stands before and after a word in its grams; no run holds it.
 _PAD = "\x00" * (Q - 1)
 
 
-def runs_of(text: str) -> list[str]:
-    """Runs of letters of ASCII and of U+00C0 to U+00FF, A-Z lower-cased."""
-    return _RUN.findall(text.translate(_LOWER))
+def runs_of(text: str) -> list[bytes]:
+    """Runs of letters of ASCII and of U+00C0 to U+00FF, A-Z lower-cased, in Latin-1: a code point is a byte."""
+    return text.encode("latin-1", "replace").translate(_LETTERS).split()
 
 
-def thinned(run: str, name: str, every: int) -> str:
-    """The run, or, where the crc32 of <name>:<run> divides by every, the run without its code point crc32 % length."""
-    h = zlib.crc32(f"{name}:{run}".encode())
+def thinned(run: bytes, start: int, every: int) -> bytes:
+    """The run, or, where the crc32 of <name>:<run> in UTF-8 divides by every, the run without its code point crc32 % length. start: the crc32 of <name>:."""
+    h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
     return run[: (at := h % len(run))] + run[at + 1 :] if h % every == 0 else run
 
 
@@ -54,19 +53,24 @@ def word_counts(docs: DataFrame, least: int, fewest: int, every: int = 0) -> Dat
         seen: Counter = Counter()
 
         def made() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            kept = [(w.decode("latin-1"), n) for w, n in seen.items() if n and len(w) >= least]
             seen.clear()
-            return b
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name = "" if i is None else i
-                for word, n in Counter(runs_of(t)).items():
-                    word = thinned(word, name, every) if every else word
-                    if len(word) >= least:
-                        seen[word] += n
-            if len(seen) > _REMEMBERED:
-                yield made()
+                runs = runs_of(t)
+                seen.update(runs)
+                start, changed = zlib.crc32(f"{'' if i is None else i}:".encode()), {}
+                for w in set(runs) if every else ():
+                    if (other := thinned(w, start, every)) != w:
+                        changed[w] = other
+                for w in runs if changed else ():
+                    if w in changed:
+                        seen[w] -= 1
+                        seen[changed[w]] += 1
+                if len(seen) > _REMEMBERED:
+                    yield made()
         yield made()
 
     counted = docs.select(F.col("id").cast("string"), "text").mapInArrow(run, "word string, n long")
@@ -133,62 +137,75 @@ def _routed(words: DataFrame, order) -> DataFrame:
 
 
 def merged(lists: list[list[int]], least: int) -> list[int]:
-    """The numbers that stand in at least `least` of the ascending lists, by a heap of the lists' fronts.
+    """The numbers that stand in at least `least` of the ascending lists.
 
-    Where a number stands in fewer, the least - 1 smallest fronts can't lead to another before the next front, so they skip to it.
+    All but two of so many lists, the longest, are set aside: a number must stand twice in the others, which are merged by a
+    heap, and is then looked up in those.
     """
-    if len(lists) < least:
-        return []
-    heap = [(x[0], i) for i, x in enumerate(lists)]
-    heapq.heapify(heap)
-    at, out = [0] * len(lists), []
-    while len(heap) >= least:
-        number, popped = heap[0][0], []
-        while heap and heap[0][0] == number:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= least:
-            out.append(number)
-            to = number + 1
-        else:
-            while len(popped) < least - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            to = max(heap[0][0], number + 1)
-        for i in popped:
-            at[i] = bisect_left(lists[i], to, at[i])
-            if at[i] < len(lists[i]):
-                heapq.heappush(heap, (lists[i][at[i]], i))
+    lists = sorted(lists, key=len)
+    aside = lists[len(lists) - least + 2 :] if least > 2 else []
+    out = []
+    for number, times in groupby(heapq.merge(*lists[: len(lists) - len(aside)])):
+        n = sum(1 for _ in times)
+        if n + len(aside) >= least:
+            for x in aside:
+                at = bisect_left(x, number)
+                n += at < len(x) and x[at] == number
+            if n >= least:
+                out.append(number)
     return out
 
 
 def _near(gram: int, rows: list[tuple]) -> dict[str, list]:
-    """One unit's rows(word, n, home, rarest, target): for each word how many near words it has there, the largest n of those and the smallest
+    """One unit's rows(word, n, home, rarest, target, asking): for each word how many near words it has there, the largest n of those and the smallest
     word that has it. A pair counts in the unit of its first common rarest gram.
     """
-    targets = [r for r in rows if r[4]]
-    postings: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for i, r in enumerate(targets):
-        for place, g in enumerate(grams_of(r[0])):
-            postings[g, place].append(i)
+    size = next((len(r[0]) for r in rows if r[4]), 0)
+    postings: list[dict[str, list[int]]] = [{} for _ in range(size + Q - 1)]
+    targets: list[tuple] = []
     found: dict[str, list] = {}
 
+    def insert(row: tuple) -> None:
+        padded = _PAD + row[0] + _PAD
+        for place, index in enumerate(postings):
+            index.setdefault(padded[place : place + Q], []).append(len(targets))
+        targets.append(row)
+
     def note(word: str, other: str, n: int) -> None:
         own = found.setdefault(word, [0, n, other])
         own[0] += 1
         if n > own[1] or n == own[1] and other < own[2]:
             own[1:] = n, other
 
-    for word, n, home, rarest, target in rows:
-        if target:
-            continue
-        grams = grams_of(word)
-        lists = [x for place, g in enumerate(grams) for p in (place - 1, place, place + 1) if (x := postings.get((g, p)))]
-        for i in merged(lists, len(grams) - Q):
-            other, m, _, theirs, _ = targets[i]
-            if (not home or word < other) and gram == next((g for g in rarest if g in theirs), None) and within_one_edit(word, other):
+    def ask(word: str, n: int, home: bool, rarest: list[int], target: bool) -> None:
+        # A word of the same length has its grams in the same places, one that is a code point shorter has them there or one place before.
+        padded, lists, misses = _PAD + word + _PAD, [], 0
+        for place in range(len(word) + Q - 1):
+            g, before = padded[place : place + Q], len(lists)
+            if place < len(postings) and g in (index := postings[place]):
+                lists.append(index[g])
+            if not home and place and g in (index := postings[place - 1]):
+                lists.append(index[g])
+            misses += len(lists) == before
+            if misses > Q:
+                return
+        for i in merged(lists, len(word) - 1):
+            other, m, _, theirs, *_ = targets[i]
+            if (not home or target or word < other) and gram == next((g for g in rarest if g in theirs), None) and within_one_edit(word, other):
                 note(word, other, m)
                 note(other, word, n)
+
+    for row in rows:  # what is only looked for
+        if row[4] and not row[5]:
+            insert(row)
+    for row in rows:  # what does both asks those before it
+        if row[2] and row[5]:
+            ask(*row[:5])
+            if row[4]:
+                insert(row)
+    for row in rows:
+        if not row[2]:
+            ask(*row[:5])
     return found
 
 
@@ -219,7 +236,7 @@ def near_words(words: DataFrame) -> DataFrame:
     routed = _routed(words, words.sparkSession.sparkContext.broadcast(rank))
     units = in_units(routed, ["gram", "size"], "word", F.col("home"), BLOCK)
     key = ["gram", "size", "t", "q"]
-    placed = units.select(*key, "word", "n", "home", "rarest", "target").repartition(*key).sortWithinPartitions(*key)
+    placed = units.select(*key, "word", "n", "home", "rarest", "target", "asking").repartition(*key).sortWithinPartitions(*key)
     met = placed.mapInArrow(_searched, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), "best"))
     return met.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.best").alias("best"), (-F.col("b.n")).alias("best_n"))
@@ -245,8 +262,8 @@ def spelling_groups(docs: DataFrame, least: int = 5, fewest: int = 3, times: flo
     occurs at least `times` (above 1) as often as the word, else null. Its root is where its forms end, itself if it has none.
     every: see word_counts. A null text has no words; an empty table gives no rows.
     """
-    if least < Q or times <= 1:
-        raise ValueError(f"words have at least {Q} code points, and a form occurs more often than its word")
+    if least < 3 or times <= 1:
+        raise ValueError("words have at least 3 code points, and a form occurs more often than its word")
     bounded_batches(docs.sparkSession)
     words = word_counts(keyed_text(docs, id_col, text_col), least, fewest, every)
     near = materialise(near_words(words), "spell-near")

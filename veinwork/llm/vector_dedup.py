@@ -146,12 +146,12 @@ def _links(quantiser, kind: str, threshold: float):
 
     def fn(unit: pa.Table) -> pa.Table:
         q = quantiser.value
-        target = unit.column("target").to_numpy(zero_copy_only=False)
+        target, asks = (unit.column(c).to_numpy(zero_copy_only=False) for c in ("target", "asking"))
         number, weight = unit.column("number").to_numpy(), unit.column("weight").to_numpy()
         in_list = unit.column("list")[0].as_py()
         x = _units(unit.column("vec").to_pylist(), kind, q.width)
         home = unit.column("own").to_numpy() == in_list
-        t, a = np.flatnonzero(target), np.flatnonzero(~target)
+        t, a = np.flatnonzero(target), np.flatnonzero(asks)
         codes = np.frombuffer(b"".join(unit.column("codes").take(pa.array(t)).to_pylist()), dtype=np.uint8).reshape(len(t), -1)
         limit = (reach + unit.column("error").to_numpy()[t].astype(np.float32) + ROUNDING) ** 2
         nodes, place = np.unique(number, return_inverse=True)
