@@ -95,13 +95,14 @@ def is_stale(now: Column, created: Column, hours: float) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) > F.lit(int(hours * 3_600_000_000))
 
 
-# The keyword pattern keeps its first two groups, token patterns are replaced whole.
-KEYWORD_SECRET = r"(?i)([a-z0-9_-]*(?:token|secret|password|passwd|api[_-]?key|bearer|authorization|credential)s?)(\s*[=:]\s*)(\S+)"
+# Fixed values (the place before the keyword's run is asked for so that a long run is looked at once): the keyword pattern keeps its first two groups, token patterns are replaced whole.
+KEYWORD_SECRET = r"(?i)(?<![a-z0-9_-])([a-z0-9_-]*(?:token|secret|password|passwd|api[_-]?key|bearer|authorization|credential)s?)(\s*[=:]\s*)(\S+)"
 TOKEN_SECRETS = (r"\bgh[opsu]_[A-Za-z0-9]{16,}\b", r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bya29\.[A-Za-z0-9_-]{16,}\b")
 
 
 def redacted(column: Column | str, mark: str = "[REDACTED]") -> Column:
-    out = F.regexp_replace(_col(column), KEYWORD_SECRET, f"$1$2{mark}")
+    text = _col(column)
+    out = F.when(text.rlike(r"[=:]"), F.regexp_replace(text, KEYWORD_SECRET, f"$1$2{mark}")).otherwise(text)
     for pattern in TOKEN_SECRETS:
         out = F.regexp_replace(out, pattern, mark)
     return out

@@ -177,10 +177,13 @@ def scored_picks(pool: DataFrame, place: str, noise: Column, scale: float, budge
 
 def member_gaps(members: DataFrame, pool: DataFrame, member: str, key: str) -> DataFrame:
     """Per member the keys of the pool that it lacks and its keys that the pool doesn't know: empty if all cover the pool."""
-    names = members.select(member).distinct()
-    rows = members.select(member, key).distinct()
-    wanted = names.join(pool.select(key).distinct())  # a few members, each with the whole pool
-    missing = wanted.join(rows, [member, key], "left_anti").select(member, key, F.lit("missing").alias("problem"))
+    rows, asked = members.select(member, key).distinct(), pool.select(key).distinct()
+    known = rows.join(asked, key, "left_semi")
+    # Only the members that lack something meet the pool's keys; those that hold as many of them as there are lack none.
+    counts = rows.select(member).distinct().join(known.groupBy(member).agg(F.count("*").alias("_held")), member, "left")
+    size = asked.agg(F.count("*").alias("_size"))
+    short = counts.join(F.broadcast(size)).filter(F.coalesce("_held", F.lit(0)) < F.col("_size")).select(member)
+    missing = short.join(asked).join(known, [member, key], "left_anti").select(member, key, F.lit("missing").alias("problem"))
     return missing.unionByName(rows.join(pool, key, "left_anti").select(member, key, F.lit("unknown").alias("problem")))
 
 

@@ -65,23 +65,22 @@ def variant_keys(rows: DataFrame, json_column: str, key: str, depth: int | None
     """Every key of a JSON text, down to a depth if one is given, with its path and the value there as text; with elements also
     every place of a list, whose key is null.
 
-    Each level is one variant_explode over the level above; levels without objects add nothing.
-    Without a depth a first pass finds that of the deepest text.
+    Each level is one variant_explode over the level above, which is written, so a level costs what it holds and none is made twice.
     """
+    from veinwork.sources.tables import written
+
     spark = rows.sparkSession
-    if depth is None:
-        depth = max(1, rows.agg(F.max(json_depth(json_column))).first()[0] or 0)
-    level = rows.select(F.col(key).alias("id"), F.try_parse_json(json_column).alias("v"), F.lit("").alias("path"))
-    out = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_variant_level")
-        level = spark.sql(
-            "SELECT id, e.value AS v, concat(path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, e.key AS key "
-            "FROM _variant_level, LATERAL variant_explode(v) AS e"
-        )
-        found = (level if elements else level.filter("key IS NOT NULL")).select(F.col("id").alias(key), "key", "path", F.expr("try_variant_get(v, '$', 'string')").alias("value"))
-        out = found if out is None else out.unionByName(found)
-        level = level.select("id", "v", "path")
+    level = rows.select(F.col(key).alias("id"), F.to_json(F.try_parse_json(json_column)).alias("j"), F.lit("").alias("path")).filter("j IS NOT NULL")
+    out, k = None, 0
+    while depth is None or k < depth:
+        opened = level.filter(F.col("j").rlike(r"^[\[{][^\]}]")).select("id", "path", F.parse_json("j").alias("v"))
+        opened = opened.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.concat("path", F.lit("/"), F.coalesce("key", F.col("pos").cast("string")))
+        level = written(opened.select("id", F.col("key"), step.alias("path"), F.expr("try_variant_get(value, '$', 'string')").alias("value"), F.to_json("value").alias("j")), "keys")
+        found = (level if elements else level.filter("key IS NOT NULL")).select(F.col("id").alias(key), "key", "path", "value")
+        out, k = found if out is None else out.unionByName(found), k + 1
+        if depth is None and level.isEmpty():
+            return out
     return out
 
 
