@@ -61,7 +61,7 @@ def dataset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS n_pending, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'pending_fields' END, CASE WHEN p_partkey % 7 = 0 THEN 'no_approval' END, CASE WHEN p_partkey % 7 != 0 AND p_partkey % 3 = 0 THEN 'approval_not_valid' END) AS reasons FROM part)
-    SELECT p_partkey, n_pending, reasons = '' AS open, reasons FROM r"""
+    SELECT p_partkey, n_pending::BIGINT AS n_pending, reasons = '' AS open, reasons FROM r"""
 )
 def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts are runs: some have an open field, some no approval, some one that has run out."""
@@ -91,7 +91,7 @@ def routed_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH e AS (SELECT l_orderkey AS run, l_partkey % 2 AS step, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 2 ORDER BY l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS attempt, l_quantity AS q, l_returnflag AS f FROM lineitem WHERE l_returnflag != 'N'),
     t AS (SELECT *, (list(CASE WHEN q > 25 THEN 'halve_batch' END) OVER (PARTITION BY run, step ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS l FROM e),
     u AS (SELECT *, coalesce(list_filter(l, lambda x: x IS NOT NULL), []) AS tried FROM t)
-    SELECT run, step, attempt, 'failure-' || left(sha256(run || '|' || step || '|' || attempt), 12) AS failure_id, CASE WHEN f = 'R' THEN 'out_of_memory' ELSE 'tool_error' END AS failure_class, CASE WHEN f = 'R' THEN 'high' ELSE 'medium' END AS severity,
+    SELECT run, step, attempt::INTEGER AS attempt, 'failure-' || left(sha256(run || '|' || step || '|' || attempt), 12) AS failure_id, CASE WHEN f = 'R' THEN 'out_of_memory' ELSE 'tool_error' END AS failure_class, CASE WHEN f = 'R' THEN 'high' ELSE 'medium' END AS severity,
            f = 'R' AS retryable, array_to_string(tried, ',') AS attempted_repairs, greatest(2 - len(tried), 0)::INTEGER AS remaining_budget,
            CASE WHEN f != 'R' THEN 'escalate' WHEN 2 - len(tried) <= 0 THEN 'escalate' WHEN q > 25 THEN 'refine' ELSE 'retry' END AS recommended_action FROM u"""
 )

@@ -38,7 +38,7 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {BALANCED}, n AS (SELECT campaign, max(position) AS z FROM e GROUP BY 1)
-    SELECT campaign, position::BIGINT AS position, problem FROM (
+    SELECT campaign::BIGINT AS campaign, position::BIGINT AS position, problem FROM (
         SELECT 0 AS campaign, 2 AS position, 'content' AS problem UNION ALL SELECT 1, 3, 'gap' UNION ALL SELECT 2, 1, 'content' UNION ALL SELECT 2, 2, 'content' UNION ALL SELECT 2, 1, 'link'
         UNION ALL SELECT 2, 2, 'link' UNION ALL SELECT 2, 3, 'link' UNION ALL SELECT 3, 1, 'repeated' UNION ALL SELECT 3, z, 'head' FROM n WHERE campaign = 3)"""
 )
