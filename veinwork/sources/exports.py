@@ -54,3 +54,33 @@ def pw_input(rows: DataFrame, key: str) -> DataFrame:
     """A plane-wave input deck per row: ecutrho is four times ecutwfc where it isn't given."""
     rho = F.coalesce(F.col("ecutrho"), F.col("ecutwfc") * 4)
     return rows.select(key, F.format_string("&SYSTEM\n  nat = %d\n  ntyp = %d\n  ecutwfc = %.4f\n  ecutrho = %.4f\n/", F.col("nat"), F.col("ntyp"), F.col("ecutwfc").cast("double"), rho.cast("double")).alias("text"))
+
+
+def xyz_frames(structures: DataFrame, key: str) -> DataFrame:
+    """key and text: extended-XYZ frames with Lattice, pbc and the structure's id, ten decimals. structures: symbols, positions, forces, cell, pbc, energy as
+    arrays of one row; a frame whose arrays differ in length is null."""
+    number = lambda x: F.format_string("%.10f", x.cast("double"))
+    joined = lambda xs: F.array_join(F.transform(xs, number), " ")
+    atoms = F.transform(F.arrays_zip("symbols", "positions", "forces"), lambda a: F.concat_ws(" ", a["symbols"], joined(a["positions"]), joined(a["forces"])))
+    head = F.concat(
+        F.lit('Lattice="'), joined(F.flatten("cell")), F.lit('" Properties=species:S:1:pos:R:3:REF_forces:R:3 REF_energy='), number(F.col("energy")),
+        F.lit(' pbc="'), F.array_join(F.transform("pbc", lambda p: F.when(p, "T").otherwise("F")), " "), F.lit('" config_id='), F.col(key).cast("string"),
+    )
+    sound = (F.size("symbols") == F.size("positions")) & (F.size("symbols") == F.size("forces"))
+    return structures.select(key, F.when(sound, F.concat_ws("\n", F.size("symbols").cast("string"), head, F.array_join(atoms, "\n"))).alias("text"))
+
+
+def data_file(structures: DataFrame, masses: DataFrame, key: str) -> DataFrame:
+    """key and text: a molecular-dynamics data file for each structure with a cell along the axes: counts, bounds, masses and atoms, species numbered in the order of their
+    symbols within the structure. masses: symbol, mass; null for a structure with a symbol that it lacks."""
+    known = masses.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "mass"))).alias("_masses"))  # an element each
+    kinds = F.array_sort(F.array_distinct("symbols"))
+    rows = structures.join(F.broadcast(known)).withColumn("_kinds", kinds)
+    bound = lambda k, axis: F.format_string(f"0.0 %.10f {axis}lo {axis}hi", F.col("cell")[k][k].cast("double"))
+    mass = F.transform("_kinds", lambda s, i: F.format_string("%d %.6f  # %s", i + 1, F.col("_masses")[s].cast("double"), s))
+    atom = F.transform(F.arrays_zip("symbols", "positions"), lambda a, i: F.concat_ws(" ", (i + 1).cast("string"), F.array_position(F.col("_kinds"), a["symbols"]).cast("string"), F.array_join(F.transform(a["positions"], lambda x: F.format_string("%.10f", x.cast("double"))), " ")))
+    text = F.concat_ws(
+        "\n", F.format_string("%d atoms", F.size("symbols")), F.format_string("%d atom types", F.size("_kinds")), F.lit(""), bound(0, "x"), bound(1, "y"), bound(2, "z"),
+        F.lit("\nMasses\n"), F.array_join(mass, "\n"), F.lit("\nAtoms  # atomic\n"), F.array_join(atom, "\n"),
+    )
+    return rows.select(key, F.when(F.forall("_kinds", lambda s: F.col("_masses")[s].isNotNull()), text).alias("text"))
