@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -129,15 +129,19 @@ def select_features(counts: Iterable[tuple[str, int, int]], toxic: int, clean: i
     return [f for _, f in sorted(scored)[:limit]]
 
 
-def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[int]]], n_features: int, l2: float = 0.3, counterfactual: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _joined(lists: Sequence[Sequence[int]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(x, dtype=np.int64) for x in lists)])
+
+
+def fit_weights(rows: Sequence[Sequence[int]], labels: np.ndarray, pairs: Sequence[tuple[int, Sequence[int]]], n_features: int, l2: float = 0.3, counterfactual: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic loss + l2 / rows * |w|^2 + counterfactual * mean squared change of the logit under a swap; Adam, full batches.
 
     rows: feature numbers of each document; pairs: (row, feature numbers after the swap).
     """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feat = np.array([f for r in rows for f in r], dtype=np.int64)
+    feat = _joined(rows)
     twin_at = np.repeat(np.arange(len(pairs)), [len(p[1]) for p in pairs])
-    twin_feat = np.array([f for p in pairs for f in p[1]], dtype=np.int64)
+    twin_feat = _joined([p[1] for p in pairs])
     source = np.array([p[0] for p in pairs], dtype=np.int64)
     w, b = np.zeros(n_features), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     m, v, mb, vb, rate = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0, 0.1
@@ -219,10 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, kind), pa.array(twins, kind)], names=["label", "own", "twin"])
 
-    got = rows.mapInArrow(look_up, "label int, own array<int>, twin array<int>").collect()
-    twins = [(i, r.twin) for i, r in enumerate(got) if r.twin is not None]
+    # As Arrow columns, 4 bytes a feature: as Python lists the same rows take many times the driver's memory.
+    got = rows.mapInArrow(look_up, "label int, own array<int>, twin array<int>").toArrow().combine_chunks()
+    lists = [[x.values.to_numpy() if x.is_valid else None for x in got.column(c)] for c in ("own", "twin")]
+    twins = [(i, x) for i, x in enumerate(lists[1]) if x is not None]
     discard(rows, counts)
-    weights, bias = fit_weights([r.own for r in got], np.array([float(r.label > 0) for r in got]), twins, len(names), counterfactual=counterfactual)
+    weights, bias = fit_weights(lists[0], (got.column("label").to_numpy() > 0).astype(float), twins, len(names), counterfactual=counterfactual)
     return Classifier(dict(zip(names, weights.tolist(), strict=True)), bias, swap, len(twins))
 
 
