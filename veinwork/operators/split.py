@@ -97,6 +97,54 @@ def assign(rows: DataFrame, group: str, targets: Mapping[str, int], rest: str, s
     return rows.join(table, group, "left").withColumn("partition", F.coalesce("partition", F.lit(rest)))
 
 
+def _take(left: dict[int, int], target: int, keep: int) -> dict[int, int]:
+    """How many groups of each size to take, of those left (size to number), for a sum near target, leaving `keep` groups at least: of every size the target's share of
+    all rows, then from the largest size down what still fits, then one group more if that comes nearer."""
+    rows, groups = sum(s * n for s, n in left.items()), sum(left.values())
+    taken = {s: min(n * target // rows, n) for s, n in left.items()}
+    gap, free = target - sum(s * k for s, k in taken.items()), groups - keep - sum(taken.values())
+    for s in sorted(left, reverse=True):
+        more = max(0, min(gap // s, left[s] - taken[s], free))
+        taken[s], gap, free = taken[s] + more, gap - s * more, free - more
+    nearer = [s for s in left if taken[s] < left[s] and (s - gap < gap or not any(taken.values()))]
+    if free > 0 and nearer:
+        taken[min(nearer, key=lambda s: (abs(s - gap), s))] += 1
+    return {s: k for s, k in taken.items() if k}
+
+
+def assign_by_sizes(rows: DataFrame, group: str, targets: Mapping[str, int], rest: str, seed: int, minima: Mapping[str, int] | None = None) -> DataFrame:
+    """rows with a column partition, whole groups together, for any number of groups: as assign, but what comes to the driver is the histogram of group
+    sizes, at most about the square root of twice the rows. Which groups of a size are taken goes by their seeded order; they are numbered by range partitions.
+
+    Every partition with a target gets one group at least and the rest keeps one; an error where that can't be, or where a partition falls below its minimum.
+    The sum is not always the nearest that some set of groups has; with groups of size 1 it is the target. Rows with a null group go to the rest.
+    """
+    from veinwork.operators.ranks import numbered
+    from veinwork.sources.tables import written
+
+    sizes = written(rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")), "split-sizes")
+    left = {r["_size"]: r["n"] for r in sizes.groupBy("_size").agg(F.count("*").alias("n")).collect()}
+    wanted = [(name, t) for name, t in targets.items() if t > 0]
+    cuts, begin = [], dict.fromkeys(left, 0)
+    for i, (name, target) in enumerate(wanted):
+        keep = len(wanted) - i
+        if sum(left.values()) < keep + 1:
+            raise ValueError(f"no group is left for {name}")
+        taken = _take(left, target, keep)
+        got = sum(s * k for s, k in taken.items())
+        if got < max(1, (minima or {}).get(name, 1)):
+            raise ValueError(f"{name} has {got} rows, below its minimum")
+        for s, k in taken.items():
+            cuts.append((s, begin[s], begin[s] + k, name))
+            begin[s] += k
+            left[s] -= k
+        left = {s: n for s, n in left.items() if n}
+    ordered = numbered(sizes.withColumn("_order", seeded_order(group, seed=seed)), ["_size"], ["_order", group], name="_place")
+    table = rows.sparkSession.createDataFrame(cuts, "_size long, _low long, _high long, partition string")
+    placed = ordered.join(table, "_size").filter((F.col("_place") >= F.col("_low")) & (F.col("_place") < F.col("_high"))).select(group, "partition")
+    return rows.join(placed, group, "left").withColumn("partition", F.coalesce("partition", F.lit(rest)))
+
+
 def hash_split(rows: DataFrame, group: Column, shares: Sequence[tuple[str, int]], seed: int) -> DataFrame:
     """rows with a column partition from the group's seeded hash: shares are parts of 100. No driver step, no shuffle."""
     slot = F.conv(F.substring(seeded_order(group, seed=seed), 1, 8), 16, 10).cast("long") % 100

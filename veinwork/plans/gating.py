@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.operators import gates, policy
+from veinwork.operators import gates, policy, split
 from veinwork.plans.registry import query
 from veinwork.sources.tables import table
 
@@ -132,3 +132,12 @@ def full_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = steps.groupBy("run").agg(F.count("*").alias("n_events"))
     runs = o.select(F.col("o_orderkey").alias("run"), (F.col("o_orderstatus") == "F").alias("completed"), F.col("o_custkey").alias("seed"), F.col("o_orderpriority").alias("workflow_sha256"), F.lit(None).cast("string").alias("campaign_sha256"))
     return gates.run_report(runs.join(counts, "run").withColumn("n_artifacts", F.col("n_events")), steps, recoveries, claims)
+
+
+@query()
+def split_by_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items dealt by whole orders to partitions of a tenth, a tenth and a half; what each got. Tests hold the invariants, as the choice among sizes isn't put in SQL."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")  # noqa: E741
+    n = l.count()
+    made = split.assign_by_sizes(l, "l_orderkey", {"test": n // 10, "validation": n // 10, "pool": n // 2}, "initial", 7)
+    return made.groupBy("partition").agg(F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_groups"), F.sum("l_orderkey").alias("key_sum"))
