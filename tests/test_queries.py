@@ -35,3 +35,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_text_operators(monkeypatch):
+    """Missing, empty or broken, they take none of the other queries with them."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("veinwork.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "veinwork.llm", None)
+    assert __spark_entry__.queries().keys() == catalogue.QUERIES.keys()
+    assert __spark_entry__.oracle_sql().keys() == catalogue.ORACLE_SQL.keys()
+    monkeypatch.delitem(sys.modules, "veinwork.llm")
+    monkeypatch.setitem(sys.modules, "pyarrow", None)
+    if __import__("importlib.util").util.find_spec("veinwork.llm"):
+        with pytest.warns(UserWarning, match="pyarrow"):
+            assert __spark_entry__.queries().keys() == catalogue.QUERIES.keys()

@@ -98,3 +98,31 @@ def data_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data files; a structure with an element of unknown mass has none."""
     masses = spark.createDataFrame([("A", 1.008), ("N", 15.999)], "symbol string, mass double")
     return exports.data_file(_structures(spark, sf_dir), masses, "l_orderkey")
+
+
+# The keys in their rotation, with bounds and whether they are integers.
+MOVES = {"learning_rate": (1.0, 20.0, False), "gradient_clip": (1.0, 16.0, False), "batch_size": (2.0, 9.0, True)}
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'refine' WHEN 1 THEN 'reject' WHEN 2 THEN 'accept' END AS decision, p_partkey % 8 = 1 AS failed, p_size % 2 = 0 AS down,
+        least(20e0, greatest(1e0, p_size % 5)) AS lr, 1e0 + p_size % 16 AS clip, 2e0 + p_size % 8 AS batch FROM part),
+    m AS (SELECT *, greatest(1e0, lr * 0.2e0) AS lr1, greatest(1e0, lr * 0.5e0) AS lr2, least(16e0, clip * 2) AS clip2, greatest(1e0, clip * 0.5e0) AS clip1, round_even(greatest(2e0, batch * 0.5e0), 0) AS batch2,
+        CASE WHEN down THEN greatest(1e0, lr * 0.5e0) ELSE least(20e0, lr * 2) END AS on1 FROM r),
+    t AS (SELECT p_partkey, CASE WHEN decision IS NULL THEN CASE WHEN lr1 != lr THEN 'learning_rate=' || round(lr1 * 1000)::BIGINT ELSE 'first_move' END
+        WHEN decision = 'refine' THEN CASE WHEN lr2 != lr THEN 'learning_rate=' || round(lr2 * 1000)::BIGINT WHEN clip2 != clip THEN 'gradient_clip=' || round(clip2 * 1000)::BIGINT ELSE 'no_stability_repair' END
+        WHEN decision = 'reject' AND failed THEN CASE WHEN batch2 != batch THEN 'batch_size=' || round(batch2 * 1000)::BIGINT ELSE 'no_resource_repair' END
+        WHEN decision = 'accept' AND on1 != lr THEN 'learning_rate=' || round(on1 * 1000)::BIGINT
+        ELSE CASE WHEN clip1 != clip THEN 'gradient_clip=' || round(clip1 * 1000)::BIGINT WHEN batch2 != batch THEN 'batch_size=' || round(batch2 * 1000)::BIGINT ELSE 'no_key_moves' END END AS move FROM m)
+    SELECT * FROM t"""
+)
+def next_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are runs whose last change was of the learning rate: the next move, or why there is none."""
+    from veinwork.operators.moves import next_mutation
+
+    k, s = F.col("p_partkey"), F.col("p_size")
+    config = F.create_map(F.lit("learning_rate"), F.least(F.lit(20.0), F.greatest(F.lit(1.0), (s % 5).cast("double"))), F.lit("gradient_clip"), 1.0 + s % 16, F.lit("batch_size"), 2.0 + s % 8)
+    decision = F.when(k % 4 == 0, "refine").when(k % 4 == 1, "reject").when(k % 4 == 2, "accept")
+    runs = table(spark, sf_dir, "part").select("p_partkey", decision.alias("decision"), (k % 8 == 1).alias("constraint_failed"), F.lit("learning_rate").alias("mutated_key"), (s % 2 == 0).alias("was_decrease"), config.alias("config"))
+    moved = F.concat(F.col("move.key"), F.lit("="), F.round(F.col("move.new") * 1000).cast("long").cast("string"))
+    return next_mutation(runs, list(MOVES), MOVES).select("p_partkey", F.coalesce(moved, "blocked").alias("move"))
