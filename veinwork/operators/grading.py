@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from veinwork.operators.policy import acceptance
 
-# Kinds of an iteration's records, those that every iteration must have, and the flags that a fixture must deny.
+# Kinds of an iteration's records, those that every iteration must have, and the flags that a fixture must deny. So are the words of status
+# (non_scientific, staging_only, infrastructure_only), of evidence (agent_text) and of a local device (local-cpu) below, and the names of the checks.
 REQUIRED = ("proposal", "review", "legality", "decision", "lesson")
 KINDS = (*REQUIRED, "mutation", "execution", "evaluation", "rollback", "fixture", "failure")
 FIXTURE_FLAGS = ("uses_frozen_test_data", "uses_hidden_labels", "uses_protected_partitions", "uses_acquisition_pool_labels")
