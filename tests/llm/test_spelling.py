@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veinwork.llm import queries, spelling
+from veinwork.llm.blocks import in_units
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -114,3 +115,13 @@ def test_edge_cases(spark):
     assert spelling.spelling_groups(df.filter("doc_id < 4")).count() == 0
     with pytest.raises(ValueError):
         spelling.spelling_groups(df, least=2)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Words compressed to less than Spark's limit once filled the driver's memory as a broadcast."""
+    df = spark.createDataFrame([(1, "parallel paralel " * 5)], "doc_id long, text string")
+    groups = spelling.spelling_groups(df, fewest=1)
+    units = in_units(spark.range(20).selectExpr("id % 3 AS g", "id"), ["g"], "id", F.lit(True), 4)
+    for found in (groups, units):
+        assert found.count() and found.collect()
+        assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan

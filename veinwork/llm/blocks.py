@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.llm.common import growing
+
 
 def in_units(members: DataFrame, key: list[str], number: str, home: Column, block: int) -> DataFrame:
     """The members of groups in which at least one is at home, once or more for every unit that needs them, with what they do there.
@@ -16,7 +18,7 @@ def in_units(members: DataFrame, key: list[str], number: str, home: Column, bloc
     """
     sizes = members.groupBy(*key).agg(F.count(F.when(home, 1)).alias("homes"), F.count("*").alias("all")).filter("homes > 0 AND all > 1")
     sizes = sizes.select(*key, F.ceil(F.col("homes") / block).cast("int").alias("ts"), F.ceil(F.col("all") / block).cast("int").alias("qs"))
-    spread = members.join(sizes, key)
+    spread = members.join(growing(sizes), key)
     single, own = F.col("qs") == 1, lambda parts: F.pmod(F.xxhash64(F.col(number)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     does = lambda target, asking: (F.lit(target).alias("target") if isinstance(target, bool) else target.alias("target"), F.lit(asking).alias("asking"))

@@ -63,6 +63,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df for a join of tables that both grow with the input: merged, never broadcast. Spark goes by the bytes of the compressed files or
+    shuffle blocks, and rows of a few MB there can take hundreds in the driver, which builds what is broadcast."""
+    return df.hint("merge")
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text, the null text as an empty one; other columns can't clash."""
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.llm.blocks import in_units
-from veinwork.llm.common import bounded_batches, discard, keyed_text, materialise
+from veinwork.llm.common import bounded_batches, discard, growing, keyed_text, materialise
 
 #: Code points of a gram; numbers that grams are hashed to (their frequencies are one array of this size in every task).
 Q, GRAMS = 4, 1 << 18
@@ -247,7 +247,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     now = materialise(forms.select("word", F.col("form").alias("root")), "spell-roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        then = materialise(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spell-roots")
+        then = materialise(now.join(growing(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spell-roots")
         discard(now)
         now = then.select("word", "root")
         now.written_to = then.written_to
@@ -267,8 +267,8 @@ def spelling_groups(docs: DataFrame, least: int = 5, fewest: int = 3, times: flo
     bounded_batches(docs.sparkSession)
     words = word_counts(keyed_text(docs, id_col, text_col), least, fewest, every)
     near = materialise(near_words(words), "spell-near")
-    joined = words.join(near, "word", "left").withColumn("formed", F.coalesce(F.col("best_n") >= F.col("n") * times, F.lit(False)))
+    joined = words.join(growing(near), "word", "left").withColumn("formed", F.coalesce(F.col("best_n") >= F.col("n") * times, F.lit(False)))
     formed = materialise(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("formed"), F.col("best")).alias("form"), F.when(F.col("formed"), F.col("best_n")).alias("form_n")), "spell-forms")
     roots = _roots(formed.filter("form IS NOT NULL"))
     discard(words, near)
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(growing(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
