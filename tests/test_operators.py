@@ -291,6 +291,13 @@ def test_geometry_clusters_match_a_rederivation(spark):
     assert sum(abs(got.get(k, 0) - want.get(k, 0)) for k in got | want) <= 0.02 * sum(want.values())  # sums in another order can tip a rounding
 
 
+def test_nearest_distances_are_worked_out_once(spark):
+    """The cluster key of a structure holds one pass over its pairs of atoms; mean and deviation are made from its result."""
+    df = spark.createDataFrame([(["Cu"], [[0.0, 0.0, 0.0]], [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])], "symbols array<string>, positions array<array<double>>, cell array<array<double>>")
+    plan = df.select(structures.cluster_key().alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 1
+
+
 def test_split_query_matches_a_rederivation(spark):
     import duckdb
 

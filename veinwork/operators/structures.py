@@ -5,6 +5,8 @@ A structure is symbols array<string>, positions array<array<double>>, cell array
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def shape_problems(rows: DataFrame, key: str) -> DataFrame:
 
 def nearest_distances(positions: Column) -> Column:
     """For each atom the distance to the nearest other one; 0 for a lone atom."""
-    others = lambda p, i: F.filter(F.transform(positions, lambda q, j: F.when(j != i, euclid(p, q))), lambda d: d.isNotNull())
+    others = lambda p, i: F.transform(positions, lambda q, j: F.when(j != i, euclid(p, q)))
     return F.transform(positions, lambda p, i: F.coalesce(F.array_min(others(p, i)), F.lit(0.0)))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def nearest_periodic(positions: Column, cell: Column) -> Column:
     """As nearest_distances under the minimum-image rule of an orthorhombic cell."""
     fold = lambda d, k: d - cell[k][k] * F.rint(d / cell[k][k])
@@ -63,13 +70,13 @@ def cluster_key(digits: int = 1) -> Column:
 
     Labels and ids are no part of it. Bins are rounded half away from zero in fixed text.
     """
-    near = nearest_distances(F.col("positions"))
     n = F.size("symbols")
-    mean = F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / n
-    deviation = F.sqrt(F.aggregate(near, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    sum_of = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda s, x: s + of(x))
+    both = lambda near, mean: F.concat_ws("|", text(mean), text(F.sqrt(sum_of(near, lambda x: (x - mean) * (x - mean)) / n)))
     text = lambda x: F.format_string(f"%.{digits}f", F.round(x, digits))
+    spread = once(nearest_distances(F.col("positions")), lambda near: once(sum_of(near, lambda x: x) / n, lambda mean: both(near, mean)))
     lengths = F.array_join(F.transform(F.array_sort(F.transform("cell", norm)), text), ",")
-    parts = F.concat_ws("|", composition(F.col("symbols")), n, text(F.abs(determinant3(F.col("cell"))) / n), text(mean), text(deviation), lengths)
+    parts = F.concat_ws("|", composition(F.col("symbols")), n, text(F.abs(determinant3(F.col("cell"))) / n), spread, lengths)
     return F.concat(F.lit("geometry-"), F.substring(F.sha2(parts, 256), 1, 20))
 
 
