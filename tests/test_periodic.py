@@ -62,3 +62,20 @@ def test_pairs_are_joined_on_bins(spark):
     found = periodic.close_pairs(atoms, cells, "k", 0.5)
     assert found.count() == 20_000  # each with the next, the last with the first
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_images_are_not_shuffled(spark):
+    """Pairs at several blocks' distance of their cell's edges are found, and an atom of a small cell is sent once and not once for each bin around it."""
+    atoms = spark.range(200).selectExpr("1 AS k", "cast(id AS int) AS atom", "array(id * 0.4D, id % 7 * 4D, 0D) AS position")
+    cells = spark.createDataFrame([(1, [[80.0, 0.0, 0.0], [0.0, 28.0, 0.0], [0.0, 0.0, 6.0]], [True] * 3)], "k int, cell array<array<double>>, pbc array<boolean>")
+    positions = np.array([[i * 0.4, i % 7 * 4.0, 0.0] for i in range(200)])
+    want = plain(positions, np.diag([80.0, 28.0, 6.0]), np.array([True] * 3), 4.5)
+    got = {(x.i, x.j, tuple(x.shift)): x.distance for x in periodic.close_pairs(atoms, cells, "k", 4.5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in got)
+    small = spark.createDataFrame([(1, [[9.0, 0.0, 0.0], [0.0, 9.0, 0.0], [0.0, 0.0, 9.0]], [True] * 3)], "k int, cell array<array<double>>, pbc array<boolean>")
+    plan = periodic.close_pairs(atoms, small, "k", 2.5)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan()
+    assert "Generate" in text.toString()
+    before = text.toString().split("+- == Initial Plan ==")[0]
+    assert before.index("Generate explode(CASE WHEN") < before.index("Join")  # the shifts are made above the join
