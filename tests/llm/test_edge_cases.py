@@ -191,3 +191,13 @@ def test_comments_beside_an_article_stay_out():
 )
 def test_iban_followed_by_other_words(text, iban):
     assert [text[a:b] for k, a, b, _ in pii.find_pii(text) if k == "iban"] == ([iban] if iban else [])
+
+
+def test_labels_whose_ids_repeat_are_learned_from(spark):
+    """Many labels of few ids, whose hashes all lie high: the first max_rows of them are used, as of any other table."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id").filter(place > 0.7 * (1 << 30)).orderBy(place).limit(40)
+    docs = ids.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "awful nasty words").otherwise("kind gentle words").alias("text")).cache()
+    labels = ids.crossJoin(spark.range(2500).select()).select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels, max_rows=60_000)
+    assert model.weights and model.score("awful nasty words") > 0.5 > model.score("kind gentle words")

@@ -177,10 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     bounded_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    n = chosen.count()
-    if n > max_rows:  # only the share of the hashes that holds the first max_rows is sorted
-        chosen = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * max_rows / n + 300 / n)))
-    chosen = chosen.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id", "label").limit(max_rows)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    # Only the parts of the hashes that hold the first max_rows are sorted, as counted: ids that are repeated often lie together.
+    parts = sorted(chosen.groupBy((place / (1 << 16)).cast("int").alias("part")).count().collect())
+    ends = np.searchsorted(np.cumsum([r["count"] for r in parts]), max_rows)
+    chosen = chosen.filter(place < (parts[ends].part + 1 << 16 if ends < len(parts) else 1 << 30))
+    chosen = chosen.orderBy(place, "id", "label").limit(max_rows)
     texts = keyed_text(docs.filter(F.col(text_col).isNotNull()), id_col, text_col)
     if texts.schema["id"].dataType != chosen.schema["id"].dataType:  # ids of two types are compared as text
         texts, chosen = (x.withColumn("id", F.col("id").cast("string")) for x in (texts, chosen))
