@@ -83,3 +83,12 @@ def test_rerun_delta(spark):
     a = spark.createDataFrame([(1, 2.0), (1, 2.0)], "k long, v double")
     assert tuple(metrics.rerun_delta(a, a).first()) == (0.0, 0)
     assert tuple(metrics.rerun_delta(a, a.limit(1)).first()) == (1.0, 1)
+
+
+def test_large_groups_are_not_sorted_by_ranges(spark, monkeypatch):
+    """A group above LARGE gets its exact percentiles from bounds and counts; rows aren't shuffled by value."""
+    monkeypatch.setattr(ranks, "LARGE", 100)
+    monkeypatch.setattr(ranks, "_ranked", None)
+    got = ranks.percentiles(spark.range(10_001).selectExpr("cast(id % 5000 AS double) AS x"), [], "x", {"half": 0.5, "most": 0.95}).first()
+    want = np.percentile(np.arange(10_001) % 5000, [50, 95])
+    assert abs(got.half - want[0]) < 1e-9 and abs(got.most - want[1]) < 1e-9

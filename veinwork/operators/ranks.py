@@ -12,6 +12,8 @@ from veinwork.sources.tables import written
 
 #: Rows of a group that one task's aggregate may hold.
 LARGE = 1_000_000
+#: Share of a group's rows on either side of a percentile's place that its bounds leave.
+MARGIN = 0.001
 
 
 def placed(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -47,8 +49,9 @@ def _with(rows: DataFrame, wanted: DataFrame, by: Sequence[str], more: Sequence[
 def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """One row per group with type-7 percentiles, exactly: name to share. Nulls are left out.
 
-    Groups of up to LARGE rows are aggregated whole. Larger ones, a third of all rows if it comes to that, take
-    one shuffle of group and value by ranges, and two values for each percentile and group come out of it.
+    Groups of up to LARGE rows are aggregated whole. For larger ones quantile sketches give bounds around each place; one scan counts the rows below
+    the bounds, another the distinct values between them, a few thousandths of the rows, so what is shuffled doesn't grow with the rows.
+    Where the counts show that a sketch missed its place, the group takes one shuffle of group and value by ranges.
     """
     v = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     sizes = v.groupBy(*by).agg(F.count("*").alias("size"))
@@ -56,10 +59,44 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[
     whole = [F.percentile("v", q).alias(n) for n, q in shares.items()]
     if large.isEmpty():
         return v.groupBy(*by).agg(*whole)
-    found = _ranked(v.join(large.select(*by), by, "left_semi") if by else v, by, large, shares)
+    found = _bounded(v, by, large, shares)
     return v.join(large.select(*by), by, "left_anti").groupBy(*by).agg(*whole).unionByName(found) if by else found
 
 
+def _bounded(v: DataFrame, by: Sequence[str], sizes: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """percentiles of the large groups in sizes, of which there is one for LARGE rows at most."""
+    names, n = list(shares), F.col("_size")
+    big = v.join(F.broadcast(sizes.withColumnRenamed("size", "_size")), list(by)) if by else v.crossJoin(F.broadcast(sizes.withColumnRenamed("size", "_size")))
+    near = [x for q in shares.values() for x in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
+    sketch = big.groupBy(*by).agg(F.percentile_approx("v", near, int(4 / MARGIN)).alias("_near"))
+    bounds = written(sketch.select(*by, *(F.col("_near")[i].alias(f"_{'high' if i % 2 else 'low'}{i // 2}") for i in range(len(near)))), "bounds")
+    inside = big.join(F.broadcast(bounds), list(by)) if by else big.crossJoin(F.broadcast(bounds))
+    low, high = ([F.col(f"_{side}{i}") for i in range(len(names))] for side in ("low", "high"))
+    at = [(n - 1) * q for q in shares.values()]
+    counts = inside.groupBy(*by, "_size").agg(*(F.count_if(F.col("v") < low[i]).alias(f"_below{i}") for i in range(len(names))), *(F.count_if(F.col("v") <= high[i]).alias(f"_upto{i}") for i in range(len(names))))
+    fits = F.lit(True)
+    for i in range(len(names)):
+        fits = fits & (F.col(f"_below{i}") <= F.floor(at[i])) & (F.least(F.floor(at[i]) + 1, n - 1) < F.col(f"_upto{i}"))
+    counts = written(counts.withColumn("_fits", fits), "bounds")
+    which = F.array_compact(F.array(*(F.when(F.col("v").between(low[i], high[i]), F.lit(i)) for i in range(len(names)))))
+    values = inside.select(*by, "v", F.explode(which).alias("_which")).groupBy(*by, "_which", "v").agg(F.count("*").alias("_n"))
+    good = F.broadcast(counts.filter("_fits"))
+    values = values.join(good, list(by)) if by else values.crossJoin(good)
+    pick = lambda cols: F.element_at(F.array(*cols), F.col("_which") + 1)
+    # A window holds the distinct values between two bounds.
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_which").orderBy("v")) + pick([F.col(f"_below{i}") for i in range(len(names))])
+    values = values.select(*by, "_which", "v", pick(at).alias("_at"), "_size", (upto - F.col("_n")).alias("_first"), upto.alias("_end"))
+    holds = lambda place: F.max(F.when((F.col("_first") <= place) & (place < F.col("_end")), F.col("v")))
+    two = values.groupBy(*by, "_which", "_at").agg(holds(F.floor("_at")).alias("x"), holds(F.least(F.floor("_at") + 1, n - 1)).alias("y"))
+    value_at = F.col("x") + (F.col("y") - F.col("x")) * (F.col("_at") - F.floor("_at"))
+    found = two.groupBy(*by).agg(*(F.max(F.when(F.col("_which") == i, value_at)).alias(name) for i, name in enumerate(names)))
+    missed = counts.filter("NOT _fits").select(*by, F.col("_size").alias("size"))
+    if missed.isEmpty():
+        return found
+    rest = v.join(missed.select(*by), list(by), "left_semi") if by else v
+    return found.filter(found[names[0]].isNotNull()).unionByName(_ranked(rest, by, missed, shares))
+
+
 def _ranked(v: DataFrame, by: Sequence[str], sizes: DataFrame, shares: Mapping[str, float]) -> DataFrame:
     asked = sizes.select(*by, "size", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("size") - 1) * q).alias("at")) for n, q in shares.items()))).alias("x"))
     asked = asked.select(*by, F.col("x.name").alias("name"), F.col("x.at").alias("at"), F.floor("x.at").alias("low"), F.least(F.floor("x.at") + 1, F.col("size") - 1).alias("high"))
