@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.llm.common import bounded_batches, keyed_text, materialise
+from veinwork.llm.words import Words
 
 #: Most frequent words, each a class of its own; the finest tail classes of all other words, by their last two bytes;
 #: words whose counts the tasks hold at least (the counts of all others are joined); sizes of the vectors and batches.
@@ -56,24 +56,35 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """hash, tail and count of every word of all rows(text): tasks count first, the sums are written."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[tuple[np.ndarray, ...]] = []
 
-        def rows_of() -> pa.RecordBatch:
-            words = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in words], pa.int64()), pa.array([tail_of(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["hash", "tail", "count"])
-            seen.clear()
-            return made
+        def summed() -> tuple[np.ndarray, ...]:
+            words, tails, counts = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.argsort(words)
+            first = np.flatnonzero(np.diff(words[order], prepend=words[order[0]] - 1))
+            return words[order][first], tails[order][first], np.add.reduceat(counts[order], first)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(words_of(t))
-            if len(seen) > _REMEMBERED:
-                yield rows_of()
-        yield rows_of()
+            if not b.num_rows:
+                continue
+            found = Words.of(b.column(0), END)
+            seen.append((found.hashes(), found.by_ends(tail_of, 8), np.bincount(found.at, minlength=len(found.size))))
+            if sum(len(x) for x, _, _ in seen) > 4 * _REMEMBERED:
+                seen = [summed()]
+                if len(seen[0][0]) > _REMEMBERED:
+                    yield _counted(*seen.pop())
+        if seen:
+            yield _counted(*summed())
 
     return materialise(rows.select("text").mapInArrow(count, "hash bigint, tail int, count bigint").groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("count").alias("count")), "lm-counts")
 
 
+def _counted(words: np.ndarray, tails: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Without the empty part that white space may have left, which no text counts."""
+    met = counts > 0
+    return pa.RecordBatch.from_arrays([pa.array(words[met], pa.int64()), pa.array(tails[met], pa.int32()), pa.array(counts[met], pa.int64())], names=["hash", "tail", "count"])
+
+
 def members_of(tokens: int) -> int:
     """How many words of the tail classes have vectors of their own: grows with the corpus, slowly enough that a task can hold them all."""
     return int(MEMBERS * np.cbrt(tokens))
@@ -155,36 +166,31 @@ class Vocabulary:
         return "<u2" if len(self.classes) + len(self.member_class) <= 1 << 16 else "<u4"
 
 
-class Codes(dict):
-    """word -> number; numbers below len(vocabulary.held) are held words, the others were met by this task."""
+class Codes:
+    """Numbers of the held words, in the vocabulary's order."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.numbers = {h: i for i, h in enumerate(vocabulary.held)}
-        self.tail_class = vocabulary.tail_class.tolist()
-        self.base_classes = np.array([c for c, _ in vocabulary.held.values()], dtype=np.int32)
-        self.new: list[tuple[int, int]] = []
-
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        n = self.numbers.get(h)
-        if n is None:
-            n = len(self.numbers) + len(self.new)
-            self.new.append((h, self.tail_class[tail_of(word)]))
-        self[word] = n
-        return n
-
-    def numbers_of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.new) > _REMEMBERED:
-            self.clear()
-            self.new = []
-        out = []
-        for t in texts:
-            w = words_of(t)
-            out.append(np.fromiter(map(self.__getitem__, w), dtype=np.int64, count=len(w)))
-        return out
+        hashes = np.array(list(vocabulary.held), dtype=np.int64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.tail_class = vocabulary.tail_class
+        self.held_places = np.array([c for c, _ in vocabulary.held.values()], dtype=np.int32)
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.numbers(np.array([_hash(word)]))[0])
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Of words by their hashes; -1 for one that isn't held."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
     def classes(self) -> np.ndarray:
-        return np.concatenate([self.base_classes, np.array([c for _, c in self.new], dtype=np.int32)])
+        """The places of the held words."""
+        return self.held_places
+
+    def places(self, words: Words, numbers: np.ndarray) -> np.ndarray:
+        """The place of each word: of one that isn't held, that of its tail class."""
+        return np.where(numbers >= 0, self.held_places[numbers], self.tail_class[words.by_ends(tail_of, 8)]).astype(np.int32)
 
 
 @dataclass
@@ -293,9 +299,13 @@ class Trainer:
         q[:, :-1] = ra * p["mix"][0] + rb * p["mix"][1]
         target, wrong = np.repeat(p["Q"][w[first]], size, axis=0), p["Q"][false]
         up = _sigmoid(self.log_noise[w] - np.einsum("ij,ij->i", q, target))
-        down = q @ wrong.T
-        down -= self.log_noise[false]
-        np.negative(_sigmoid(down), out=down)
+        against = -wrong
+        against[:, -1] += self.log_noise[false]
+        down = q @ against.T
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
         target *= up[:, None]
         target += down @ wrong
         pull = target[:, :-1]
@@ -306,9 +316,12 @@ class Trainer:
         gq = np.zeros_like(p["Q"])
         gq[w[first]] = np.add.reduceat(up[:, None] * q, first)
         np.add.at(gq, false, down.T @ q)
-        self._step("mix", np.vstack([(pull * ra).sum(0), (pull * rb).sum(0)]), n, np.arange(2), n)
-        self._step("R", *_row_sums(np.concatenate([a, b]).astype(self.key), np.concatenate([pull * p["mix"][0], pull * p["mix"][1]]), n))
-        self._step("Q", gq, n, np.arange(len(gq)), n)
+        both = np.empty((2 * n, WIDTH), dtype=np.float32)
+        np.multiply(pull, p["mix"][0], out=both[:n])
+        np.multiply(pull, p["mix"][1], out=both[n:])
+        self._step("mix", np.vstack([np.einsum("ij,ij->j", pull, ra), np.einsum("ij,ij->j", pull, rb)]), n, slice(None), n)
+        self._step("R", *_row_sums(np.concatenate([a, b]).astype(self.key), both, n))
+        self._step("Q", gq, n, slice(None), n)
 
     def _learn_inner(self, q: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
         """The pull on q. Tokens stand by class; first and size are those of the classes."""
@@ -330,7 +343,7 @@ class Trainer:
         self._step("S", *_row_sums(place.astype(self.key), rows, n))
         return pull[:, :-1]
 
-    def _step(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray, times: np.ndarray | int) -> None:
+    def _step(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray | slice, times: np.ndarray | int) -> None:
         grad = grad * np.float32(64 / n)
         self.seen[name][rows] += times
         self.g[name][rows] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
@@ -354,7 +367,18 @@ def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, int
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return np.add.reduceat(rows[order], first), n, at[first].astype(np.int64), np.diff(np.concatenate([first, [len(at)]]))
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    # Most places occur once or twice: only the others are worth a reduceat, whose time goes by the number of places.
+    sums = rows[order[first]]
+    twice = np.flatnonzero(size > 1)
+    sums[twice] += rows[order[first[twice] + 1]]
+    often = twice[size[twice] > 2]
+    if len(often):
+        left = size[often] - 2
+        start = np.cumsum(left) - left
+        rest = np.arange(start[-1] + left[-1]) + np.repeat(first[often] + 2 - start, left)
+        sums[often] += np.add.reduceat(rows[order[rest]], start)
+    return sums, n, at[first].astype(np.int64), size
 
 
 def contexts(codes: list[np.ndarray], classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,10 +401,11 @@ def _encoded(rows: DataFrame, vocabulary: Vocabulary, shards: int, wide: int) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(vocabulary)
         for b in batches:
-            got = codes.numbers_of(b.column(1).to_pylist())
-            if got:
-                places = codes.classes()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([places[c].astype(vocabulary.narrow).tobytes() for c in got], pa.binary())], names=["dealt", "places"])
+            if b.num_rows:
+                words = Words.of(b.column(1), END)
+                places = codes.places(words, codes.numbers(words.hashes())).astype(vocabulary.narrow)[words.at]
+                got = np.split(places, np.cumsum(words.tokens)[:-1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["dealt", "places"])
 
     hashed = rows.select(F.xxhash64("id", "text").alias("dealt"), "text")
     codes = hashed.mapInArrow(encode, "dealt bigint, places binary")
@@ -506,11 +531,8 @@ class Scorer:
         q = np.ones((len(pairs), WIDTH + 1), dtype=np.float32)
         np.multiply(r[pairs // len(r)], mix[0], out=q[:, :-1])
         q[:, :-1] += r[pairs % len(r)] * mix[1]
-        total = np.empty(len(q), dtype=np.float32)
-        classes = np.ascontiguousarray(self.p["Q"].T)
-        small = _norm(q) * max(_norm(self.p["Q"]), _norm(self.p["S"])) < 80 if len(q) else True
-        for i in range(0, len(q), _ROWS):
-            total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ classes, small)
+        small = not len(q) or _reach(q, self.p["S"]) < 80
+        total = self._totals(pairs // len(r), pairs % len(r), q)
         found = np.empty(len(w), dtype=np.float32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(top)]])
         for first, end in zip(cuts[:-1], cuts[1:], strict=True):
@@ -530,14 +552,50 @@ class Scorer:
         out[order] = (found - total[which]) / np.log(10) - self.spread[w]
         return out
 
+    def _totals(self, a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all classes of exp(q . Q) for each pair of places.
 
-def _norm(rows: np.ndarray) -> float:
-    """The largest length of a row."""
-    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+        exp(near * R[a] . Q + far * R[b] . Q) is a product of one factor for each place, so exponentials are taken for the places that
+        occur and not for their pairs, some classes at a time. Where the factors of a place that stands earlier reach too far apart for that, they are taken for the pairs.
+        """
+        total = np.zeros(len(a), dtype=np.float32)
+        classes, r, mix = np.ascontiguousarray(self.p["Q"].T), self.p["R"], self.p["mix"]
+        (x, at), (y, earlier) = _numbered(a, len(r)), _numbered(b, len(r))
+        near, far = np.ones((len(x), WIDTH + 1), dtype=np.float32), np.zeros((len(y), WIDTH + 1), dtype=np.float32)
+        near[:, :-1], far[:, :-1] = r[x] * mix[0], r[y] * mix[1]
+        if not len(a) or _reach(far, self.p["Q"], False) >= 30:
+            for i in range(0, len(q), _ROWS):
+                total[i : i + _ROWS] = _log_sums(q[i : i + _ROWS] @ classes, False)
+            return total
+        blocks = [np.ascontiguousarray(classes[:, k : k + _TOGETHER]) for k in range(0, classes.shape[1], _TOGETHER)]
+        most = np.max([(near @ c).max(axis=1) for c in blocks], axis=0)
+        for c in blocks:
+            one, other = near @ c, far @ c
+            one -= most[:, None]
+            np.exp(one, out=one)
+            np.exp(other, out=other)
+            for i in range(0, len(a), _PAIRS):
+                total[i : i + _PAIRS] += np.einsum("ij,ij->i", one[at[i : i + _PAIRS]], other[earlier[i : i + _PAIRS]])
+        return np.log(total, out=total) + most[at]
+
+
+def _numbered(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the number of each among them."""
+    met = np.zeros(n, dtype=bool)
+    met[places] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[places]
+
+
+def _reach(q: np.ndarray, rows: np.ndarray, whole: bool = True) -> float:
+    """A bound of |q . row|; the last column of q holds 1, or, without whole, 0."""
+    lengths = (float(np.sqrt(np.einsum("ij,ij->i", x[:, :-1], x[:, :-1]).max())) for x in (q, rows))
+    return float(np.prod(list(lengths))) + (float(np.abs(rows[:, -1]).max()) if whole else 0.0)
 
 
 #: Rows of a piece of work, so that its logits stay in the processor's cache.
 _ROWS, _CLASSES = 256, 256
+#: Classes whose factors stand side by side, and pairs of places that are worked on together.
+_TOGETHER, _PAIRS = 64, 1024
 
 
 def _log_sums(logits: np.ndarray, small: bool) -> np.ndarray:
@@ -577,29 +635,26 @@ def score(docs: DataFrame, train_on: Column, rounds: int = 1, id_col: str = "doc
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what this task knows, dealt at random, and one for each of its words whose count it must ask for."""
-        codes, known, spread = Codes(vocabulary), len(held_counts), np.random.default_rng(1)
-        logs = np.log10(held_counts + 1)
+        codes, spread = Codes(vocabulary), np.random.default_rng(1)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = codes.numbers_of(texts)
-            if not got:
+            if not b.num_rows:
                 continue
-            classes = codes.classes()
-            hashes = np.array([h for h, _ in codes.new], dtype=np.int64)
-            n = np.array([len(g) for g in got])
+            words = Words.of(b.column(1), END)
+            hashes, n, at = words.hashes(), words.tokens, words.at
+            numbers = codes.numbers(hashes)
+            held = numbers >= 0
+            counted = np.where(held, held_counts[numbers], 0)
             first = np.cumsum(n) - n
-            all_codes = np.concatenate(got)
-            before, earlier, words = contexts(got, classes, end)
-            model = np.add.reduceat(scorer.classes(before, earlier, words).astype(float), first)
-            mine = all_codes < known
-            log = np.where(mine, logs[np.where(mine, all_codes, 0)], 0.0)
-            model += np.add.reduceat(np.where((words >= OWN) & (words < len(vocabulary.classes)), log, 0.0), first)
-            seen = np.add.reduceat((mine & (held_counts[np.where(mine, all_codes, 0)] > 0)).astype(np.int64), first)
-            doc = np.repeat(np.arange(len(n)), n)[~mine]
-            pair, times = np.unique(doc * np.int64(1 << 32) + (all_codes[~mine] - known), return_counts=True)
+            before, earlier, places = contexts(np.split(at, first[1:]), codes.places(words, numbers), end)
+            model = np.add.reduceat(scorer.classes(before, earlier, places).astype(float), first)
+            log = np.log10(counted + 1)[at]
+            model += np.add.reduceat(np.where((places >= OWN) & (places < len(vocabulary.classes)), log, 0.0), first)
+            seen = np.add.reduceat((counted > 0)[at].astype(np.int64), first)
+            asked = ~held[at]
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n)[asked] * np.int64(1 << 32) + at[asked], return_counts=True)
             asks = len(pair)
             who = np.concatenate([np.arange(len(n)), pair >> 32])
-            key = np.array([_hash(t.encode()) for t in texts], dtype=np.int64)
+            key = np.array([_hash(t.encode()) for t in b.column(1).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(who)),
