@@ -97,3 +97,26 @@ def test_references_at_any_depth(spark, documents):
     text, bad = trees.resolved(rows, "j", "k", out)
     assert {r.k: r.text for r in text.collect()} == want
     assert sorted(tuple(r) for r in bad.collect()) == sorted(problems) and {p[3] for p in problems} == {"malformed", "no_field", "incomplete_step"}
+
+
+def test_work_within_a_row(spark, monkeypatch):
+    """Documents that a row's expression can hold make no tables of nodes; deeper ones do, with the same result, and rows of one key are apart."""
+    asked = []
+    nodes = trees.nodes
+    monkeypatch.setattr(trees, "nodes", lambda *args: asked.append(1) or nodes(*args))
+
+    def at(depth, value):
+        for i in range(depth):
+            value = [value, i] if i % 2 else {"k]": value, "[": "x"}
+        return value
+
+    out = spark.createDataFrame([("s", "f", '{"y":[1]}')], "step_id string, field string, value string")
+    for depths, used in (((1, 3, trees.LEVELS - 2), False), ((2, trees.LEVELS + 3), True)):
+        asked.clear()
+        rows = spark.createDataFrame([(7 if used is False else d, json.dumps(at(d, {"Api-Key": {"a": 1}, "my_token": 2, "r": "$steps.s.f", "z": "$steps.s.g"}))) for d in depths], "k long, j string")
+        got = [r.text for r in trees.redacted(rows, "j", "k", ("api_key", "token")).collect()]
+        assert sorted(got) == sorted(text_of(at(d, {"Api-Key": "[REDACTED]", "my_token": "[REDACTED]", "r": "$steps.s.f", "z": "$steps.s.g"})) for d in depths) and bool(asked) == used
+        asked.clear()
+        text, bad = trees.resolved(rows, "j", "k", out)
+        assert sorted(r.text for r in text.collect()) == sorted(text_of(at(d, {"Api-Key": {"a": 1}, "my_token": 2, "r": {"y": [1]}, "z": "$steps.s.g"})) for d in depths) and bool(asked) == used
+        assert [(r.reference, r.problem) for r in bad.collect()] == [("$steps.s.g", "no_field")] * len(depths)
